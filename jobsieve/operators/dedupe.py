@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from jobsieve.functions.text import squash
@@ -13,17 +13,18 @@ HOT_KEYS = 1000
 MIN_GUARD_CHARS = 200  # fixed value: shorter texts are not distinctive
 
 
-def first_per_key(df: DataFrame, keys: Sequence[str], order: Column | str) -> DataFrame:
-    """One row per key, the earliest. Partial aggregation keeps one row per key and input partition, so a
+def first_per_key(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
+    """One row per key, the earliest (rows without an order come last). Partial aggregation keeps one row per key and input partition, so a
     key holding a third of all rows shuffles like any other."""
     rest = [c for c in df.columns if c not in keys]
-    picked = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), order).alias("_row"))
+    picked = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(F.col(order).isNull(), order)).alias("_row"))
     return picked.select(*[F.col(k) if k in keys else F.col(f"_row.{k}").alias(k) for k in df.columns])
 
 
-def last_per_key(df: DataFrame, keys: Sequence[str], order: Column | str) -> DataFrame:
+def last_per_key(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
+    """One row per key, the latest."""
     rest = [c for c in df.columns if c not in keys]
-    picked = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("_row"))
+    picked = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(F.col(order).isNotNull(), order)).alias("_row"))
     return picked.select(*[F.col(k) if k in keys else F.col(f"_row.{k}").alias(k) for k in df.columns])
 
 
