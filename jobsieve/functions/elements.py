@@ -13,9 +13,10 @@ import re
 from html.parser import HTMLParser
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 SHORT_TEXT = 300
 
@@ -209,6 +210,6 @@ def read_page(html: str | None) -> dict:
     return {"raw": raw, "rendered": "".join(w.out), "els": els}
 
 
-@F.pandas_udf(PAGE)
-def parse_html(html: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([read_page(h) for h in html], columns=["raw", "rendered", "els"])
+@F.arrow_udf(PAGE)
+def parse_html(html: pa.Array) -> pa.Array:
+    return pa.array([read_page(h) for h in html.to_pylist()], type=to_arrow_type(PAGE))

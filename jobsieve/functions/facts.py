@@ -28,7 +28,7 @@ PERIOD_WORDS = {
 PER_YEAR = {"year": 1, "month": 12, "week": 52, "day": 260, "hour": 2080}
 
 MONEY = rx(
-    r"(?:(" + CURRENCY_CODES + r"){S}*)?([$€£₹])?{S}?"
+    r"(?![a-z])(?:(" + CURRENCY_CODES + r"){S}*)?([$€£₹])?{S}?"
     r"(\d{1,3}(?:,\d{3})+|\d+(?:\.\d{1,2})?){S}*(k|K)?"
 )
 STRICT_K_MONEY = MONEY.replace("(k|K)?", "((?:k|K)(?![A-Za-z0-9_]))?")
@@ -49,7 +49,7 @@ YEARS_NUMERIC = rx(
     r"(\d{1,2}){S}*(\+|plus)?{S}*(?:(?:-|–|—|to){S}*(\d{1,2}){S}*(?:\+|plus)?{S}*)?(?:years?|yrs?\.?){B}", True
 )
 YEARS_WRITTEN = rx(
-    r"{B}(" + "|".join(WRITTEN) + r"){B}{S}*(?:\({S}*\d{1,2}{S}*\){S}*)?(?:years?|yrs?\.?){B}", True
+    r"(?=[efnost])(?<!{W})(" + "|".join(WRITTEN) + r")(?!{W}){S}*(?:\({S}*\d{1,2}{S}*\){S}*)?(?:years?|yrs?\.?){B}", True
 )
 YEARS_CUE = rx(
     "experien|background|track record|proven|worked|working|expertise|tenure|minimum of|at least|required"
@@ -62,20 +62,20 @@ YEARS_REJECT = rx(
 )
 FLAGS = {
     "needs_clearance": rx(
-        r"{B}(?:security clearance|active clearance|ts{S}*/{S}*sci|top secret|secret clearance|public trust"
-        r"|dod clearance|clearance (?:is )?required){B}", True),
+        r"(?=[acdpst])(?<!{W})(?:security clearance|active clearance|ts{S}*/{S}*sci|top secret|secret clearance|public trust"
+        r"|dod clearance|clearance (?:is )?required)(?!{W})", True),
     "sponsorship_unavailable": rx(
-        r"{B}(?:no sponsorship|not (?:able to )?sponsor|cannot sponsor|unable to sponsor"
+        r"(?=[cdgmnuw])(?<!{W})(?:no sponsorship|not (?:able to )?sponsor|cannot sponsor|unable to sponsor"
         r"|without (?:the need for )?sponsorship|do(?:es)? not (?:offer|provide) sponsorship"
         r"|must be (?:a )?u\.?s\.?{S}*citizen|u\.?s\.?{S}*citizenship (?:is )?required"
-        r"|citizenship (?:is )?required|green card holder){B}", True),
+        r"|citizenship (?:is )?required|green card holder)(?!{W})", True),
     "requires_relocation": rx(
-        r"{B}(?:must relocate|required to relocate|relocation (?:is )?required|willing(?:ness)? to relocate"
-        r"|able to relocate){B}", True),
+        r"(?=[amrw])(?<!{W})(?:must relocate|required to relocate|relocation (?:is )?required|willing(?:ness)? to relocate"
+        r"|able to relocate)(?!{W})", True),
     "not_remote": rx(
-        r"{B}(?:not a remote (?:position|role|job)|this (?:position|role) is not remote|no remote work"
+        r"(?=[1fmnrt])(?<!{W})(?:not a remote (?:position|role|job)|this (?:position|role) is not remote|no remote work"
         r"|remote work is not (?:available|an option)|fully on-?site|100%{S}*on-?site"
-        r"|must (?:work )?(?:on-?site|in (?:the )?office)){B}", True),
+        r"|must (?:work )?(?:on-?site|in (?:the )?office))(?!{W})", True),
 }
 TRAVEL = [
     rx(r"travel[^.\n]{0,60}?(\d{1,3}){S}*%", True),
@@ -316,4 +316,6 @@ def extract_facts(df: DataFrame, text: str = "description", strict_k: bool = Fal
 
 def mention_rows(df: DataFrame, mentions: Column, *keep: str) -> DataFrame:
     """One row per mention, with its place in the text order."""
-    return df.select(*keep, F.posexplode(mentions).alias("mention_no", "mention")).select(*keep, "mention_no", "mention.*")
+    # The outer form keeps the optimizer from adding a size check that would evaluate the mentions again.
+    rows = df.select(*keep, F.posexplode_outer(mentions).alias("mention_no", "mention"))
+    return rows.where("mention is not null").select(*keep, "mention_no", "mention.*")

@@ -53,7 +53,7 @@ def html_blocks(pages: DataFrame, html: str = "html") -> DataFrame:
 def block_rows(parsed: DataFrame) -> DataFrame:
     """One row per element."""
     keep = [c for c in parsed.columns if c not in ("raw", "rendered", "els", "links")]
-    return parsed.select(*keep, F.inline("els"))
+    return parsed.select(*keep, F.inline_outer("els")).where("ord is not null")
 
 
 def _attr(e: Column, name: str) -> Column:
@@ -126,12 +126,13 @@ def raw_text(e: Column) -> Column:
 def job_links(parsed: DataFrame) -> DataFrame:
     """One row per element that names a posting."""
     keep = [c for c in parsed.columns if c not in ("raw", "rendered", "els", "links")]
-    return parsed.select(*keep, F.inline("links")).select(*keep, "ord", "parent", "depth", "tag", "job_id", "text")
+    slim = F.transform("links", lambda k: F.struct(*[k[c].alias(c) for c in ("ord", "parent", "depth", "tag", "job_id", "text")]))
+    return parsed.select(*keep, F.inline_outer(slim)).where("ord is not null")
 
 
 def discovery_breakdown(parsed: DataFrame) -> DataFrame:
     """How many elements each id pattern finds."""
-    el = parsed.select(F.explode("links").alias("e"))
+    el = parsed.select(F.explode_outer(F.transform("links", lambda k: F.struct(k["tag"].alias("tag"), k["attrs"].alias("attrs")))).alias("e"))
     e = F.col("e")
     href = or_empty(_attr(e, "href"))
     pats = {
@@ -141,7 +142,7 @@ def discovery_breakdown(parsed: DataFrame) -> DataFrame:
         **{f"[{n}]": _attr(e, n).isNotNull() for n in H.ID_ATTRS},
         **{f'[{n}*="jobPosting"]': F.contains(or_empty(_attr(e, n)), F.lit("jobPosting")) for n in H.URN_ATTRS},
     }
-    one = el.agg(*[F.count_if(c).alias(f"p{i}") for i, c in enumerate(pats.values())])
+    one = el.where("e is not null").agg(*[F.count_if(c).alias(f"p{i}") for i, c in enumerate(pats.values())])
     return one.select(F.inline(F.array(*[
         F.struct(F.lit(k).alias("pattern"), F.col(f"p{i}").alias("n")) for i, k in enumerate(pats)])))
 
@@ -170,24 +171,64 @@ def list_root(parsed: DataFrame) -> DataFrame:
     return parsed.withColumn("root", _list_root(F.col("els"), F.col("links")))
 
 
+def _shape(e: Column, cap: int) -> Column:
+    return F.concat(F.upper(e["tag"]), F.lit(":"), F.least(F.lit(cap), e["n_children"]))
+
+
+def _can_hold(up: Column, least: int, most: int) -> Column:
+    return up["n_children"].between(least, most) & (up["tag"].isin(*GROUP_PARENTS) | _attr(up, "role").isNotNull())
+
+
+def _sibling_groups(els: Column, kid_ok, least: int, most: int, cap: int, members: int, non_job=None) -> Column:
+    """Same-shaped siblings of one page as ``array<struct<members,depth,neg_first,parent,shape,chars,non_job>>``."""
+
+    def slim(e):
+        up = F.get(els, e["parent"])
+        return F.struct(
+            e["parent"].alias("parent"), _shape(e, cap).alias("shape"), e["ord"].alias("ord"),
+            up["depth"].alias("depth"), e["norm_len"].alias("chars"),
+            (non_job(e) if non_job else F.lit(False)).alias("non_job"))
+
+    def count(ks):
+        keys = F.array_distinct(F.transform(ks, lambda k: F.struct(k["parent"].alias("parent"), k["shape"].alias("shape"))))
+
+        def one(g):
+            mine = F.filter(ks, lambda k: (k["parent"] == g["parent"]) & (k["shape"] == g["shape"]))
+            return let(mine, lambda m: F.struct(
+                F.size(m).alias("members"), _first(m)["depth"].alias("depth"), (-_first(m)["ord"]).alias("neg_first"),
+                g["parent"].alias("parent"), g["shape"].alias("shape"),
+                F.aggregate(m, F.lit(0).cast("bigint"), lambda a, k: a + k["chars"]).alias("chars"),
+                F.size(F.filter(m, lambda k: k["non_job"])).alias("non_job")))
+
+        return F.filter(F.transform(keys, one), lambda g: g["members"] >= members)
+
+    able = F.filter(els, lambda e: e["parent"].isNotNull() & kid_ok(e) & _can_hold(F.get(els, e["parent"]), least, most))
+    return let(F.transform(able, slim), count)
+
+
+def _card_groups(els: Column) -> Column:
+    """Groups that look like result cards: three or more composite siblings with card-sized text."""
+
+    def grouped_with(anchors):
+        def non_job(e):
+            link = _first_match(anchors, lambda k: _below(k, e))
+            return F.coalesce(link["job_id"].isNull() & or_empty(_attr(link, "href")).rlike(NOT_A_JOB_LINK), F.lit(False))
+
+        return _sibling_groups(els, lambda e: e["text_len"].between(40, 1200) & (e["n_children"] >= 1), 3, 60, 8, 3, non_job)
+
+    anchors = F.filter(els, lambda k: (k["tag"] == "a") & _attr(k, "href").isNotNull())
+    return let(anchors, grouped_with)
+
+
 def repeated_groups(parsed: DataFrame, key: str = "page_id") -> DataFrame:
-    """Runs of same-shaped siblings with card-like text: page, parent, shape, members, share of non-job links."""
-    e = F.col("e")
-    kids = parsed.select(key, "els", F.explode("els").alias("e")).where(
-        e["text_len"].between(40, 1200) & (e["n_children"] >= 1) & e["parent"].isNotNull())
-    up = F.get("els", e["parent"])
-    first_link = _first_match(F.col("els"), lambda k: (k["tag"] == "a") & _below(k, e) & _attr(k, "href").isNotNull())
-    staged = kids.select(
-        key, e["parent"].alias("parent"), up["tag"].alias("ptag"), up["depth"].alias("depth"),
-        _attr(up, "role").alias("prole"), up["n_children"].alias("siblings"), e["ord"].alias("ord"),
-        F.concat(F.upper(e["tag"]), F.lit(":"), F.least(F.lit(8), e["n_children"])).alias("shape"),
-        first_link.alias("k"),
-    ).where(F.col("siblings").between(3, 60) & (F.col("ptag").isin(*GROUP_PARENTS) | F.col("prole").isNotNull()))
-    non_job = F.col("k.job_id").isNull() & or_empty(_attr(F.col("k"), "href")).rlike(NOT_A_JOB_LINK)
-    return staged.groupBy(key, "parent", "shape").agg(
-        F.count(F.lit(1)).alias("members"), F.min("ord").alias("first_ord"), F.first("depth").alias("depth"),
-        F.avg(F.coalesce(non_job, F.lit(False)).cast("int")).alias("non_job_share"),
-    ).where("members >= 3")
+    """Runs of same-shaped siblings with card-like text: parent, shape, members, share of non-job links.
+
+    Counted inside the page's row, so nothing is shuffled.
+    """
+    rows = parsed.select(key, F.explode_outer(_card_groups(F.col("els"))).alias("g")).where("g is not null")
+    return rows.select(
+        key, "g.parent", "g.shape", F.col("g.members").cast("bigint").alias("members"),
+        (-F.col("g.neg_first")).alias("first_ord"), "g.depth", (F.col("g.non_job") / F.col("g.members")).alias("non_job_share"))
 
 
 def job_list_check(groups: DataFrame) -> DataFrame:
@@ -203,8 +244,12 @@ def best_group(groups: DataFrame, key: str = "page_id") -> DataFrame:
 
 
 def cards(parsed: DataFrame, key: str = "page_id") -> DataFrame:
-    """One row per posting card: by the ids on the page, or by repeated shape when ids give fewer than three."""
+    """One row per posting card: by the ids on the page, or by repeated shape when ids give fewer than three.
+
+    Both routes are array work in the page's row: one parse, no join, no shuffle.
+    """
     rooted = parsed if "root" in parsed.columns else list_root(parsed)
+    els = F.col("els")
     scoped = F.filter("links", lambda k: _below(k, F.col("root")))
     enough = F.coalesce(F.size(scoped) >= F.greatest(F.lit(2.0), F.size("links") * 0.5), F.lit(False))
     use = F.when(enough, scoped).otherwise(F.col("links"))
@@ -213,29 +258,25 @@ def cards(parsed: DataFrame, key: str = "page_id") -> DataFrame:
         return F.filter(ks, lambda k, i: ~F.exists(F.slice(ks, F.lit(1), i), lambda p: p["job_id"] == k["job_id"]))
 
     def holder(k):
-        up = F.filter("els", lambda a: _inside(k, a))
-        li = F.element_at(F.concat(F.array(F.lit(None).cast("int")), F.transform(
-            F.filter(up, lambda a: a["tag"] == "li"), lambda a: a["ord"])), -1)
-        data = F.element_at(F.concat(F.array(F.lit(None).cast("int")), F.transform(
-            F.filter(up, lambda a: _attr(a, "data-job-id").isNotNull()), lambda a: a["ord"])), -1)
+        up = F.filter(els, lambda a: _inside(k, a))
+        li = F.array_max(F.transform(F.filter(up, lambda a: a["tag"] == "li"), lambda a: a["ord"]))
+        data = F.array_max(F.transform(F.filter(up, lambda a: _attr(a, "data-job-id").isNotNull()), lambda a: a["ord"]))
         return F.struct(k["job_id"].alias("job_id"), k["ord"].alias("link_ord"),
                         F.coalesce(li, data, k["parent"], k["ord"]).alias("card_ord"))
 
-    by_id = rooted.select(key, "url", F.transform(let(use, fresh), holder).alias("by_id"))
-    short = by_id.where(F.size("by_id") < 3).select(key, "url")
+    def members_of(g):
+        mine = F.filter(els, lambda c: (c["parent"] == g["parent"]) & (_shape(c, 8) == g["shape"])
+                        & c["text_len"].between(40, 1200) & (c["n_children"] >= 1))
+        return F.transform(mine, lambda c: F.struct(
+            c["job_id"].alias("job_id"), F.lit(None).cast("int").alias("link_ord"), c["ord"].alias("card_ord")))
+
     on_jobs = F.coalesce(F.try_parse_url("url", F.lit("PATH")), F.lit("")).rlike("^/jobs(/|$)")
-    shaped = best_group(job_list_check(repeated_groups(parsed, key)), key).join(
-        short.where(on_jobs).select(key), key, "left_semi")
-    els = F.col("els")
-    shape_cards = parsed.select(key, "els").join(shaped, key).select(
-        key, F.transform(
-            F.filter(els, lambda c: (c["parent"] == F.col("parent")) & c["text_len"].between(40, 1200)
-                     & (F.concat(F.upper(c["tag"]), F.lit(":"), F.least(F.lit(8), c["n_children"])) == F.col("shape"))),
-            lambda c: F.struct(c["job_id"].alias("job_id"), F.lit(None).cast("int").alias("link_ord"),
-                               c["ord"].alias("card_ord"))).alias("by_shape"))
-    chosen = by_id.join(shape_cards, key, "left").select(key, F.when(
-        F.size("by_shape") > F.size("by_id"), F.col("by_shape")).otherwise(F.col("by_id")).alias("c"))
-    return chosen.select(key, F.posexplode("c").alias("card_no", "c")).select(key, "card_no", "c.*")
+    by_id = rooted.withColumn("_by_id", F.transform(let(use, fresh), holder))
+    job_groups = F.filter(_card_groups(els), lambda g: g["non_job"] * 2 < g["members"])
+    shaped = by_id.withColumn("_group", F.when((F.size("_by_id") < 3) & on_jobs, F.array_max(job_groups)))
+    chosen = shaped.select(key, "_by_id", F.when(F.col("_group").isNotNull(), members_of(F.col("_group"))).alias("_by_shape"))
+    c = F.when(F.size("_by_shape") > F.size("_by_id"), F.col("_by_shape")).otherwise(F.col("_by_id"))
+    return chosen.select(key, F.posexplode_outer(c).alias("card_no", "c")).where("c is not null").select(key, "card_no", "c.*")
 
 
 # ---- the description ----
@@ -498,11 +539,14 @@ def changed_blocks(before: DataFrame, after: DataFrame, key: str = "url") -> Dat
 
     ``before`` and ``after`` are parsed snapshots of the same pages. Only (key, place, hash) is joined.
     """
-    big = lambda df: df.select(key, "root", F.inline("els")).where("text_hash is not null")
+    slim = F.transform(F.filter("els", lambda e: e["text_hash"].isNotNull()), lambda e: F.struct(
+        *[e[c].alias(c) for c in ("ord", "last", "depth", "norm_len", "css_path", "text_hash")]))
+    edge = lambda c: F.col(f"root.{c}").alias(f"root_{c}")
+    big = lambda df: df.select(key, edge("ord"), edge("last"), F.inline_outer(slim)).where("ord is not null")
     rooted = lambda df: df if "root" in df.columns else list_root(df)
     a = big(rooted(before)).select(key, "css_path", F.col("text_hash").alias("_was"))
-    outside = F.col("root").isNull() | ~((F.col("ord").between(F.col("root.ord"), F.col("root.last")))
-                                         | (F.col("root.ord").between(F.col("ord"), F.col("last"))))
+    outside = F.col("root_ord").isNull() | ~((F.col("ord").between(F.col("root_ord"), F.col("root_last")))
+                                             | (F.col("root_ord").between(F.col("ord"), F.col("last"))))
     b = big(rooted(after)).where(outside).select(key, "css_path", "text_hash", "ord", "last", "norm_len", "depth")
     moved = b.join(a, [key, "css_path"]).where("text_hash <> _was")
     per_page = moved.groupBy(key).agg(  # one entry per changed block of one page
@@ -531,21 +575,16 @@ def _cover(els: Column, root: Column, leaves: Column) -> Column:
 def static_blocks(parsed: DataFrame, host: Column | None = None) -> DataFrame:
     """Per host and place: how often the place holds text and how many different texts it held."""
     h = host if host is not None else H.host_of("url")
-    rows = parsed.select(h.alias("host"), F.inline("els")).where("text_hash is not null")
+    slim = F.transform(F.filter("els", lambda e: e["text_hash"].isNotNull()), lambda e: F.struct(
+        e["css_path"].alias("css_path"), e["text_hash"].alias("text_hash")))
+    rows = parsed.select(h.alias("host"), F.inline_outer(slim)).where("text_hash is not null")
     return rows.groupBy("host", "css_path").agg(
         F.count(F.lit(1)).alias("pages"), F.approx_count_distinct("text_hash").alias("texts"))
 
 
 def turn_groups(parsed: DataFrame, key: str = "page_id") -> DataFrame:
     """Likely conversation turns: two or more same-shaped siblings of at least twenty characters."""
-    e = F.col("e")
-    kids = parsed.select(key, "els", F.explode("els").alias("e")).where((e["text_len"] >= 20) & e["parent"].isNotNull())
-    up = F.get("els", e["parent"])
-    staged = kids.select(
-        key, e["parent"].alias("parent"), up["tag"].alias("ptag"), _attr(up, "role").alias("prole"),
-        up["n_children"].alias("siblings"), e["ord"].alias("ord"), e["norm_len"].alias("norm_len"),
-        F.concat(F.upper(e["tag"]), F.lit(":"), F.least(F.lit(6), e["n_children"])).alias("shape"),
-    ).where(F.col("siblings").between(2, 400) & (F.col("ptag").isin(*GROUP_PARENTS) | F.col("prole").isNotNull()))
-    return staged.groupBy(key, "parent", "shape").agg(
-        F.count(F.lit(1)).alias("members"), F.min("ord").alias("first_ord"), F.sum("norm_len").alias("chars")
-    ).where("members >= 2")
+    groups = _sibling_groups(F.col("els"), lambda e: e["text_len"] >= 20, 2, 400, 6, 2)
+    rows = parsed.select(key, F.explode_outer(groups).alias("g")).where("g is not null")
+    return rows.select(key, "g.parent", "g.shape", F.col("g.members").cast("bigint").alias("members"),
+                       (-F.col("g.neg_first")).alias("first_ord"), "g.chars")

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobsieve.functions.text import squash
+from jobsieve.functions.text import let, squash
 
 HOT_KEYS = 1000
 MIN_GUARD_CHARS = 200  # fixed value: shorter texts are not distinctive
@@ -64,21 +64,17 @@ def guard_duplicates(df: DataFrame, text: str = "description", seq: str = "seq")
     Texts are compared by a 256-bit digest of the white-space-collapsed text, so only the digest is
     shuffled for the comparison, never the text.
     """
-    norm = squash(F.coalesce(F.col(text), F.lit("")))
-    staged = df.withColumn("_norm", norm).withColumn(
-        "_key",
-        F.when(F.length("_norm") >= MIN_GUARD_CHARS,
-               F.sha2("_norm", 256)),
-    ).drop("_norm")
+    # A short text gets a key of its own, so it neither matches anything nor piles up under null.
+    key = let(
+        squash(F.coalesce(F.col(text), F.lit(""))),
+        lambda t: F.when(F.length(t) >= MIN_GUARD_CHARS, F.sha2(t, 256)).otherwise(F.concat(F.lit("short-"), "job_id")))
+    staged = df.withColumn("_key", key)
     owners = (
-        staged.where("_key is not null")
-        .groupBy("_key")
-        .agg(F.min_by("job_id", seq).alias("_owner"), F.count(F.lit(1)).alias("_n"))
-        .where("_n > 1")
+        staged.groupBy("_key")
+        .agg(F.min_by("job_id", F.struct(F.col(seq).isNull(), seq)).alias("_owner"), F.count(F.lit(1)).alias("_n"))
+        .where((F.col("_n") > 1) & ~F.startswith("_key", F.lit("short-")))
     )
-    # A null key matches nothing; give it a spread-out value instead of one null partition.
-    probe = staged.withColumn("_key", F.coalesce("_key", F.concat(F.lit("short-"), "job_id")))
-    owned = lookup_hot(probe, owners, "_key", "_n", "job_id")
+    owned = lookup_hot(staged, owners, "_key", "_n", "job_id")
     return owned.withColumn(
         "owner_id", F.when(F.col("_owner") != F.col("job_id"), F.col("_owner"))
     ).select(*df.columns, "owner_id")

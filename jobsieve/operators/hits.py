@@ -77,7 +77,7 @@ def read_search_pages(pages: DataFrame, html: str = "html") -> DataFrame:
 def explode_hits(envelopes: DataFrame) -> DataFrame:
     """One row per hit with its place on the page."""
     keep = [c for c in envelopes.columns if c not in ("hits", "error", "last_page", "total")]
-    return envelopes.select(*keep, F.posexplode("hits").alias("hit_no", "hit")).where("hit is not null")
+    return envelopes.select(*keep, F.posexplode_outer("hits").alias("hit_no", "hit")).where("hit is not null")
 
 
 def read_detail_json(bodies: DataFrame, body: str = "body") -> DataFrame:

@@ -31,7 +31,7 @@ TOKEN = rx(r"VERDICT{S}+{NS}", True)
 def read_chat_lines(chats: DataFrame, text: str = "text", *keep: str) -> DataFrame:
     """One row per trimmed, non-empty line, numbered within its text."""
     keep = keep or tuple(c for c in chats.columns if c != text)
-    lines = chats.select(*keep, F.posexplode(F.split(F.col(text), "\r?\n")).alias("line_no", "_raw"))
+    lines = chats.select(*keep, F.posexplode_outer(F.split(F.col(text), "\r?\n")).alias("line_no", "_raw"))
     return lines.select(*keep, "line_no", trim_all("_raw").alias("line")).where("line <> ''")
 
 

@@ -549,7 +549,7 @@ def _(spark, d):
 @query("pane_signature", """SELECT doc_id, lang || '|' || length(b) || '|' || substr(b, 1, 140) || '|' || right(b, 80) AS signature FROM
  (SELECT doc_id, lang, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS b FROM documents)""")
 def _(spark, d):
-    return table(spark, d, "documents").select("doc_id", pane_signature("lang", "text").alias("signature"))
+    return spread(table(spark, d, "documents")).select("doc_id", pane_signature("lang", "text").alias("signature"))
 
 
 @query("norm_title", "SELECT part.p_partkey, trim(regexp_replace(lower(p_name || ' (' || p_brand || ')!'), '[^a-z0-9]+', ' ', 'g')) AS t FROM part")
@@ -585,7 +585,7 @@ def _(spark, d):
  SELECT CAST(doc_id AS VARCHAR) AS job_id, CAST(owner AS VARCHAR) AS owner_id FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS owner
  FROM n WHERE length(t) >= 200) WHERE owner <> doc_id""")
 def _(spark, d):
-    docs = table(spark, d, "documents").select(
+    docs = spread(table(spark, d, "documents")).select(
         F.col("doc_id").cast("string").alias("job_id"), F.col("doc_id").alias("seq"), F.col("text").alias("description"))
     return D.split_duplicates(docs)[1].select("job_id", "owner_id")
 
@@ -962,7 +962,7 @@ def _(spark, d):
 
 @query("prompt_samples", """SELECT doc_id, trim(lang || chr(10) || chr(10) || substr(trim(regexp_replace(text, '\\s+', ' ', 'g')), 1, 4000 - length(lang) - 2)) AS sample FROM documents""")
 def _(spark, d):
-    return table(spark, d, "documents").select("doc_id", C.prompt_sample("lang", "text").alias("sample"))
+    return spread(table(spark, d, "documents")).select("doc_id", C.prompt_sample("lang", "text").alias("sample"))
 
 
 @query("build_messages")
