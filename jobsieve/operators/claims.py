@@ -162,53 +162,52 @@ def parse_plan(replies: DataFrame, text: str = "text") -> DataFrame:
         error.alias("error_why"))
 
 
-def _judge(key: Column, value: Column, page: Column, have: Column) -> Column:
-    """``struct<field,value,why,declined>``; why is null when the claim stands."""
-    said = lambda v: F.contains(page, F.lower(v))
-    by_field = []
+def _rules() -> Column:
+    """The field table as one literal map: length bound, allowed values by lower-case spelling, their list."""
+    none = F.lit(None)
+    rows = []
     for name, rule in FIELDS.items():
-        if options := rule.get("one_of"):
-            table = F.create_map(*[F.lit(x) for o in options for x in (o.lower(), o)])
-            match = F.try_element_at(table, F.lower(value))
-            if name == "applyRoute":
-                proof = F.coalesce(
-                    F.when(match == "easy_apply", page.rlike(ROUTE_EVIDENCE["easy_apply"]))
-                    .when(match == "external", page.rlike(ROUTE_EVIDENCE["external"])), F.lit(True))
-                unproven = "nothing on the page says so"
-            else:
-                proof, unproven = said(match), "the page does not say it"
-            why = F.when(match.isNull(), "not one of " + "/".join(options)).when(~proof, unproven)
-            final = F.coalesce(match, value)
-        else:
-            why = F.when(F.length(value) > rule["max_len"], f"longer than a {name} can be").when(
-                ~said(value), "not found in the page text")
-            final = value
-        by_field.append((key == name, final, why))
-
-    def choose(i):
-        out = F.when(by_field[0][0], by_field[0][i])
-        for b in by_field[1:]:
-            out = out.when(b[0], b[i])
-        return out
-
-    known = key.isin(*FIELDS)
-    declined = known & ((value == "") | value.rlike(DECLINED))
+        options = rule.get("one_of")
+        table = F.create_map(*[F.lit(x) for o in options for x in (o.lower(), o)]) if options else none
+        rows += [F.lit(name), F.struct(
+            F.lit(rule.get("max_len")).cast("int").alias("max_len"), table.cast("map<string,string>").alias("one_of"),
+            F.lit("/".join(options) if options else None).cast("string").alias("options"))]
+    return F.create_map(*rows)
+
+
+def _judge(e: Column, page: Column, have: Column) -> Column:
+    """``struct<field,value,why,declined>``; why is null when the claim stands. The first failing rule names it."""
+    key, value, rule, match = e["key"], e["value"], e["rule"], e["match"]
     taken = or_empty(F.try_element_at(have, key)) != ""
+    listed = rule["options"].isNotNull()
+    said = F.contains(page, F.lower(F.coalesce(match, value)))
+    route = key == "applyRoute"
+    unproven = ((match == "easy_apply") & ~page.rlike(ROUTE_EVIDENCE["easy_apply"])) | (
+        (match == "external") & ~page.rlike(ROUTE_EVIDENCE["external"]))
+    why = (
+        F.when(rule.isNull(), "not a field the model may fill")
+        .when(taken, "already read from the page")
+        .when(F.length(value) > rule["max_len"], F.concat(F.lit("longer than a "), key, F.lit(" can be")))
+        .when(listed & match.isNull(), F.concat(F.lit("not one of "), rule["options"]))
+        .when(route & unproven, "nothing on the page says so")
+        .when(listed & ~route & ~said, "the page does not say it")
+        .when(~listed & ~said, "not found in the page text"))
     return F.struct(
-        key.alias("field"),
-        F.when(known & ~taken, choose(1)).otherwise(value).alias("value"),
-        F.when(~known, "not a field the model may fill").when(taken, "already read from the page")
-        .otherwise(choose(2)).alias("why"),
-        declined.alias("declined"))
+        key.alias("field"), F.when(taken, value).otherwise(F.coalesce(match, value)).alias("value"), why.alias("why"),
+        (rule.isNotNull() & ((value == "") | value.rlike(DECLINED))).alias("declined"))
 
 
 def verify_claims(claims: DataFrame, fields: str = "fields", sample: str = "sample", current: str = "current") -> DataFrame:
     """Add ``accepted`` (map) and ``rejected`` (field, value, why). Each row checks itself: no shuffle."""
     staged = claims.withColumn("_page", squash_lower(or_empty(sample)))
     none = F.create_map().cast("map<string,string>")
-    judged = F.transform(
-        F.map_entries(F.coalesce(F.col(fields), none)),
-        lambda e: _judge(e["key"], squash(or_empty(e["value"])), F.col("_page"), F.coalesce(F.col(current), none)))
+    rules = _rules()
+    claimed = F.transform(F.map_entries(F.coalesce(F.col(fields), none)), lambda e: F.struct(
+        e["key"].alias("key"), squash(or_empty(e["value"])).alias("value"), F.try_element_at(rules, e["key"]).alias("rule")))
+    matched = F.transform(claimed, lambda e: F.struct(
+        e["key"].alias("key"), e["value"].alias("value"), e["rule"].alias("rule"),
+        F.try_element_at(e["rule"]["one_of"], F.lower(e["value"])).alias("match")))
+    judged = F.transform(matched, lambda e: _judge(e, F.col("_page"), F.coalesce(F.col(current), none)))
     staged = staged.withColumn("_j", F.filter(judged, lambda j: ~j["declined"]))
     good = F.filter("_j", lambda j: j["why"].isNull())
     bad = F.filter("_j", lambda j: j["why"].isNotNull())

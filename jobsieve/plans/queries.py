@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from jobsieve.functions import facts as X
 from jobsieve.functions import header as H
 from jobsieve.functions.htmltext import html_to_text
-from jobsieve.functions.text import csv_cell, norm_title, pane_signature, squash
+from jobsieve.functions.text import csv_cell, norm_title, pane_signature
 from jobsieve.operators import blocks as B
 from jobsieve.operators import claims as C
 from jobsieve.operators import dedupe as D
@@ -30,7 +30,7 @@ from jobsieve.operators import verdicts as V
 from jobsieve.plans.views import (
     CHARS_PAD, SQL_POSTINGS, base_postings, board_pages, chats, details, postings, prose, search_pages, spread, table,
 )
-from jobsieve.schema import POSTING, as_postings, ddl, union_postings
+from jobsieve.schema import union_postings
 from jobsieve.session import scratch
 from jobsieve.sources import memory as M
 from jobsieve.streaming import intake as I
@@ -259,6 +259,8 @@ def _(spark, d):
 _LO = "CAST(floor(o_totalprice) AS BIGINT)"
 _HI = f"({_LO} + CAST(floor({_LO} / 4.0) AS BIGINT))"
 _KLO, _KHI = f"(CAST(floor({_LO} / 1000.0) AS BIGINT) * 1000)", f"(CAST(floor({_HI} / 1000.0) AS BIGINT) * 1000)"
+# "$401K" reads as the retirement plan, which is never pay: by design such a range yields nothing.
+_K401 = f"({_KLO} = 401000 OR {_KHI} = 401000)"
 # A range counts only when both ends are plausible; when the lower is not, the upper stands alone.
 SQL_PAY = f"""
 SELECT job_id, lo AS pay_min_annual, hi AS pay_max_annual, CASE WHEN lo IS NULL THEN '' WHEN kind = 3 THEN 'hour' ELSE 'year' END
@@ -266,11 +268,11 @@ SELECT job_id, lo AS pay_min_annual, hi AS pay_max_annual, CASE WHEN lo IS NULL
 SELECT CAST(o_orderkey AS VARCHAR) AS job_id, o_orderkey % 5 AS kind,
  CASE o_orderkey % 5
   WHEN 0 THEN CASE WHEN {_LO} >= 10000 THEN {_LO} WHEN {_HI} >= 10000 THEN {_HI} END
-  WHEN 1 THEN CASE WHEN {_KLO} >= 10000 THEN {_KLO} WHEN {_KHI} >= 10000 THEN {_KHI} END
+  WHEN 1 THEN CASE WHEN {_K401} THEN NULL WHEN {_KLO} >= 10000 THEN {_KLO} WHEN {_KHI} >= 10000 THEN {_KHI} END
   WHEN 2 THEN CASE WHEN {_LO} >= 10000 THEN {_LO} END
   WHEN 3 THEN CASE WHEN o_orderkey % 100 + 5 >= 7 THEN CAST((o_orderkey % 100 + 5) * 2080 AS BIGINT) END END AS lo,
  CASE o_orderkey % 5 WHEN 0 THEN CASE WHEN {_LO} >= 10000 THEN {_HI} END
-  WHEN 1 THEN CASE WHEN {_KLO} >= 10000 THEN {_KHI} END END AS hi
+  WHEN 1 THEN CASE WHEN {_KLO} >= 10000 AND NOT {_K401} THEN {_KHI} END END AS hi
 FROM orders)"""
 
 
@@ -324,7 +326,7 @@ def _(spark, d):
                     F.coalesce(F.contains(got, F.lit("cannot sponsor")), F.lit(False)).alias("has_sponsor"))
 
 
-@query("facts_in_documents", """SELECT doc_id, CAST(n_chars % 900 + 20 AS BIGINT) * 1000 AS pay_min_annual,
+@query("facts_in_documents", """SELECT doc_id, CASE WHEN n_chars % 900 + 20 <> 401 THEN CAST(n_chars % 900 + 20 AS BIGINT) * 1000 END AS pay_min_annual,
  CAST(n_chars % 20 AS INTEGER) AS yoe_min, CAST(n_chars % 100 AS INTEGER) AS travel_pct FROM documents""")
 def _(spark, d):
     n = F.col("n_chars")
@@ -1000,11 +1002,12 @@ def _(spark, d):
                     F.try_element_at("fields", F.lit("payText")).alias("pay_text"))
 
 
-@query("verify_claims", over_postings("""SELECT job_id, CAST(CASE WHEN seq % 2 = 0 THEN 2 ELSE 1 END + CASE WHEN seq % 3 = 0 AND workplace_type = 'Remote' THEN 1 ELSE 0 END AS INTEGER) AS accepted,
- CASE WHEN seq % 3 <> 0 THEN 'not one of Remote/Hybrid/On-site' WHEN workplace_type = 'Remote' THEN NULL ELSE 'the page does not say it' END AS workplace_why
- FROM postings WHERE seq % 8 NOT IN (2, 3)"""))
+@query("verify_claims", over_postings("""SELECT job_id, CAST(CASE WHEN seq % 8 IN (2, 3) THEN 0 ELSE CASE WHEN seq % 2 = 0 THEN 2 ELSE 1 END + CASE WHEN seq % 3 = 0
+ AND workplace_type = 'Remote' THEN 1 ELSE 0 END END AS INTEGER) AS accepted, CASE WHEN seq % 8 IN (2, 3) THEN NULL WHEN seq % 3 <> 0
+ THEN 'not one of Remote/Hybrid/On-site' WHEN workplace_type = 'Remote' THEN NULL ELSE 'the page does not say it' END AS workplace_why FROM postings"""))
 def _(spark, d):
-    f = C.parse_fields(C.read_replies(spread(reply_rows(spark, d)))).where("fields is not null")
+    # Unreadable replies stay in (they claim nothing): a filter on parsed columns would parse twice.
+    f = C.parse_fields(C.read_replies(spread(reply_rows(spark, d))))
     page = F.concat_ws("  ", "company", F.upper("location"), F.when(F.col("workplace_type") == "Remote", F.col("workplace_type")))
     f = f.withColumn("sample", page).withColumn("current", F.create_map(F.lit("payText"), F.lit("$1")))
     v = C.verify_claims(f)
@@ -1028,7 +1031,8 @@ def _(spark, d):
 @query("apply_claims", over_postings("""SELECT job_id, CASE WHEN seq % 8 NOT IN (2, 3) AND seq % 2 = 0 THEN location ELSE 'gap' END AS location,
  CAST(CASE WHEN seq % 8 IN (2, 3) THEN 0 WHEN seq % 2 = 0 THEN 2 ELSE 1 END AS INTEGER) AS filled FROM postings"""))
 def _(spark, d):
-    f = C.parse_fields(C.read_replies(spread(reply_rows(spark, d)))).where("fields is not null")
+    # Unreadable replies stay in (they claim nothing): a filter on parsed columns would parse twice.
+    f = C.parse_fields(C.read_replies(spread(reply_rows(spark, d))))
     f = f.withColumn("sample", F.concat_ws(" ", "company", "location")).withColumn("current", F.create_map(F.lit("payText"), F.lit("$1"), F.lit("workplaceType"), F.lit("x")))
     acc = C.verify_claims(f).select("job_id", F.lit("m1").alias("model"), "accepted")
     gap = postings(spark, d).withColumn("location", F.lit("gap"))
@@ -1104,6 +1108,3 @@ def _(spark, d):
     out = scratch(spark, "counters")
     I.stream_counters(rows, out, scratch(spark, "counting"), once=True).awaitTermination()
     return I.read_counters(spark, out)
-
-
-__all__ = ["QUERIES", "ORACLES", "POSTING", "as_postings", "ddl", "squash", "tag_rows"]
