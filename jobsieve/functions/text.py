@@ -20,7 +20,7 @@ def let(value: Column, body) -> Column:
 def squash(c: Column | str) -> Column:
     """White-space runs to one blank, ends trimmed."""
     # A single plain blank already is what it should be; only the rest is rewritten.
-    return F.trim(F.regexp_replace(col(c), rx("{S}{2,}|(?! ){S}"), " "))
+    return F.trim(F.regexp_replace(col(c), rx("(?![!-~])(?:{S}{2,}|(?! ){S})"), " "))
 
 
 def squash_lower(c: Column | str) -> Column:

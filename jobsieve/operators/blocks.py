@@ -279,6 +279,16 @@ def cards(parsed: DataFrame, key: str = "page_id") -> DataFrame:
     return chosen.select(key, F.posexplode_outer(c).alias("card_no", "c")).where("c is not null").select(key, "card_no", "c.*")
 
 
+def keyed_cards(parsed: DataFrame, key: str = "page_id") -> DataFrame:
+    """Cards of the layout that carries the posting id in each card's component key, once per id."""
+    buttons = F.filter("els", lambda e: (or_empty(_attr(e, "role")) == "button") & H.card_key(e["attrs"]).isNotNull())
+    found = F.transform(buttons, lambda e: F.struct(H.card_key(e["attrs"]).alias("job_id"), e["ord"].alias("card_ord")))
+    once = let(found, lambda cs: F.filter(cs, lambda c, i: ~F.exists(
+        F.slice(cs, F.lit(1), i), lambda p: p["job_id"] == c["job_id"])))
+    rows = parsed.select(key, F.posexplode_outer(once).alias("card_no", "c")).where("c is not null")
+    return rows.select(key, "card_no", "c.*")
+
+
 # ---- the description ----
 
 def _plausible(e: Column, root: Column, links: Column) -> Column:
@@ -537,35 +547,33 @@ def page_parts(parsed: DataFrame, key: str = "page_id") -> DataFrame:
 def changed_blocks(before: DataFrame, after: DataFrame, key: str = "url") -> DataFrame:
     """Blocks whose text changed while their place stayed, and for each page the smallest block covering them.
 
-    ``before`` and ``after`` are parsed snapshots of the same pages. Only (key, place, hash) is joined.
+    ``before`` and ``after`` are parsed snapshots, one row per page each. They meet in one join of slim rows
+    (places and hashes, no text); the comparison itself is array work inside the joined row.
     """
-    slim = F.transform(F.filter("els", lambda e: e["text_hash"].isNotNull()), lambda e: F.struct(
-        *[e[c].alias(c) for c in ("ord", "last", "depth", "norm_len", "css_path", "text_hash")]))
-    edge = lambda c: F.col(f"root.{c}").alias(f"root_{c}")
-    big = lambda df: df.select(key, edge("ord"), edge("last"), F.inline_outer(slim)).where("ord is not null")
-    rooted = lambda df: df if "root" in df.columns else list_root(df)
-    a = big(rooted(before)).select(key, "css_path", F.col("text_hash").alias("_was"))
-    outside = F.col("root_ord").isNull() | ~((F.col("ord").between(F.col("root_ord"), F.col("root_last")))
-                                             | (F.col("root_ord").between(F.col("ord"), F.col("last"))))
-    b = big(rooted(after)).where(outside).select(key, "css_path", "text_hash", "ord", "last", "norm_len", "depth")
-    moved = b.join(a, [key, "css_path"]).where("text_hash <> _was")
-    per_page = moved.groupBy(key).agg(  # one entry per changed block of one page
-        F.array_sort(F.collect_list(F.struct("ord", "last", "norm_len", "css_path"))).alias("changed"))
+    rooted = after if "root" in after.columns else list_root(after)
+    places = F.map_from_entries(F.transform(
+        F.filter("els", lambda e: e["text_hash"].isNotNull()), lambda e: F.struct(e["css_path"], e["text_hash"])))
+    slim = F.transform("els", lambda e: F.struct(
+        *[e[c].alias(c) for c in ("ord", "last", "tag", "norm_len", "css_path", "text_hash")]))
+    was = before.select(key, places.alias("_was"))
+    now = rooted.select(key, slim.alias("els"), F.struct("root.ord", "root.last").alias("root"))
+    moved = F.filter("els", lambda e: e["text_hash"].isNotNull() & ~_overlap(e, F.col("root"))
+                     & F.coalesce(F.try_element_at("_was", e["css_path"]) != e["text_hash"], F.lit(False)))
+    found = now.join(was, key).withColumn("changed", moved).where(F.size("changed") > 0)
     leaf = F.filter("changed", lambda c: ~F.exists("changed", lambda d: _below(d, c)))
-    return per_page.withColumn("leaves", leaf).join(
-        rooted(after).select(key, "els", "root"), key).select(
-        key, "changed", "leaves", _cover(F.col("els"), F.col("root"), F.col("leaves")).alias("_c")
-    ).select(key, F.size("changed").alias("n_changed"), F.size("leaves").alias("n_leaves"),
-             F.col("_c.ord").alias("block_ord"), F.col("_c.css_path").alias("css_path"),
-             F.col("_c.norm_len").alias("norm_len"))
+    covered = found.withColumn("leaves", leaf).withColumn("_c", _cover(F.col("els"), F.col("root"), F.col("leaves")))
+    return covered.select(
+        key, F.size("changed").alias("n_changed"), F.size("leaves").alias("n_leaves"), F.col("_c.ord").alias("block_ord"),
+        F.col("_c.css_path").alias("css_path"), F.col("_c.norm_len").alias("norm_len"))
 
 
 def _cover(els: Column, root: Column, leaves: Column) -> Column:
+    """The one changed leaf, else the tightest element around all of them, else the largest leaf."""
     lo = F.array_min(F.transform(leaves, lambda x: x["ord"]))
     hi = F.array_max(F.transform(leaves, lambda x: x["last"]))
-    around = F.element_at(F.concat(F.array(F.lit(None).cast("int")), F.transform(
+    around = F.array_max(F.transform(
         F.filter(els, lambda e: (e["ord"] <= lo) & (e["last"] >= hi) & ~e["tag"].isin("html", "body")
-                 & ~F.coalesce(_inside(root, e), F.lit(False))), lambda e: e["ord"])), -1)
+                 & ~F.coalesce(_inside(root, e), F.lit(False))), lambda e: e["ord"]))
     largest = -F.array_max(F.transform(leaves, lambda x: F.struct(
         x["norm_len"].alias("n"), (-x["ord"]).alias("o"))))["o"]
     return F.when(F.size(leaves) == 1, F.get(els, _first(leaves)["ord"])).otherwise(

@@ -78,6 +78,11 @@ LABELS = {
     "company_not": "excluded companies", "min_chars": "min JD length",
 }
 
+# The sentences that explain an empty list.
+NOTE_SEARCH = ('Nothing matches "', '". It searches company, title, location and job id — clear it to see all ', " again.")
+NOTE_UNSET = " collected jobs are hidden, but no filter is set."
+NOTE_FILTERS = (" collected jobs are filtered out — ", ". Open the gear to change them, or Reset filters to clear them all.")
+
 
 def active_filters(spec: FilterSpec) -> list[str]:
     """Keys that are set, in display order."""
@@ -228,29 +233,25 @@ def explain_empty(
     df: DataFrame, spec: FilterSpec, history: DataFrame | None = None, verdicts: DataFrame | None = None
 ) -> DataFrame:
     """One row saying why the list is empty; no row when it is not empty."""
+    # Three one-row answers, brought together as scalar subqueries.
     total = df.agg(F.count(F.lit(1)).alias("total"))
-    left = apply_filters(df, spec, history, verdicts).limit(1).agg(F.count(F.lit(1)).alias("left"))
+    left = apply_filters(df, spec, history, verdicts).limit(1).agg(F.count(F.lit(1))).scalar()
+    base = total.where((F.col("total") > 0) & (left == 0))
+    count = F.col("total").cast("string")
     if terms_of(spec.q):
-        note = F.concat(
-            F.lit(f'Nothing matches "{spec.q.strip()}". It searches company, title, location and job id '
-                  "— clear it to see all "), F.col("total").cast("string"), F.lit(" again."))
-        why = total
-    else:
-        rows = filter_attribution(df, spec, history, verdicts).select("key", "label", "removed")
-        ranked = rows.agg(  # at most 23 rows: one per filter key
-            F.sort_array(F.collect_list(F.struct("removed", "label")), asc=False).alias("by")
-        )
-        why = total.join(ranked)  # one row on each side
-        head = F.array_join(
-            F.transform(F.slice("by", 1, 3), lambda r: F.concat(r["label"], F.lit(" ("), r["removed"], F.lit(")"))), ", ")
-        more = F.when(F.size("by") > 3, F.concat(F.lit(" and "), (F.size("by") - 3).cast("string"), F.lit(" more")))
-        note = F.when(F.size("by") == 0, F.concat(
-            F.lit("All "), F.col("total"), F.lit(" collected jobs are hidden, but no filter is set."))
-        ).otherwise(F.concat(
-            F.lit("All "), F.col("total"), F.lit(" collected jobs are filtered out — "), head,
-            F.coalesce(more, F.lit("")),
-            F.lit(". Open the gear to change them, or Reset filters to clear them all.")))
-    return why.join(left).where("total > 0 and left = 0").select(note.alias("note"))
+        return base.select(F.concat(
+            F.lit(NOTE_SEARCH[0] + spec.q.strip() + NOTE_SEARCH[1]), count, F.lit(NOTE_SEARCH[2])).alias("note"))
+    rows = filter_attribution(df, spec, history, verdicts)
+    # At most 23 rows: one per filter key.
+    by = rows.agg(F.sort_array(F.collect_list(F.struct("removed", "label")), asc=False)).scalar()
+    staged = base.withColumn("_by", by)
+    head = F.array_join(
+        F.transform(F.slice("_by", 1, 3), lambda r: F.concat(r["label"], F.lit(" ("), r["removed"], F.lit(")"))), ", ")
+    more = F.when(F.size("_by") > 3, F.concat(F.lit(" and "), (F.size("_by") - 3).cast("string"), F.lit(" more")))
+    unset = F.concat(F.lit("All "), count, F.lit(NOTE_UNSET))
+    named = F.concat(
+        F.lit("All "), count, F.lit(NOTE_FILTERS[0]), head, F.coalesce(more, F.lit("")), F.lit(NOTE_FILTERS[1]))
+    return staged.select(F.when(F.size("_by") == 0, unset).otherwise(named).alias("note"))
 
 
 def select_rows(df: DataFrame, deselected: DataFrame) -> DataFrame:

@@ -27,10 +27,11 @@ from jobsieve.operators import pagefacts as P
 from jobsieve.operators import runs as R
 from jobsieve.operators import search as S
 from jobsieve.operators import verdicts as V
+from jobsieve.plans import pipelines as L
 from jobsieve.plans.views import (
     CHARS_PAD, SQL_POSTINGS, base_postings, board_pages, chats, details, postings, prose, search_pages, spread, table,
 )
-from jobsieve.schema import union_postings
+from jobsieve.schema import VERDICTS, union_postings
 from jobsieve.session import scratch
 from jobsieve.sources import memory as M
 from jobsieve.streaming import intake as I
@@ -401,9 +402,8 @@ def _(spark, d):
  SELECT job_id, CASE WHEN k % 10 <> 3 AND k % 3 <> 1 AND k % 7 <> 2 THEN 'hiringcafe:full' WHEN k % 7 <> 0 THEN 'hiringcafe:summary'
  ELSE 'none' END AS description_source FROM h WHERE job_id IS NOT NULL""")
 def _(spark, d):
-    hits = N.join_descriptions(live_hits(spark, d), N.read_detail_json(details(spark, d)))
-    hits = hits.withColumn("seq", F.col("page_no") * 1_000_000 + F.col("hit_no"))
-    return D.dedupe_first(N.normalise_hit(hits, now_ms=_NOW_MS)).select("job_id", "description_source")
+    got = L.collect_structured(search_pages(spark, d), details(spark, d), now_ms=_NOW_MS)
+    return got.select("job_id", "description_source")
 
 
 @query("criteria", """SELECT c_custkey, c_mktsegment AS query, CASE c_custkey % 4 WHEN 0 THEN 'US' WHEN 1 THEN 'GB' WHEN 2 THEN
@@ -661,14 +661,7 @@ def _(spark, d):
 @query("tag_rows", f"""WITH {SQL_POSTINGS}, {SQL_HISTORY}, {SQL_VERDICTS} SELECT p.job_id, h.job_id IS NOT NULL AS seen, v.verdict, v.reason
  FROM postings p LEFT JOIN history h ON p.job_id = h.job_id LEFT JOIN verdicts v ON p.job_id = v.job_id""")
 def _(spark, d):
-    return tag_rows(base_postings(spark, d), history(spark, d), verdict_rows(spark, d)).select("job_id", "seen", "verdict", "reason")
-
-
-def tag_rows(df: DataFrame, hist: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """Show, without removing, what was exported before and how it was judged."""
-    h = hist.select("job_id", F.lit(True).alias("_h"))
-    return df.join(h, "job_id", "left").join(verdicts.select("job_id", "verdict", "reason"), "job_id", "left").withColumn(
-        "seen", F.coalesce("_h", F.lit(False))).drop("_h")
+    return L.tag_rows(base_postings(spark, d), history(spark, d), verdict_rows(spark, d)).select("job_id", "seen", "verdict", "reason")
 
 
 @query("skip_known", "SELECT CAST(o_orderkey AS VARCHAR) AS job_id FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
@@ -767,12 +760,18 @@ def _(spark, d):
 # ---- export ----
 
 @query("job_blocks", over_postings("""SELECT job_id, '--- JOB ' || (row_number() OVER (ORDER BY seq)) || ' | ID ' || job_id || ' ---' AS head,
- CASE WHEN yoe_min IS NOT NULL THEN contains(body, 'Years required: ' || yoe_min || '+') ELSE TRUE END AS ok FROM (SELECT *, 'Years required: ' || yoe_min || '+' AS body FROM postings)"""))
+ 'Location: ' || location || ' (' || coalesce(workplace_type, '') || ')' AS place, 'Applicants: ' || coalesce(CAST(applicants AS VARCHAR), 'unknown') AS applied,
+ concat_ws(' | ', 'Years required: ' || yoe_min || '+', 'Travel: up to ' || travel_pct || '%', CASE WHEN needs_clearance THEN 'Security clearance required' END,
+ CASE WHEN sponsorship_unavailable THEN 'Visa sponsorship NOT available' END, CASE WHEN requires_relocation THEN 'Relocation required' END,
+ CASE WHEN remote_contradiction THEN 'WARNING: tagged Remote but the description requires onsite presence' END, 'Direct apply URL: ' || apply_url) AS facts,
+ length(coalesce(description, '(no description captured)')) AS text_chars FROM postings"""))
 def _(spark, d):
     b = E.with_blocks(postings(spark, d))
-    years = F.concat(F.lit("Years required: "), F.col("yoe_min").cast("string"), F.lit("+"))
-    return b.select("job_id", F.split_part("block", F.lit("\n"), F.lit(1)).alias("head"),
-                    F.coalesce(F.contains("block", years), F.lit(True)).alias("ok"))
+    line = lambda n: F.split_part("block", F.lit("\n"), F.lit(n))
+    text = F.regexp_extract("block", "(?s)JOB DESCRIPTION:\n(.*)\n\\z", 1)
+    return b.select("job_id", line(1).alias("head"), line(4).alias("place"), line(6).alias("applied"),
+                    F.regexp_extract("block", "PARSED FACTS: ([^\n]*)", 1).alias("facts"),
+                    F.length(text).cast("bigint").alias("text_chars"))
 
 
 _GREEDY = """WITH RECURSIVE r AS (SELECT o_orderkey AS k, {grp} AS g, CAST(floor(o_totalprice / 60) AS BIGINT) AS len,
@@ -801,10 +800,15 @@ def _(spark, d):
         "job_id", "export_id", "batch_no")
 
 
-@query("render_batches")
+# Blocks here are far below the budget, so only the fifteen-job limit cuts.
+@query("render_batches", over_postings("""SELECT batch_no, (n + 14) // 15 AS n_batches, count(*) AS n_jobs, '=== BATCH ' || batch_no || ' of ' || ((n + 14) // 15) ||
+ ' — ' || count(*) || ' jobs ===' AS head, string_agg(job_id, ',' ORDER BY r) AS ids FROM (SELECT job_id, r, n, (r - 1) // 15 + 1 AS batch_no FROM (SELECT job_id,
+ row_number() OVER (ORDER BY coalesce(pay_max_annual, pay_min_annual, -1) DESC, seq) AS r, count(*) OVER () AS n FROM postings WHERE NOT promoted)) GROUP BY batch_no, n"""))
 def _(spark, d):
-    blocks = E.with_blocks(postings(spark, d))
-    return E.render_batches(blocks, E.pack_batches(blocks, ["job_no"])).select("batch_no", "n_batches", "n_jobs", F.md5("text").alias("text_md5"))
+    batches = L.export_batches(postings(spark, d), FL.FilterSpec(sort="pay", no_promoted=True))
+    found = F.regexp_extract_all("text", F.lit("--- JOB \\d+ [|] ID (\\d+) ---"), F.lit(1))
+    return batches.select("batch_no", "n_batches", "n_jobs", F.regexp_extract("text", "=== BATCH .*? ===", 0).alias("head"),
+                          F.array_join(found, ",").alias("ids"))
 
 
 @query("batch_totals", over_postings("SELECT count(*) AS jobs FROM postings"))
@@ -858,10 +862,11 @@ def _(spark, d):
     return parsed_pages(spark, d).select("page_id", n.cast("bigint").alias("n_links"))
 
 
-@query("html_blocks")
+@query("html_blocks", """SELECT page_id, len(regexp_extract_all(regexp_replace(regexp_replace(regexp_replace(html, '(?is)(<script\\b[^>]*>).*?</script>', '\\1', 'g'),
+ '(?is)(<style\\b[^>]*>).*?</style>', '\\1', 'g'), '(?s)<!--.*?-->', '', 'g'), '<[a-zA-Z][^<>]*>')) AS elements FROM pages""")
 def _(spark, d):
     rows = B.block_rows(parsed_pages(spark, d))
-    return rows.groupBy("page_id").agg(F.count(F.lit(1)).alias("elements"), F.max("depth").alias("depth"), F.max("norm_len").alias("chars"))
+    return rows.groupBy("page_id").agg(F.count(F.lit(1)).alias("elements"))
 
 
 @query("page_outlines")
@@ -929,8 +934,8 @@ def _(spark, d):
  CASE WHEN apply_type IN ('easy_apply', 'external') THEN apply_type ELSE 'unknown' END AS apply_type, coalesce(pay_min_annual, 50000) + 10000 AS pay_min_annual, 3 AS yoe_min
  FROM shown WHERE r = 1""")
 def _(spark, d):
-    parts = B.page_parts(parsed_board(spark, d)).withColumn("job_id", F.col("page_id").cast("string"))
-    built = P.build_postings(parts)
+    pages = spread(board_pages(spark, d)).withColumn("job_id", F.col("page_id").cast("string"))
+    built = L.collect_pages(pages, "page_id")
     return built.select(F.col("job_id").cast("bigint").alias("page_id"), "title", "company", "location", "workplace_type", "posted_days_ago",
                         "applicants", "employment_type", "apply_type", "pay_min_annual", "yoe_min")
 
@@ -967,10 +972,14 @@ def _(spark, d):
     return spread(table(spark, d, "documents")).select("doc_id", C.prompt_sample("lang", "text").alias("sample"))
 
 
-@query("build_messages")
+@query("build_messages", over_postings("""SELECT job_id, CAST(2 + CASE WHEN coalesce(workplace_type, 'Unknown') = 'Unknown' THEN 1 ELSE 0 END +
+ CASE WHEN pay_min_annual IS NULL THEN 1 ELSE 0 END + CASE WHEN coalesce(apply_type, 'unknown') = 'unknown' THEN 1 ELSE 0 END AS INTEGER) AS asked,
+ 'JOB PAGE TEXT' || chr(10) || chr(10) || trim(title || chr(10) || chr(10) || trim(coalesce(description, '')), ' ' || chr(10)) AS said FROM postings"""))
 def _(spark, d):
     g = C.field_gaps(postings(spark, d)).withColumn("sample", C.prompt_sample("title", "description"))
-    return C.build_messages(g).select("job_id", F.size("messages").alias("n"), F.length(F.get("messages", F.lit(0))["content"]).alias("system_chars"))
+    m = C.build_messages(g)
+    content = lambda i: F.get("messages", F.lit(i))["content"]
+    return m.select("job_id", (F.size(F.split(content(0), "\n")) - 1).alias("asked"), content(1).alias("said"))
 
 
 def reply_rows(spark, d):
@@ -1108,3 +1117,15 @@ def _(spark, d):
     out = scratch(spark, "counters")
     I.stream_counters(rows, out, scratch(spark, "counting"), once=True).awaitTermination()
     return I.read_counters(spark, out)
+
+
+@query("stream_verdicts", f"""SELECT {_IDENT} AS job_id, CASE WHEN quality = 1 THEN 'accept' ELSE 'reject' END AS verdict, 'toxic ' || toxic AS reason FROM labels""")
+def _(spark, d):
+    rows = I.read_arrivals(spark, f"{d}/labels*.parquet", "doc_id bigint, quality int, toxic int")
+    turns = rows.select(
+        F.col("doc_id").alias("conv_id"), F.lit(0).alias("turn"),
+        F.concat(F.lit("VERDICT job"), F.lpad(F.col("doc_id").cast("string"), 7, "0"), F.when(F.col("quality") == 1, " ACCEPT").otherwise(" REJECT"),
+                 F.lit(": toxic "), F.col("toxic").cast("string")).alias("text"))
+    memory = scratch(spark, "verdicts")
+    I.stream_verdicts(turns, memory, scratch(spark, "verdict-reading"), once=True).awaitTermination()
+    return M.read_memory(spark, memory, VERDICTS, "job_id", "at").select("job_id", "verdict", "reason")

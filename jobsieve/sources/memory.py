@@ -32,11 +32,15 @@ def append_postings(spark: SparkSession, incoming: DataFrame, path: str, partiti
 
     Only the id column of the store is read. A replayed batch finds its own ids stored and adds nothing.
     """
-    fresh = dedupe_first(as_postings(incoming))
+    batch = dedupe_first(as_postings(incoming)).persist()
+    fresh = batch
     if _exists(spark, path):
-        stored = read_postings(spark, path).select("job_id")
-        fresh = fresh.join(stored, "job_id", "left_anti")
+        # Look the batch's ids up in the store, not the other way round: Spark can then broadcast the batch
+        # when its measured size is small, and the store's ids are only streamed past it.
+        known = read_postings(spark, path).select("job_id").join(batch.select("job_id"), "job_id", "left_semi")
+        fresh = batch.join(known, "job_id", "left_anti")
     fresh.write.mode("append").partitionBy(partition_by).parquet(path)
+    batch.unpersist()
 
 
 def mark_exported(ids: DataFrame, at: str | None = None) -> DataFrame:

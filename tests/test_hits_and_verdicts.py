@@ -145,3 +145,29 @@ def test_merge_counts(spark):
     merged, counts = V.merge_verdicts(store, batch)
     assert {r.job_id: r.verdict for r in merged.collect()} == {"a": "accept", "b": "accept", "c": "reject"}
     assert counts.first().asDict() == {"added": 1, "updated": 1, "total": 3}
+
+
+def test_scan_into_store(spark):
+    from jobsieve.plans.pipelines import scan_verdicts, tag_rows
+
+    store = spark.createDataFrame([("12345", "accept", "", "s")], "job_id string, verdict string, reason string, source string").select(
+        "job_id", "verdict", "reason", F.lit(None).cast("timestamp").alias("at"), "source")
+    chats = spark.createDataFrame([(1, 0, "VERDICT 12345 REJECT: no\nVERDICT 99999 ACCEPT\nreject 11111 or 22222 accept?")], "conv_id int, turn int, text string")
+    merged, counts, unclear = scan_verdicts(chats, store)
+    assert {r.job_id: r.verdict for r in merged.collect()} == {"12345": "reject", "99999": "accept", "11111": "reject"}
+    assert counts.first().asDict() == {"added": 2, "updated": 1, "total": 3} and unclear.count() == 0
+    rows = spark.createDataFrame([("12345",), ("5",)], "job_id string")
+    tagged = {r.job_id: (r.seen, r.verdict) for r in tag_rows(rows, rows.where("job_id = '5'"), merged).collect()}
+    assert tagged == {"12345": (False, "reject"), "5": (True, None)}
+
+
+def test_collect_drops_caps_and_skips_before_the_join(spark):
+    from jobsieve.plans.pipelines import collect_structured
+
+    pages = [(1, page([hit(id="a"), hit(id="b", is_expired=True), hit(id="c")])), (2, page([hit(id="a"), hit(id="d")])), (3, page([hit(id="e")]))]
+    det = spark.createDataFrame([("c", json.dumps({"job": {"job_information": {"description": "full c"}}}))], "job_id string, body string")
+    df = spark.createDataFrame(pages, "page_no int, html string")
+    got = {r.job_id: r.description for r in collect_structured(df, det, now_ms=0, max_jobs=3, max_pages=2).collect()}
+    assert got == {"a": "", "c": "full c", "d": ""}
+    known = spark.createDataFrame([("a",)], "job_id string")
+    assert {r.job_id for r in collect_structured(df, det, now_ms=0, known=known).collect()} == {"c", "d", "e"}

@@ -179,3 +179,18 @@ def test_apply_precedence_and_thin_rows(spark):
                                  "d string, t string, c string")
     assert [r[0] for r in thin.select(H.thin_reason("d", "t", "c")).collect()] == [
         "description was 1 characters", "no title", 'the title came out as "About the job"', "no company", None]
+
+
+def test_keyed_cards(spark):
+    card = '<div role="button" componentkey="job-card-component-ref-{0}"><p>x</p></div>'
+    page = "<main>" + "".join(card.format(i) for i in (11, 22, 22, 33)) + '<div componentkey="job-card-component-ref-44"></div></main>'
+    assert [r.job_id for r in B.keyed_cards(parsed(spark, page)).orderBy("card_no").collect()] == ["11", "22", "33"]
+
+
+def test_known_pages_are_skipped_before_parsing(spark):
+    from jobsieve.plans.pipelines import collect_pages
+
+    pages = spark.createDataFrame([(i, str(i), "u", two_pane(card_list())) for i in range(3)], "page_id int, job_id string, url string, html string")
+    seen = spark.createDataFrame([("0",)], "job_id string")
+    said = spark.createDataFrame([("1", "reject"), ("2", "accept")], "job_id string, verdict string")
+    assert [r.job_id for r in collect_pages(pages, "page_id", seen, said).collect()] == ["2"]
