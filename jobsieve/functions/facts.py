@@ -136,7 +136,7 @@ def money_mentions(text: Column | str, strict_k: bool = False) -> Column:
         )
 
     return F.filter(
-        F.transform(find_spans(text, pat, _MONEY_HINT), token), lambda t: t["marked"] | t["comma_grouped"]
+        F.transform(find_spans(text, pat, _MONEY_HINT, keep="[$€£₹,kKA-Z]"), token), lambda t: t["marked"] | t["comma_grouped"]
     )
 
 

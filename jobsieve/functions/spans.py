@@ -23,11 +23,11 @@ SPAN = T.ArrayType(
 )
 
 
-def find_spans(text: Column | str, pattern: str, only_if: str | None = None) -> Column:
+def find_spans(text: Column | str, pattern: str, only_if: str | None = None, keep: str | None = None) -> Column:
     """All non-empty matches of ``pattern`` as ``array<struct<start,end,m>>`` (zero-based, end exclusive).
 
     ``only_if`` is a cheap test that every text with a useful match passes; the rest skip both scans.
-    Groups are read back from ``m`` with ``regexp_extract``.
+    ``keep`` drops matches that do not contain it. Groups are read back from ``m`` with ``regexp_extract``.
     """
     t = col(text)
     empty = F.from_json(F.lit("[]"), SPAN)
@@ -40,12 +40,10 @@ def find_spans(text: Column | str, pattern: str, only_if: str | None = None) ->
     def step(acc, p):
         start = acc["at"] + p["gap"]
         end = start + F.length(p["m"])
-        return F.struct(
-            end.cast("int").alias("at"),
-            F.array_append(
-                acc["out"], F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"), p["m"].alias("m"))
-            ).alias("out"),
-        )
+        longer = F.array_append(
+            acc["out"], F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"), p["m"].alias("m")))
+        out = F.when(p["m"].rlike(keep), longer).otherwise(acc["out"]) if keep else longer
+        return F.struct(end.cast("int").alias("at"), out.alias("out"))
 
     walked = F.aggregate(
         F.filter(pairs, lambda p: p["m"].isNotNull()),

@@ -98,11 +98,20 @@ def _first_result(arr: Column, fn) -> Column:
     return _first(F.filter(F.transform(arr, fn), lambda x: x.isNotNull()))
 
 
+def _climb(els: Column, e: Column, levels: int | Column) -> Column:
+    """Numbers of the ancestors of ``e``, nearest first, followed parent by parent."""
+    n = F.lit(levels) if isinstance(levels, int) else levels
+    start = F.struct(e["parent"].alias("at"), F.array().cast("array<int>").alias("out"))
+    return F.when(n < 1, F.array().cast("array<int>")).otherwise(F.aggregate(
+        F.sequence(F.lit(1), F.greatest(n, F.lit(1))), start,
+        lambda acc, _: F.when(acc["at"].isNull(), acc).otherwise(F.struct(
+            F.get(els, acc["at"])["parent"].alias("at"), F.array_append(acc["out"], acc["at"]).alias("out"))),
+        lambda acc: acc["out"]))
+
+
 def _ancestors(els: Column, e: Column, up_to: int | Column) -> Column:
     """Ancestors of ``e``, nearest first, at most ``up_to`` levels up, page root excluded."""
-    found = F.filter(els, lambda a: _below(e, a) & (a["depth"] >= e["depth"] - up_to)
-                     & ~a["tag"].isin("html", "body"))
-    return F.reverse(found)
+    return F.filter(F.transform(_climb(els, e, up_to), lambda o: F.get(els, o)), lambda a: ~a["tag"].isin("html", "body"))
 
 
 def _links_below(links: Column, e: Column) -> Column:
@@ -148,22 +157,31 @@ def discovery_breakdown(parsed: DataFrame) -> DataFrame:
 
 
 def _list_root(els: Column, links: Column) -> Column:
-    """The element with the most job links below it (ten levels at most), tightest on a tie."""
+    """The element with the most job links below it (ten levels at most), tightest on a tie.
 
-    def rate(a):
-        mine = F.filter(links, lambda k: _below(k, a) & (k["depth"] - a["depth"] <= 10))
-        return F.struct(
-            F.size(mine).alias("n"), (-_first(mine)["ord"]).alias("first"), a["depth"].alias("depth"), a.alias("e"))
+    Each link names its ancestors; sorted, equal ones form runs whose lengths are the counts, so one walk
+    over them finds the winner however many links a page has.
+    """
+    above = F.array_sort(F.flatten(F.transform(links, lambda k: F.filter(
+        _climb(els, k, 10), lambda o: F.get(els, o)["tag"] != "html"))))
 
-    over = F.filter(els, lambda a: (a["tag"] != "html") & F.exists(links, lambda k: _below(k, a)))
-    best = F.array_max(F.filter(
-        F.transform(over, lambda a: _slim_rate(rate(a))), lambda r: r["n"] > 0))
-    return F.when(F.size(links) >= 2, F.get(els, best["ord"]))
+    def settle(acc):
+        # Ancestors come in page order: a later one wins with more links, or with as many if it lies inside.
+        tighter = (acc["n"] == acc["best_n"]) & (acc["at"] <= acc["best_last"])
+        better = (acc["n"] > acc["best_n"]) | tighter
+        keep = lambda new, old: F.when(better, new).otherwise(old)
+        return (keep(acc["n"], acc["best_n"]), keep(acc["at"], acc["best"]),
+                keep(F.get(els, acc["at"])["last"], acc["best_last"]))
 
+    def step(acc, o):
+        n, at, last = settle(acc)
+        return F.when(o == acc["at"], acc.withField("n", acc["n"] + 1)).otherwise(F.struct(
+            o.alias("at"), F.lit(1).alias("n"), n.alias("best_n"), at.alias("best"), last.alias("best_last")))
 
-def _slim_rate(r: Column) -> Column:
-    # Maps cannot be compared, so only the element number takes part.
-    return F.struct(r["n"].alias("n"), r["first"].alias("first"), r["depth"].alias("depth"), r["e"]["ord"].alias("ord"))
+    zero = F.struct(F.lit(-1).alias("at"), F.lit(0).alias("n"), F.lit(0).alias("best_n"), F.lit(-1).alias("best"),
+                    F.lit(-1).alias("best_last"))
+    best = F.aggregate(above, zero, step, lambda acc: settle(acc)[1])
+    return F.when((F.size(links) >= 2) & (best >= 0), F.get(els, best))
 
 
 def list_root(parsed: DataFrame) -> DataFrame:
@@ -243,6 +261,12 @@ def best_group(groups: DataFrame, key: str = "page_id") -> DataFrame:
     ).select(key, "_g.*")
 
 
+def _one_per_id(ks: Column) -> Column:
+    """The first of each job id, in order."""
+    return let(F.transform(ks, lambda k: k["job_id"]), lambda ids: F.filter(
+        ks, lambda k, i: F.array_position(ids, k["job_id"]) == i + 1))
+
+
 def cards(parsed: DataFrame, key: str = "page_id") -> DataFrame:
     """One row per posting card: by the ids on the page, or by repeated shape when ids give fewer than three.
 
@@ -254,13 +278,10 @@ def cards(parsed: DataFrame, key: str = "page_id") -> DataFrame:
     enough = F.coalesce(F.size(scoped) >= F.greatest(F.lit(2.0), F.size("links") * 0.5), F.lit(False))
     use = F.when(enough, scoped).otherwise(F.col("links"))
 
-    def fresh(ks):
-        return F.filter(ks, lambda k, i: ~F.exists(F.slice(ks, F.lit(1), i), lambda p: p["job_id"] == k["job_id"]))
-
     def holder(k):
-        up = F.filter(els, lambda a: _inside(k, a))
-        li = F.array_max(F.transform(F.filter(up, lambda a: a["tag"] == "li"), lambda a: a["ord"]))
-        data = F.array_max(F.transform(F.filter(up, lambda a: _attr(a, "data-job-id").isNotNull()), lambda a: a["ord"]))
+        chain = F.concat(F.array(k["ord"]), _climb(els, k, k["depth"]))
+        li = _first(F.filter(chain, lambda o: F.get(els, o)["tag"] == "li"))
+        data = _first(F.filter(chain, lambda o: _attr(F.get(els, o), "data-job-id").isNotNull()))
         return F.struct(k["job_id"].alias("job_id"), k["ord"].alias("link_ord"),
                         F.coalesce(li, data, k["parent"], k["ord"]).alias("card_ord"))
 
@@ -271,7 +292,7 @@ def cards(parsed: DataFrame, key: str = "page_id") -> DataFrame:
             c["job_id"].alias("job_id"), F.lit(None).cast("int").alias("link_ord"), c["ord"].alias("card_ord")))
 
     on_jobs = F.coalesce(F.try_parse_url("url", F.lit("PATH")), F.lit("")).rlike("^/jobs(/|$)")
-    by_id = rooted.withColumn("_by_id", F.transform(let(use, fresh), holder))
+    by_id = rooted.withColumn("_by_id", F.transform(let(use, _one_per_id), holder))
     job_groups = F.filter(_card_groups(els), lambda g: g["non_job"] * 2 < g["members"])
     shaped = by_id.withColumn("_group", F.when((F.size("_by_id") < 3) & on_jobs, F.array_max(job_groups)))
     chosen = shaped.select(key, "_by_id", F.when(F.col("_group").isNotNull(), members_of(F.col("_group"))).alias("_by_shape"))
@@ -283,9 +304,7 @@ def keyed_cards(parsed: DataFrame, key: str = "page_id") -> DataFrame:
     """Cards of the layout that carries the posting id in each card's component key, once per id."""
     buttons = F.filter("els", lambda e: (or_empty(_attr(e, "role")) == "button") & H.card_key(e["attrs"]).isNotNull())
     found = F.transform(buttons, lambda e: F.struct(H.card_key(e["attrs"]).alias("job_id"), e["ord"].alias("card_ord")))
-    once = let(found, lambda cs: F.filter(cs, lambda c, i: ~F.exists(
-        F.slice(cs, F.lit(1), i), lambda p: p["job_id"] == c["job_id"])))
-    rows = parsed.select(key, F.posexplode_outer(once).alias("card_no", "c")).where("c is not null")
+    rows = parsed.select(key, F.posexplode_outer(let(found, _one_per_id)).alias("card_no", "c")).where("c is not null")
     return rows.select(key, "card_no", "c.*")
 
 

@@ -198,7 +198,7 @@ def _(spark, d):
 
 def _ranked(df: DataFrame, keys) -> DataFrame:
     # At most 300 rows: the display list.
-    return df.withColumn("rank", F.row_number().over(Window.orderBy(*keys)))
+    return df.withColumn("rank", F.row_number().over(Window.orderBy(*keys)).cast("bigint"))
 
 
 @query("search_top", f"WITH {SQL_POSTINGS}, {_SCORED} SELECT job_id, score, rank FROM (SELECT job_id, score, row_number() OVER "
