@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from jobsieve.functions.regex import rx
 from jobsieve.functions.spans import find_spans, first_start
-from jobsieve.functions.text import clip, col, js_round, let, snippet, squash
+from jobsieve.functions.text import Sliced, clip, col, js_round, let, sliced, snippet, squash
 
 # ---- Fixed values: words, patterns and factors that must equal the reference for equal results ----
 WRITTEN = {
@@ -140,9 +140,9 @@ def money_mentions(text: Column | str, strict_k: bool = False) -> Column:
     )
 
 
-def pair_ranges(text: Column | str, tokens: Column) -> Column:
+def pair_ranges(text: Column | str | Sliced, tokens: Column) -> Column:
     """Each token with the next one attached when only a range word lies between them."""
-    t = col(text)
+    t = text if isinstance(text, Sliced) else col(text)
 
     def attach(ts):
         def one(a, i):
@@ -161,12 +161,12 @@ def pair_ranges(text: Column | str, tokens: Column) -> Column:
     return let(tokens, attach)
 
 
-def veto_pay(text: Column, start: Column, tail: Column) -> Column:
+def veto_pay(text: Column | Sliced, start: Column, tail: Column) -> Column:
     """True when the number is clearly somebody else's money."""
     return clip(text, tail, tail + 30).rlike(NOT_PAY_AFTER) | clip(text, start - 45, tail + 30).rlike(NOT_PAY_NEAR)
 
 
-def cue_pay(text: Column, start: Column, tail: Column) -> Column:
+def cue_pay(text: Column | Sliced, start: Column, tail: Column) -> Column:
     return clip(text, start - 160, tail + 90).rlike(PAY_CUE)
 
 
@@ -182,7 +182,11 @@ def pay_period(after: Column, probe: Column) -> Column:
 
 def pay_candidates(text: Column | str, strict_k: bool = False) -> Column:
     """Every plausible pay statement with its score, in text order."""
-    t = col(text)
+    tokens = money_mentions(text, strict_k)
+    return sliced(col(text), lambda t: _score_pay(t, tokens))
+
+
+def _score_pay(t: Sliced, tokens: Column) -> Column:
 
     def judge(p):
         start = p["a"]["start"]
@@ -217,7 +221,7 @@ def pay_candidates(text: Column | str, strict_k: bool = False) -> Column:
         )
 
     pairs = F.filter(
-        pair_ranges(t, money_mentions(t, strict_k)), lambda p: ~veto_pay(t, p["a"]["start"], p["tail"])
+        pair_ranges(t, tokens), lambda p: ~veto_pay(t, p["a"]["start"], p["tail"])
     )
     return F.transform(F.filter(F.transform(pairs, judge), keep), shape)
 
@@ -240,9 +244,9 @@ def best_pay(text: Column | str, strict_k: bool = False) -> Column:
 
 def years_mentions(text: Column | str) -> Column:
     """Stated years of experience, numeric mentions first and then written ones."""
-    t = col(text)
+    text = col(text)
 
-    def judge(pattern):
+    def judge(pattern, t):
         def one(s):
             context = clip(t, s["start"] - 70, s["end"] + 100)
             plus = F.regexp_extract(s["m"], pattern, 2) != "" if pattern is YEARS_NUMERIC else F.lit(False)
@@ -255,9 +259,10 @@ def years_mentions(text: Column | str) -> Column:
                 snippet(t, s["start"], s["end"], 45).alias("snippet"),
             )
 
-        return F.transform(find_spans(t, pattern, _YEARS_HINT), one)
+        return F.transform(find_spans(text, pattern, _YEARS_HINT), one)
 
-    return F.filter(F.concat(judge(YEARS_NUMERIC), judge(YEARS_WRITTEN)), lambda y: y["years"].isNotNull())
+    both = sliced(text, lambda t: F.concat(judge(YEARS_NUMERIC, t), judge(YEARS_WRITTEN, t)))
+    return F.filter(both, lambda y: y["years"].isNotNull())
 
 
 def years_required(mentions: Column | str) -> Column:

@@ -44,13 +44,41 @@ def is_blank(c: Column | str) -> Column:
     return F.coalesce(trim_all(c), F.lit("")) == ""
 
 
-def clip(c: Column | str, start: Column, end: Column) -> Column:
+PIECE = 2048
+
+
+class Sliced:
+    """A text together with its consecutive pieces.
+
+    Taking a substring walks the text from its start. Where many short windows are read from one long text,
+    each is cut from the one or two pieces it lies in instead.
+    """
+
+    def __init__(self, text: Column, pieces: Column):
+        self.text, self.pieces = text, pieces
+
+
+def sliced(text: Column, body) -> Column:
+    """``body(Sliced)`` with the pieces computed once."""
+    pieces = F.regexp_extract_all(text, F.lit("(?s).{1," + str(PIECE) + "}"), F.lit(0))
+    return let(pieces, lambda p: body(Sliced(text, p)))
+
+
+def _cut(c: Column, lo: Column, n: Column) -> Column:
+    return F.substring(c, lo + 1, F.greatest(n, F.lit(0)))
+
+
+def clip(c: Column | str | Sliced, start: Column, end: Column) -> Column:
     """Zero-based slice ``[start, end)``, clamped at zero."""
     lo = F.greatest(start, F.lit(0))
-    return F.substring(col(c), lo + 1, F.greatest(end - lo, F.lit(0)))
+    if not isinstance(c, Sliced):
+        return _cut(col(c), lo, end - lo)
+    at = F.floor(lo / PIECE).cast("int")
+    pair = F.concat(or_empty(F.get(c.pieces, at)), or_empty(F.get(c.pieces, at + 1)))
+    return F.when(end - lo <= PIECE, _cut(pair, lo % PIECE, end - lo)).otherwise(_cut(c.text, lo, end - lo))
 
 
-def snippet(c: Column | str, start: Column, end: Column, pad: int) -> Column:
+def snippet(c: Column | str | Sliced, start: Column, end: Column, pad: int) -> Column:
     return squash(clip(c, start - pad, end + pad))
 
 

@@ -142,3 +142,10 @@ def test_html_to_text(spark):
     got = spark.createDataFrame([(html,), (None,)], "h string").select(html_to_text("h").alias("t")).collect()
     assert got[0].t == "A & B é 😀 &foo; c\n\n- one\n- two\nend\nx"
     assert got[1].t == ""
+
+
+def test_windows_across_piece_borders(spark):
+    for pad in (0, 2030, 2040, 2047, 2048, 4090, 6000):
+        text = "é" * pad + " The base salary range is $120,000 - $150,000 per year. Minimum of seven (7) years experience."
+        r = rows(spark, [text])[0]
+        assert (r.pay_min, r.pay_max, r.pay_raw, r.yoe_min) == (120000, 150000, "$120,000 - $150,000 per year", 7), pad
