@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobsieve.llm import exact_dedup, fair_mix, perspectives
+from jobsieve.llm import exact_dedup, fair_mix, perspectives, token_files, warc_index
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -36,6 +36,16 @@ from d window w as (partition by norm order by points desc, doc_id)
 """
 
 
+@query
+def op2_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    # The table has no fetch times; page ids count captures up, so they stand in, as seconds.
+    ts = F.date_format(F.timestamp_seconds("page_id"), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    records, _, _ = warc_index.archive(pages, ts=ts)
+    return records.select(F.col("id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+                          F.col("refers_to").cast("long").alias("refers_to"))
+
+
 @query
 def op3_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fair_mix.mix_plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
@@ -65,6 +75,14 @@ from q
 """
 
 
+@query
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    store = token_files.write_token_store(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return token_files.read_token_store(store)
+
+
 @query
 def op10_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     views = perspectives.rotate(table(spark, sf_dir, "conversations"))
