@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobsieve.llm import exact_dedup, fair_mix, perspectives, token_files, warc_index
+from jobsieve.llm import exact_dedup, fair_mix, perspectives, quality, token_files, warc_index, winnow
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -83,6 +83,45 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_store(store)
 
 
+def bucket_of(doc_id: str, parts: int) -> Column:
+    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % parts
+
+
+@query
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit_quality(docs, table(spark, sf_dir, "labels"), bucket_of("of", 4) != 2)
+    return quality.score_quality(docs, model).select(
+        "doc_id", (bucket_of("doc_id", 4) == 2).alias("held_out"), "score", "predicted")
+
+
+@query
+def op6_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = winnow.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
+
+
+ORACLES["op6_winnowing"] = r"""
+with words as (
+  select 'd' as kind, cast(doc_id as varchar) as id, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents
+  union all
+  select 'i', cast(item_id as varchar), null, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') from benchmark),
+items as (select id, least(len(w), 10) as n, unnest(range(1, len(w) - least(len(w), 10) + 2)) as p, w from words where kind = 'i' and len(w) > 0),
+iw as (select distinct id, n, array_to_string(w[p:p + n - 1], ' ') as win from items),
+docs as (select id, w, lens.n as n, unnest(range(1, cast(len(w) - lens.n + 2 as bigint))) as p
+         from words, (select distinct n from iw) lens where kind = 'd' and len(w) >= lens.n),
+dw as (select id, n, p, array_to_string(w[p:p + n - 1], ' ') as win from docs),
+hit as (select distinct d.id, d.p, d.n, iw.id as item from dw d join iw on d.n = iw.n and d.win = iw.win),
+n_hit as (select id, count(distinct k) as n_hit from (select id, unnest(range(p, p + n)) as k from hit) group by id),
+its as (select id, count(*) as n_items, string_agg(item, ',' order by item) as list from (select distinct id, item from hit) group by id)
+select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+       sha256(coalesce(list, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from words left join n_hit using (id) left join its using (id) where kind = 'd'
+"""
+
+
 @query
 def op10_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     views = perspectives.rotate(table(spark, sf_dir, "conversations"))
