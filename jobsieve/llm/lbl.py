@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jobsieve.llm.store import stored
-from jobsieve.llm.words import space_words
+from jobsieve.llm.words import small, space_words
 
 SLOTS = 512
 OWN = 383  # words with a slot of their own; the end has slot 0, the rest share what is left
@@ -46,7 +46,7 @@ def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.binary()), pa.array(counts.values(), pa.int64())], names=["word", "n"])
 
     counts: Counter = Counter()
-    for batch in batches:
+    for batch in small(batches, 0):
         for text in batch.column(0).to_pylist():
             counts.update(space_words(text))
             counts[END] += 1
@@ -135,10 +135,10 @@ class Network:
 def start_network(slot_count: np.ndarray, seed: int = 5) -> Network:
     """Small random vectors; the bias is the slots' log share, so that training starts at the unigram model."""
     rng = np.random.default_rng(seed)
-    small = lambda *shape: rng.normal(0, 0.1, shape).astype(np.float32)
+    draw = lambda *shape: rng.normal(0, 0.1, shape).astype(np.float32)
     share = (slot_count + 0.5) / (slot_count.sum() + 0.5 * SLOTS)
     eye = np.eye(DIM, dtype=np.float32)
-    return Network(small(SLOTS, DIM), small(SLOTS, DIM), eye.copy(), eye.copy() * 0.5, np.log(share).astype(np.float32))
+    return Network(draw(SLOTS, DIM), draw(SLOTS, DIM), eye.copy(), eye.copy() * 0.5, np.log(share).astype(np.float32))
 
 
 def _scatter(at: np.ndarray, grads: np.ndarray) -> np.ndarray:
@@ -174,7 +174,7 @@ def _trainer(slots: Slots):
         share, log_noise = share / share.sum(), net.bias.copy()
         squares = [np.full_like(p, 1e-6) for p in net.parts()]
         rng = np.random.default_rng(3)
-        for batch in batches:
+        for batch in small(batches, 0):
             _, slot, ends = slots.look_up([space_words(t) for t in batch.column(0).to_pylist()])
             if not len(slot):
                 continue
@@ -249,7 +249,7 @@ def _scorer(slots: Slots, net: Network, normalisers: np.ndarray):
         # Words with a slot of their own, and the end, have the whole slot; words that share one their smoothed part of it.
         log_mass = np.log10(slots.slot_count + 0.5 * (slots.slot_words + 1))
         log_mass[: OWN + 1] = 0
-        for batch in batches:
+        for batch in small(batches, 1):
             words = [space_words(t) for t in batch.column(1).to_pylist()]
             at, slot, ends = slots.look_up(words)
             one, two = contexts(slot, ends) if len(slot) else (slot, slot)

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from jobsieve.llm.words import Kept
+from jobsieve.llm.words import Kept, small
 
 SLOTS = 16_384
 SHAPES = 2_048  # of these, for word shapes
@@ -69,7 +69,7 @@ def _contexts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The task's share of every context vector, as whole numbers, so that the sum over tasks is exact in any order."""
     index, kept = index_vectors(), Kept(_term)
     total = np.zeros((SLOTS, DIM))
-    for batch in batches:
+    for batch in small(batches, 0):
         w, s, ends = _terms(batch.column(0).to_pylist(), kept)
         for a in range(0, len(w), 1 << 19):
             lo, hi = max(0, a - 2), min(len(w), a + (1 << 19) + 2)
@@ -174,7 +174,7 @@ def train_network(x: np.ndarray, y: np.ndarray, vectors: np.ndarray, hidden: int
 def _features_of(vectors: np.ndarray):
     def features(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = Kept(_term)
-        for batch in batches:
+        for batch in small(batches, 1):
             x = _pooled(batch.column(1).to_pylist(), vectors, kept)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x[:, d].astype(np.float64)) for d in range(FEATURES))],
                                              names=["label", *(f"x{d}" for d in range(FEATURES))])
@@ -206,7 +206,7 @@ def score_quality(docs: DataFrame, model: Model, text_col: str = "text", thresho
 
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = Kept(_term)
-        for batch in batches:
+        for batch in small(batches, at):
             p = model.score(_pooled(batch.column(at).to_pylist(), model.vectors, kept))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p.astype(np.float64)), pa.array((p >= threshold).astype(np.int32))],
                                              names=[*batch.schema.names, into, "predicted"])

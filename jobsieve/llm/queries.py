@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobsieve.llm import exact_dedup, fair_mix, perspectives, quality, token_files, warc_index, winnow
+from jobsieve.llm import exact_dedup, fair_mix, lbl, perspectives, quality, token_files, warc_index, winnow
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -92,7 +92,7 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.fit_quality(docs, table(spark, sf_dir, "labels"), bucket_of("of", 4) != 2)
     return quality.score_quality(docs, model).select(
-        "doc_id", (bucket_of("doc_id", 4) == 2).alias("held_out"), "score", "predicted")
+        "doc_id", F.coalesce(bucket_of("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
 @query
@@ -122,6 +122,16 @@ from words left join n_hit using (id) left join its using (id) where kind = 'd'
 """
 
 
+@query
+def op7_log_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = bucket_of("doc_id", 5) == 1
+    # A row without an id has no remainder: it is neither held out nor learnt from.
+    model = lbl.fit_lm(docs.where(bucket_of("doc_id", 5) != 1))
+    return lbl.score_lm(docs, model).select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens",
+                                            "base_score", "score")
+
+
 @query
 def op10_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     views = perspectives.rotate(table(spark, sf_dir, "conversations"))

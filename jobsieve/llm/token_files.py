@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from jobsieve.llm.store import open_fs, shared_dir, stored
+from jobsieve.llm.words import small
 
 END_ID = 2
 BUCKET_KEYS = 65_536
@@ -130,7 +131,7 @@ def _writer(folder: str, tokenizer: str, end_id: int):
         end, width = np.array([end_id], enc.dtype).tobytes(), np.dtype(enc.dtype).itemsize
         nth, again, last, at = 0, 0, (), 0
         with files.open_output_stream(f"{root}/{shard}", compression=None) as out:
-            for batch in batches:
+            for batch in small(batches, 1):
                 ids, rows = batch.column(0).to_pylist(), []
                 texts = [t or "" for t in batch.column(1).to_pylist()]
                 for i, data in zip(ids, enc.encode(texts), strict=True):

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from jobsieve.llm.store import stored
-from jobsieve.llm.words import Kept, flat, gram_hashes
+from jobsieve.llm.words import Kept, flat, gram_hashes, small
 
 SPAN = 10
 GRAM = 6
@@ -49,7 +49,7 @@ def _scanner(lengths: list[int], gram: int, bits: np.ndarray | None, whole_short
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Kept(xxhash.xxh64_intdigest)
-        for batch in batches:
+        for batch in small(batches, 1):
             values, ends, words = flat(batch.column(1).to_pylist(), fold_words, hashes, np.uint64)
             starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
             sizes = ends - starts
