@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobsieve.llm import exact_dedup, fair_mix, lbl, perspectives, quality, token_files, url_templates, warc_index, winnow
+from jobsieve.llm import count_rtree, exact_dedup, fair_mix, lbl, perspectives, quality, token_files, url_templates, warc_index, winnow
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -140,6 +140,11 @@ def op8_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_templates.judge_urls(table(spark, sf_dir, "pages"), RULES).withColumnRenamed("id", "page_id")
 
 
+@query
+def op9_count_rtree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_rtree.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @query
 def op10_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     views = perspectives.rotate(table(spark, sf_dir, "conversations"))

@@ -16,11 +16,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from jobsieve.llm.store import stored
-from jobsieve.llm.words import Kept, flat, gram_hashes, small
+from jobsieve.llm.words import Kept, flat, gram_hashes, hash_filter, may_hold, small
 
 SPAN = 10
 GRAM = 6
-FILTER_BITS = 27  # at most 16 MB of bits are sent to the tasks, however large the benchmark is
 
 # ASCII letters (lower-cased) and digits and everything beyond ASCII are word characters; all else parts words.
 _FOLD = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
@@ -56,7 +55,7 @@ def _scanner(lengths: list[int], gram: int, bits: np.ndarray | None, whole_short
             hits: list[list[tuple]] = [[] for _ in words]
             for n in lengths:
                 fp = _window_minima(values, n, gram)
-                at = np.flatnonzero(_may_hold(bits, fp)) if bits is not None else np.arange(len(fp))
+                at = np.flatnonzero(may_hold(bits, fp)) if bits is not None else np.arange(len(fp))
                 doc = np.searchsorted(ends, at, side="right")
                 inside = at + n <= ends[doc]
                 if whole_short is not None:
@@ -70,31 +69,6 @@ def _scanner(lengths: list[int], gram: int, bits: np.ndarray | None, whole_short
     return scan
 
 
-def _bit_places(bits: int, fp: np.ndarray) -> list[np.ndarray]:
-    return [(fp >> np.uint64(s)) & np.uint64((1 << bits) - 1) for s in (0, 32)]
-
-
-def _may_hold(words: np.ndarray, fp: np.ndarray) -> np.ndarray:
-    bits = (len(words) * 64).bit_length() - 1
-    out = np.ones(len(fp), bool)
-    for at in _bit_places(bits, fp):
-        out &= (words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
-    return out
-
-
-def _fingerprint_filter(windows: DataFrame) -> np.ndarray:
-    """Bits of all fingerprints, 16 a window up to the bound; it only spares rows that the exact join would drop."""
-    count = windows.count()
-    bits = max(12, min(FILTER_BITS, (16 * count).bit_length()))
-    low = (1 << bits) - 1
-    places = F.explode(F.array(F.col("fp").bitwiseAND(F.lit(low)), F.shiftrightunsigned("fp", 32).bitwiseAND(F.lit(low))))
-    rows = (windows.select(places.alias("at")).groupBy(F.shiftright("at", 6).alias("word"))
-            .agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("mask"))).toArrow()
-    out = np.zeros(1 << (bits - 6), np.uint64)
-    out[rows["word"].to_numpy().astype(np.int64)] = rows["mask"].to_numpy().astype(np.int64).view(np.uint64)
-    return out
-
-
 def _scan(df: DataFrame, id_col: str, text_col: str, scanner) -> DataFrame:
     kind = df.schema[id_col].dataType.simpleString()
     slim = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -116,7 +90,7 @@ def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc
         .select("item", "h.n", "h.fp", "h.window").distinct(), "item-windows")
     distinct = stored(windows.select("n", "fp", "window").distinct(), "windows")
     lengths = sorted(r["n"] for r in distinct.select("n").distinct().collect())  # at most ``span`` numbers
-    bits = _fingerprint_filter(distinct)
+    bits = hash_filter(distinct, "fp")
     scanned = stored(_scan(docs, doc_id, doc_text, _scanner(lengths, gram, bits, None))
                      .select(F.monotonically_increasing_id().alias("uid"), F.col("id").alias("doc_id"), "n_words", "hits"), "scanned")
     met = (scanned.select("uid", F.explode("hits").alias("h")).select("uid", "h.*")

@@ -7,10 +7,13 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 CACHE_WORDS = 500_000
 PIECE_BYTES = 4 << 20
+FILTER_BITS = 27  # at most 16 MB of bits are sent to the tasks, however many hashes there are
 
 
 def small(batches: Iterable[pa.RecordBatch], column: int, limit: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -68,3 +71,25 @@ def flat(texts: list[str | None], split: Callable, value: Kept, dtype) -> tuple[
     total = int(ends[-1]) if len(ends) else 0
     look = value.__getitem__
     return np.fromiter((v for ws in words for v in map(look, ws)), dtype, total), ends, words
+
+
+def hash_filter(hashes: DataFrame, column: str) -> np.ndarray:
+    """Bits of all 64-bit hashes in a column, 16 a hash up to the bound. It only spares rows that an exact join drops."""
+    bits = max(12, min(FILTER_BITS, (16 * hashes.count()).bit_length()))
+    low = (1 << bits) - 1
+    places = F.explode(F.array(F.col(column).bitwiseAND(F.lit(low)), F.shiftrightunsigned(column, 32).bitwiseAND(F.lit(low))))
+    rows = (hashes.select(places.alias("at")).groupBy(F.shiftright("at", 6).alias("word"))
+            .agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("mask"))).toArrow()
+    out = np.zeros(1 << (bits - 6), np.uint64)
+    out[rows["word"].to_numpy().astype(np.int64)] = rows["mask"].to_numpy().astype(np.int64).view(np.uint64)
+    return out
+
+
+def may_hold(words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which unsigned hashes the bits of ``hash_filter`` may hold."""
+    bits = (len(words) * 64).bit_length() - 1
+    out = np.ones(len(hashes), bool)
+    for shift in (0, 32):
+        at = (hashes >> np.uint64(shift)) & np.uint64((1 << bits) - 1)
+        out &= (words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+    return out
