@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from jobsieve.llm.store import count_words, stored
@@ -47,8 +47,9 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, share: fl
 
 
 def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-             weights: Sequence[int] = WEIGHTS, share: float = SHARE, max_repeats: int = MAX_REPEATS) -> DataFrame:
-    """Per row: ``doc_id, size, source_size, target, taken, before, epochs``.
+             weights: Sequence[int] = WEIGHTS, share: float = SHARE, max_repeats: int = MAX_REPEATS,
+             row: Column | None = None) -> DataFrame:
+    """Per row: ``doc_id, source, size, source_size, target, taken, before, epochs, key, row``; ``row`` is carried along.
 
     ``epochs`` lists ``(epoch, words, finish)`` for every time the document is sent, ``taken`` adds their words up.
     The shuffle is by hash of ``doc_id``, so reruns agree; rows that repeat a ``doc_id`` tie and stand next to each
@@ -58,7 +59,8 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     slim = stored(docs.select(
         F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), count_words(text_col).alias("size"),
         F.coalesce(F.concat(F.lit("="), F.col(source_col)), F.lit("")).alias("queue"),
-        F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")).alias("key")), "mix-sizes")
+        F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")).alias("key"),
+        (row if row is not None else F.lit(None).cast("string")).alias("row")), "mix-sizes")
     slim = slim.withColumn("c", F.substring("key", 1, COARSE)).withColumn("f", F.substring("key", 1, FINE))
     fine = slim.groupBy("queue", "c", "f").agg(F.sum("size").alias("words"))
     coarse = slim.groupBy("queue", "c").agg(F.sum("size").alias("words"))
@@ -84,7 +86,7 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     epochs = F.filter(F.array(*map(sent, range(max_repeats))), lambda e: e["words"] > 0)
     rows = rows.withColumn("epochs", epochs)
     taken = F.aggregate("epochs", F.lit(0).cast("long"), lambda total, e: total + e["words"])
-    return rows.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), "before", "epochs", "key")
+    return rows.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), "before", "epochs", "key", "row")
 
 
 def mix_stream(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",

@@ -213,3 +213,10 @@ def score_quality(docs: DataFrame, model: Model, text_col: str = "text", thresho
 
     fields = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes)
     return docs.mapInArrow(score, f"{fields}, `{into}` double, predicted int")
+
+
+def keep_good(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that the classifier does not reject, with their columns as they were, whatever their names."""
+    places = [f"c{i}" for i in range(len(docs.columns))]
+    scored = score_quality(docs.toDF(*places), model, places[docs.columns.index(text_col)], threshold)
+    return scored.where("predicted = 1").drop("score", "predicted").toDF(*docs.columns)

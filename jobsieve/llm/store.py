@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyarrow import fs
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +24,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def with_row(docs: DataFrame, into: str = "_row") -> DataFrame:
+    """``docs`` with a text that tells each row from all others, also from equal ones, and is the same at every reading.
+
+    Rows read from files have their file and place; others are written first.
+    """
+    if into in docs.columns:
+        raise ValueError(f"the table has a column {into} of its own")
+    try:
+        return docs.select("*", F.concat_ws(":", "_metadata.file_path", "_metadata.row_index").alias(into))
+    except AnalysisException:
+        return stored(docs.withColumn(into, F.monotonically_increasing_id().cast("string")), "rows")
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint folder for files that tasks write themselves."""
     path = scratch(spark, name)
