@@ -28,7 +28,6 @@ HIT = """struct<
     security_clearance: string, visa_sponsorship: boolean,
     licenses_or_certifications: array<string>, technical_tools: array<string>, role_activities: array<string>,
     estimated_publish_date: string, estimated_publish_date_millis: bigint>>"""
-HITS = f"array<{HIT}>"
 
 # ---- Fixed values: vocabulary of the structured source ----
 SOURCE = "hiringcafe"
@@ -50,27 +49,32 @@ DAY_MS = 86_400_000
 def read_search_pages(pages: DataFrame, html: str = "html") -> DataFrame:
     """HTML pages to envelopes: ``hits``, ``page``, ``total``, ``last_page``, ``error``.
 
-    A broken page is zero hits and a reason, never a failure. Hits stay an array; see ``explode_hits``.
+    A broken page is zero hits and a reason, never a failure. A hit that is no object costs that hit only and is counted in
+    ``error``; null hits are left out. Hits stay an array; see ``explode_hits``.
     """
     raw = blank_to_null(F.regexp_extract(or_empty(html), NEXT_DATA, 1))
     doc = pages.withColumn("_json", F.when(F.try_parse_json(raw).isNotNull(), raw))
     doc = doc.withColumn("_p", F.get_json_object("_json", "$.props.pageProps"))
     have = F.col("_p").isNotNull() & F.startswith(F.col("_p"), F.lit("{"))
     hits_json = F.get_json_object("_p", "$.ssrHits")
-    is_list = F.startswith(F.ltrim(hits_json), F.lit("["))
-    no_hits = F.from_json(F.lit("[]"), HITS)
+    none = F.array().cast("array<variant>")
+    said = F.coalesce(F.when(have, F.try_variant_get(F.try_parse_json(hits_json), "$", "array<variant>")), none)
+    is_object = lambda x: F.coalesce(F.startswith(F.schema_of_variant(x), F.lit("OBJECT")), F.lit(False))
+    is_null = lambda x: F.isnull(x) | F.is_variant_null(x)
     meta = F.from_json("_p", "ssrPage bigint, ssrTotalCount bigint, ssrIsLastPage boolean, ssrError string")
-    doc = doc.withColumn("_m", meta).withColumn(
-        "hits", F.coalesce(F.when(have & is_list, F.from_json(hits_json, HITS)), no_hits)
-    )
+    doc = doc.withColumn("_m", meta).withColumn("_said", said).withColumns({
+        "hits": F.transform(F.filter("_said", is_object), lambda x: F.from_json(F.to_json(x), HIT)),
+        "_refused": F.size(F.filter("_said", lambda x: ~is_object(x) & ~is_null(x))),
+    })
+    refused = F.when(F.col("_refused") > 0, F.concat(F.col("_refused").cast("string"), F.lit(" hit(s) could not be read")))
     keep = [c for c in pages.columns if c != html]
     return doc.select(
         *keep, "hits",
         F.coalesce("_m.ssrPage", F.lit(0)).alias("page"),
         F.col("_m.ssrTotalCount").alias("total"),
-        (F.coalesce("_m.ssrIsLastPage", F.lit(False)) | (F.size("hits") == 0)).alias("last_page"),
+        (F.coalesce("_m.ssrIsLastPage", F.lit(False)) | (F.size("_said") == 0)).alias("last_page"),
         F.when(~F.coalesce(have, F.lit(False)), F.lit("no __NEXT_DATA__ pageProps")).otherwise(
-            blank_to_null("_m.ssrError")).alias("error"),
+            blank_to_null(F.concat_ws("; ", blank_to_null("_m.ssrError"), refused))).alias("error"),
     )
 
 
@@ -159,6 +163,14 @@ def country_code(name: Column | str) -> Column:
     return F.when(label != "", F.coalesce(known, F.upper(F.left(label, F.lit(2)))))
 
 
+def country_of(location: Column | str) -> Column:
+    """Code of the country that a location names after its last comma, null when it names none that is known."""
+    last = F.lower(trim_all(F.element_at(F.split(or_empty(location), ","), -1)))
+    pairs = [F.lit(x) for kv in COUNTRIES.items() for x in kv]
+    codes = F.array(*map(F.lit, sorted(set(COUNTRIES.values()))))
+    return F.coalesce(F.try_element_at(F.create_map(*pairs), last), F.when(F.array_contains(codes, F.upper(last)), F.upper(last)))
+
+
 def assemble_description(body: Column, v: Column) -> Column:
     """``struct<description, source>``: full text or summary, then the structured lists as paragraphs."""
     full, summary = trim_all(or_empty(body)), trim_all(or_empty(v["requirements_summary"]))
@@ -181,9 +193,9 @@ def drop_expired(hits: DataFrame, hit: str = "hit") -> DataFrame:
 
 
 def join_descriptions(hits: DataFrame, details: DataFrame, hit: str = "hit") -> DataFrame:
-    """Pair each hit with its detail text by id (never by position); a missing text leaves the summary."""
+    """Pair each hit with its detail text by id (never by position); a missing text leaves the summary, of several the longest counts."""
     with_id = hits.withColumn("job_id", hit_id(F.col(hit)))
-    text = details.groupBy("job_id").agg(F.max("text").alias("full_text"))
+    text = details.groupBy("job_id").agg(F.max_by("text", F.struct(F.length("text"), "text")).alias("full_text"))
     return with_id.join(text, "job_id", "left")
 
 
@@ -218,7 +230,7 @@ def normalise_hit(
         F.col("_d.source").alias("description_source"),
         F.col("_pay.raw").alias("pay_raw"), F.col("_pay.min").alias("pay_min_annual"),
         F.col("_pay.max").alias("pay_max_annual"), F.col("_pay.source").alias("pay_source"),
-        yoe_of(v).cast("int").alias("yoe_min"), travel_of(v).alias("travel_pct"),
+        F.ceil(yoe_of(v)).cast("int").alias("yoe_min"), travel_of(v).alias("travel_pct"),
         clearance_of(v).alias("needs_clearance"), sponsorship_of(v).alias("sponsorship_unavailable"),
         F.lit(False).alias("remote_contradiction"),
         or_empty(v["seniority_level"]).alias("seniority"),
@@ -259,8 +271,11 @@ def criteria(searches: DataFrame) -> DataFrame:
 
 
 def criteria_filter(postings: DataFrame, one: dict) -> DataFrame:
-    """One criteria record as predicates over postings; unknown workplace or age is kept."""
+    """One criteria record as predicates over postings; unknown workplace, age or country is kept."""
     out = postings
+    if one.get("country"):
+        named = F.coalesce(country_of("location"), F.lit(one["country"]))
+        out = out.where(named == one["country"])
     for word in (one.get("query") or "").lower().split():
         hay = F.lower(F.concat_ws(" ", "title", "company", "description"))
         out = out.where(F.contains(hay, F.lit(word)))
