@@ -20,18 +20,23 @@ LOG_ROWS = 300
 _PARTITION_BITS = 33  # monotonically_increasing_id keeps the partition above these bits
 
 
-def sort_keys(mode: str = "collected", q: str = "", columns: Sequence[str] = ()) -> list[Column]:
-    """Sort columns for a mode; ``seq`` last makes the order total, which is what a stable sort gives."""
-    keys: list[Column] = []
+def sort_values(mode: str = "collected", q: str = "", columns: Sequence[str] = ()) -> list[tuple[Column, bool]]:
+    """What a mode sorts by, and whether upwards; ``seq`` last makes the order total, which is what a stable sort gives."""
+    values: list[tuple[Column, bool]] = []
     if terms := terms_of(q):
-        keys.append(search_score(terms, columns).desc())
+        values.append((search_score(terms, columns), False))
     if mode == "posted":
-        keys.append(F.coalesce("posted_days_ago", F.lit(NO_AGE)).asc())
+        values.append((F.coalesce("posted_days_ago", F.lit(NO_AGE)), True))
     elif mode == "pay":
-        keys.append(F.coalesce("pay_max_annual", "pay_min_annual", F.lit(NO_PAY)).desc())
+        values.append((F.coalesce("pay_max_annual", "pay_min_annual", F.lit(NO_PAY)), False))
     elif mode == "applicants":
-        keys.append(F.coalesce("applicants", F.lit(NO_APPLICANTS)).asc())
-    return [*keys, F.col("seq").asc()]
+        values.append((F.coalesce("applicants", F.lit(NO_APPLICANTS)), True))
+    return [*values, (F.col("seq"), True)]
+
+
+def sort_keys(mode: str = "collected", q: str = "", columns: Sequence[str] = ()) -> list[Column]:
+    """The sort columns of a mode."""
+    return [v.asc() if up else v.desc() for v, up in sort_values(mode, q, columns)]
 
 
 def sort_jobs(df: DataFrame, mode: str = "collected", q: str = "") -> DataFrame:
@@ -54,7 +59,8 @@ def cap_pages(df: DataFrame, max_pages: int, page: str = "page_no") -> DataFrame
 
 
 def recent_log(log: DataFrame, n: int = LOG_ROWS) -> DataFrame:
-    return log.orderBy(F.col("t").desc()).limit(n)
+    """The newest lines; lines of one time stand in the order of their other columns."""
+    return log.orderBy(F.col("t").desc(), *[c for c in log.columns if c != "t"]).limit(n)
 
 
 def verdict_list(verdicts: DataFrame) -> DataFrame:
