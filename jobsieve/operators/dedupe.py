@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from jobsieve.functions.text import let, squash
+from jobsieve.session import durable
 
 HOT_KEYS = 1000
 MIN_GUARD_CHARS = 200  # fixed value: shorter texts are not distinctive
@@ -21,10 +22,11 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     return picked.select(*[F.col(k) if k in keys else F.col(f"_row.{k}").alias(k) for k in df.columns])
 
 
-def last_per_key(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
-    """One row per key, the latest."""
+def last_per_key(df: DataFrame, keys: Sequence[str], *order: str) -> DataFrame:
+    """One row per key, the latest; further columns decide ties."""
     rest = [c for c in df.columns if c not in keys]
-    picked = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(F.col(order).isNotNull(), order)).alias("_row"))
+    latest = F.struct(*[x for o in order for x in (F.col(o).isNotNull().alias(f"has_{o}"), F.col(o))])
+    picked = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), latest).alias("_row"))
     return picked.select(*[F.col(k) if k in keys else F.col(f"_row.{k}").alias(k) for k in df.columns])
 
 
@@ -61,23 +63,18 @@ def lookup_hot(left: DataFrame, right: DataFrame, key: str, count: str, spread:
 def guard_duplicates(df: DataFrame, text: str = "description", seq: str = "seq") -> DataFrame:
     """Add ``owner_id``: the id that first brought this row's text when that is another id, else null.
 
-    Texts are compared by a 256-bit digest of the white-space-collapsed text, so only the digest is
-    shuffled for the comparison, never the text.
+    Texts are compared by a 256-bit digest of the white-space-collapsed text. The digest is worked out once per row and
+    written with the row's id and order; only the few ids that repeat another's text meet the rows again.
     """
-    # A short text gets a key of its own, so it neither matches anything nor piles up under null.
-    key = let(
-        squash(F.coalesce(F.col(text), F.lit(""))),
-        lambda t: F.when(F.length(t) >= MIN_GUARD_CHARS, F.sha2(t, 256)).otherwise(F.concat(F.lit("short-"), "job_id")))
-    staged = df.withColumn("_key", key)
-    owners = (
-        staged.groupBy("_key")
-        .agg(F.min_by("job_id", F.struct(F.col(seq).isNull(), seq)).alias("_owner"), F.count(F.lit(1)).alias("_n"))
-        .where((F.col("_n") > 1) & ~F.startswith("_key", F.lit("short-")))
-    )
-    owned = lookup_hot(staged, owners, "_key", "_n", "job_id")
-    return owned.withColumn(
-        "owner_id", F.when(F.col("_owner") != F.col("job_id"), F.col("_owner"))
-    ).select(*df.columns, "owner_id")
+    squashed = squash(F.coalesce(F.col(text), F.lit("")))
+    keys = durable(df.select("job_id", F.col(seq).alias("_seq"), let(
+        squashed, lambda t: F.when(F.length(t) >= MIN_GUARD_CHARS, F.sha2(t, 256))).alias("_key")))
+    long = keys.where("_key is not null")
+    owners = durable(
+        long.groupBy("_key").agg(F.min_by("job_id", F.struct(F.col("_seq").isNull(), "_seq")).alias("owner_id"), F.count(F.lit(1)).alias("_n"))
+        .where("_n > 1").drop("_n"))
+    repeats = long.join(owners, "_key").where("owner_id <> job_id").groupBy("job_id").agg(F.min("owner_id").alias("owner_id"))
+    return df.join(repeats, "job_id", "left")
 
 
 def split_duplicates(df: DataFrame, text: str = "description", seq: str = "seq") -> tuple[DataFrame, DataFrame]:

@@ -13,6 +13,7 @@ from jobsieve.operators import hits as N
 from jobsieve.operators import ordering as O
 from jobsieve.operators import pagefacts as P
 from jobsieve.operators import verdicts as V
+from jobsieve.sources import memory as M
 
 HITS_PER_PAGE = 1_000_000  # only spaces page numbers apart so that page and hit number give one order
 
@@ -32,7 +33,9 @@ def collect_structured(
     live = O.cap_jobs(D.dedupe_first(hits.select("job_id", "seq", "hit")), max_jobs)
     if known is not None:
         live = D.skip_known(live, known)
-    with_text = N.join_descriptions(live, N.read_detail_json(details))
+    # Bodies are turned into text only for ids that are left.
+    wanted = details.join(live.select("job_id"), "job_id", "left_semi")
+    with_text = N.join_descriptions(live, N.read_detail_json(wanted))
     return N.normalise_hit(with_text, now_ms=now_ms, fill_from_prose=fill_from_prose)
 
 
@@ -56,7 +59,7 @@ def export_rows(
     kept = FL.apply_filters(postings, spec, history, verdicts)
     if deselected is not None:
         kept = FL.select_rows(kept, deselected)
-    return E.with_blocks(kept, O.sort_keys(spec.sort, spec.q, postings.columns))
+    return E.with_blocks(kept, O.sort_values(spec.sort, spec.q, postings.columns))
 
 
 def export_batches(
@@ -78,8 +81,9 @@ def scan_verdicts(chats: DataFrame, store: DataFrame, source: str = "chat") -> t
 
 
 def tag_rows(postings: DataFrame, history: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """Show, without removing, what was exported before and how it was judged."""
-    seen = history.select("job_id", F.lit(True).alias("_seen"))
-    said = verdicts.select("job_id", "verdict", "reason")
+    """Show, without removing, what was exported before and how it was judged: the newest verdict of an id, one row each."""
+    seen = history.select("job_id", F.lit(True).alias("_seen")).distinct()
+    said = M.newest(verdicts, "job_id", "at") if "at" in verdicts.columns else verdicts.dropDuplicates(["job_id"])
+    said = said.select("job_id", "verdict", "reason")
     both = postings.join(seen, "job_id", "left").join(said, "job_id", "left")
     return both.withColumn("seen", F.coalesce("_seen", F.lit(False))).drop("_seen")

@@ -73,7 +73,9 @@ def read_memory(spark: SparkSession, path: str, schema: dict[str, str], key: str
 
 
 def newest(rows: DataFrame, key: str, at: str) -> DataFrame:
-    return last_per_key(rows, [key], at)
+    """The latest row per key. At one time a tombstone wins, then the row whose values sort last, so that every read agrees."""
+    ties = [c for c, kind in rows.dtypes if c not in (key, at, "_deleted") and not kind.startswith("map")]
+    return last_per_key(rows, [key], at, *(["_deleted"] if "_deleted" in rows.columns else []), *ties)
 
 
 def compact_memory(spark: SparkSession, path: str, into: str, schema: dict[str, str], key: str, at: str) -> None:

@@ -33,9 +33,9 @@ def csv_lines(df: DataFrame) -> DataFrame:
 
 def write_csv(df: DataFrame, path: str) -> None:
     """Sorted part files that concatenate to one CSV: BOM and header first, CRLF between records."""
-    header = df.sparkSession.createDataFrame([(None, BOM + ",".join(CSV_COLUMNS.values()))], "seq bigint, value string")
-    lines = header.unionByName(csv_lines(df))
-    lines.orderBy(F.col("seq").asc_nulls_first()).select("value").write.mode("overwrite").text(path, lineSep="\r\n")
+    header = df.sparkSession.createDataFrame([(None, BOM + ",".join(CSV_COLUMNS.values()), 0)], "seq bigint, value string, part int")
+    lines = header.unionByName(csv_lines(df).withColumn("part", F.lit(1)))
+    lines.orderBy("part", F.col("seq").asc_nulls_last(), "value").select("value").write.mode("overwrite").text(path, lineSep="\r\n")
 
 
 def write_json(df: DataFrame, path: str) -> None:

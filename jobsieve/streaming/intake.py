@@ -6,6 +6,8 @@ idempotent against its store, which together with the checkpoint makes a restart
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -37,11 +39,13 @@ def stream_intake(arrivals: DataFrame, store: str, checkpoint: str, once: bool =
 
 def stream_counters(outcomes: DataFrame, table: str, checkpoint: str, once: bool = False) -> StreamingQuery:
     """Running counts per run and outcome; each batch appends its own counts, readers sum them."""
+    run = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
 
     def land(batch: DataFrame, batch_id: int) -> None:
         counts = batch.groupBy("run_id", "outcome").agg(F.count(F.lit(1)).alias("n"))
-        # One folder per batch, overwritten on replay, keeps a retried batch from counting twice.
-        counts.write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
+        # One folder per checkpoint and batch, overwritten on replay: a retried batch does not count twice, and a new
+        # checkpoint, which numbers its batches from 0 again, overwrites nothing.
+        counts.write.mode("overwrite").parquet(f"{table}/checkpoint={run}/batch={batch_id}")
 
     return _start(outcomes.writeStream.foreachBatch(land), checkpoint, once)
 
