@@ -18,7 +18,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-SHORT_TEXT = 300
+# Boxes that hold other elements. Their text is cut from the page where it is wanted; only a box that could be a label
+# itself keeps a copy, or every level of nesting would keep its own. All other elements keep their text at any length.
+BOXES = frozenset(
+    "html head body main div section article header footer nav aside form fieldset ul ol dl table thead tbody tfoot tr td"
+    " th details dialog blockquote figure".split())
+LABEL_CHARS = 300  # above every bound that a rule on a label has (200 at most)
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 UNRENDERED = frozenset(("script", "style", "noscript"))
@@ -194,7 +199,8 @@ def read_page(html: str | None) -> dict:
             first, last = int(solid[a]), int(solid[b - 1])
             text_len = last + 1 - first
             norm_len = int(b - a + runs_before[last + 1] - runs_before[first])
-            text = _squash(raw[first:last + 1]) if norm_len <= SHORT_TEXT else None
+            labels = norm_len <= LABEL_CHARS or e["tag"] not in BOXES or not e["n_children"]
+            text = _squash(raw[first:last + 1]) if labels else None
         is_block = e["tag"] in BLOCKS
         digest = None
         if is_block and norm_len >= 200:

@@ -135,7 +135,8 @@ def raw_text(e: Column) -> Column:
 def job_links(parsed: DataFrame) -> DataFrame:
     """One row per element that names a posting."""
     keep = [c for c in parsed.columns if c not in ("raw", "rendered", "els", "links")]
-    slim = F.transform("links", lambda k: F.struct(*[k[c].alias(c) for c in ("ord", "parent", "depth", "tag", "job_id", "text")]))
+    slim = F.transform("links", lambda k: F.struct(
+        *[k[c].alias(c) for c in ("ord", "parent", "depth", "tag", "job_id")], F.coalesce(k["text"], raw_text(k)).alias("text")))
     return parsed.select(*keep, F.inline_outer(slim)).where("ord is not null")
 
 

@@ -180,7 +180,7 @@ def _judge(e: Column, page: Column, have: Column) -> Column:
     key, value, rule, match = e["key"], e["value"], e["rule"], e["match"]
     taken = or_empty(F.try_element_at(have, key)) != ""
     listed = rule["options"].isNotNull()
-    said = F.contains(page, F.lower(F.coalesce(match, value)))
+    said = stands_in(F.coalesce(match, value), page)
     route = key == "applyRoute"
     unproven = ((match == "easy_apply") & ~page.rlike(ROUTE_EVIDENCE["easy_apply"])) | (
         (match == "external") & ~page.rlike(ROUTE_EVIDENCE["external"]))
@@ -197,6 +197,11 @@ def _judge(e: Column, page: Column, have: Column) -> Column:
         (rule.isNotNull() & ((value == "") | value.rlike(DECLINED))).alias("declined"))
 
 
+def stands_in(value: Column, page: Column) -> Column:
+    """Whether ``page``, lower case with single spaces, says ``value`` word for word."""
+    return F.contains(page, F.lower(value))
+
+
 def verify_claims(claims: DataFrame, fields: str = "fields", sample: str = "sample", current: str = "current") -> DataFrame:
     """Add ``accepted`` (map) and ``rejected`` (field, value, why). Each row checks itself: no shuffle."""
     staged = claims.withColumn("_page", squash_lower(or_empty(sample)))
@@ -233,7 +238,10 @@ def apply_claims(postings: DataFrame, accepted: DataFrame) -> DataFrame:
 
     Pay text is parsed like prose and dropped when it does not parse.
     """
-    claims = accepted.select("job_id", F.col("model").alias("_model"), F.col("accepted").alias("_acc"))
+    # Several accepted rows of an id: the first model in rank, or in name without ranks, fills the gaps.
+    rank = F.col("model_rank") if "model_rank" in accepted.columns else F.lit(0)
+    claims = accepted.groupBy("job_id").agg(F.min_by(F.struct("model", "accepted"), F.struct(rank, "model")).alias("_c")).select(
+        "job_id", F.col("_c.model").alias("_model"), F.col("_c.accepted").alias("_acc"))
     j = postings.join(claims, "job_id", "left")
     get = lambda k: F.try_element_at("_acc", F.lit(k))
     j = j.withColumn("_pay", F.when(get("payText").isNotNull(), best_pay(or_empty(get("payText")))))

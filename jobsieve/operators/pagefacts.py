@@ -96,11 +96,17 @@ def field_coverage(df: DataFrame, fields: list[str]) -> DataFrame:
 
 
 def detail_matches_listing(details: DataFrame, listings: DataFrame, min_chars: int = 120) -> DataFrame:
-    """Details that really belong to their listing row: ids agree, titles contain one another, text is real."""
+    """Details that really belong to their listing row: ids agree, titles contain one another, text is real.
+
+    Where details carry ``signature`` and ``before`` (of the pane now and before the click), a pane that changed is proof
+    enough without agreeing titles.
+    """
     a = details.select("job_id", F.col("title").alias("_t1"), *[c for c in details.columns if c not in ("job_id", "title")])
     b = listings.select("job_id", F.col("title").alias("_t2"))
     j = a.join(b, "job_id").withColumn("_n1", norm_title("_t1")).withColumn("_n2", norm_title("_t2"))
     agree = (F.col("_n1") != "") & (F.col("_n2") != "") & (F.contains("_n1", "_n2") | F.contains("_n2", "_n1"))
+    if {"signature", "before"} <= set(details.columns):
+        agree = agree | F.coalesce((F.col("signature") != "") & (F.col("signature") != F.col("before")), F.lit(False))
     id_ok = F.lit(True)
     if "url_id" in details.columns:
         id_ok = F.coalesce("url_id", F.lit("")).isin("") | (F.col("url_id") == F.col("job_id"))

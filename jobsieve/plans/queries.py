@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from jobsieve.functions import facts as X
 from jobsieve.functions import header as H
 from jobsieve.functions.htmltext import html_to_text
-from jobsieve.functions.text import csv_cell, norm_title, pane_signature
+from jobsieve.functions.text import csv_cell, norm_title, pane_signature, squash_lower
 from jobsieve.operators import blocks as B
 from jobsieve.operators import claims as C
 from jobsieve.operators import dedupe as D
@@ -34,6 +34,7 @@ from jobsieve.plans.views import (
 from jobsieve.schema import VERDICTS, union_postings
 from jobsieve.session import scratch
 from jobsieve.sources import memory as M
+from jobsieve.sources import sinks as SK
 from jobsieve.streaming import intake as I
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -811,10 +812,11 @@ def _(spark, d):
                           F.array_join(found, ",").alias("ids"))
 
 
-@query("batch_totals", over_postings("SELECT count(*) AS jobs FROM postings"))
+@query("batch_totals", over_postings("""SELECT CAST(count(DISTINCT batch_no) AS BIGINT) AS batches, count(*) AS jobs FROM (
+ SELECT (row_number() OVER (ORDER BY seq) + 14) // 15 AS batch_no FROM postings)"""))
 def _(spark, d):
     blocks = E.with_blocks(postings(spark, d))
-    return E.batch_totals(E.render_batches(blocks, E.pack_batches(blocks, ["job_no"]))).select("jobs")
+    return E.batch_totals(E.render_batches(blocks, E.pack_batches(blocks, ["job_no"]))).select("batches", "jobs")
 
 
 @query("csv_cells", """SELECT doc_id, CASE WHEN regexp_matches(text, '[",\\n\\r]') THEN '"' || replace(text, '"', '""') || '"' ELSE text END AS cell
@@ -1024,17 +1026,19 @@ def _(spark, d):
     return v.select("job_id", F.size("accepted").alias("accepted"), why.alias("workplace_why"))
 
 
-@query("verify_verbatim", """WITH b AS (SELECT item_id, lower(trim(regexp_replace(substr(text, 1, 100), '\\s+', ' ', 'g'))) AS v, count(*) OVER () AS n FROM benchmark)
- SELECT doc_id, contains(lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))), v) AS stands FROM documents JOIN b ON doc_id % n = item_id""")
+@query("verify_verbatim", """WITH d AS (SELECT doc_id, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS t FROM documents),
+ b AS (SELECT item_id, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS v FROM benchmark) SELECT doc_id, item_id FROM d JOIN b ON contains(t, v)""")
 def _(spark, d):
-    items = table(spark, d, "benchmark")
-    n = items.count()
-    docs = table(spark, d, "documents").withColumn("item_id", F.col("doc_id") % n)
-    claim = items.select("item_id", F.substring("text", 1, 100).alias("v"))
-    rows = spread(docs).join(claim, "item_id").select(
-        "doc_id", F.create_map(F.lit("title"), F.col("v")).alias("fields"), F.col("text").alias("sample"),
-        F.create_map().cast("map<string,string>").alias("current"))
-    return C.verify_claims(rows).select("doc_id", (F.size("accepted") == 1).alias("stands"))
+    # Words inside an item are whole words of every text that holds it: pairs meet at its second to seventh word.
+    items = table(spark, d, "benchmark").select("item_id", squash_lower("text").alias("v"))
+    inner = F.slice(F.split("v", " "), 2, 6)
+    items = items.where(F.size(F.split("v", " ")) >= 8).withColumn("gram", F.array_join(inner, " "))
+    docs = spread(table(spark, d, "documents")).select("doc_id", squash_lower("text").alias("page"))
+    words = F.split("page", " ")
+    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - 5, F.lit(1))), lambda i: F.array_join(F.slice(words, i, 6), " "))
+    met = docs.select("doc_id", F.explode(F.array_distinct(grams)).alias("gram")).join(items.select("item_id", "gram"), "gram").select("doc_id", "item_id")
+    pairs = docs.join(met, "doc_id").join(items.select("item_id", "v"), "item_id")
+    return pairs.where(C.stands_in(F.col("v"), F.col("page"))).select("doc_id", "item_id")
 
 
 @query("apply_claims", over_postings("""SELECT job_id, CASE WHEN seq % 8 NOT IN (2, 3) AND seq % 2 = 0 THEN location ELSE 'gap' END AS location,
@@ -1129,3 +1133,122 @@ def _(spark, d):
     memory = scratch(spark, "verdicts")
     I.stream_verdicts(turns, memory, scratch(spark, "verdict-reading"), once=True).awaitTermination()
     return M.read_memory(spark, memory, VERDICTS, "job_id", "at").select("job_id", "verdict", "reason")
+
+
+# ---- rows that break, repeat or tie ----
+
+@query("refused_hits", """SELECT c_custkey AS k, CAST(CASE c_custkey % 4 WHEN 2 THEN 2 WHEN 3 THEN 0 ELSE 1 END AS INTEGER) AS n_hits,
+ CASE WHEN c_custkey % 4 < 2 THEN CAST(2 - c_custkey % 4 AS VARCHAR) || ' hit(s) could not be read' END AS error, c_custkey % 4 = 3 AS last_page FROM customer""")
+def _(spark, d):
+    k = F.col("c_custkey")
+    hits = (F.when(k % 4 == 0, F.concat(F.lit('[7,{"id":"a'), k.cast("string"), F.lit('"},null,"x"]')))
+            .when(k % 4 == 1, '[{"id":"b"},[1]]').when(k % 4 == 2, '[{"id":"c","is_expired":"no"},{"id":5,"job_information":[]}]').otherwise("[]"))
+    html = F.concat(F.lit('<script id="__NEXT_DATA__" type="application/json">{"props":{"pageProps":{"ssrHits":'), hits, F.lit("}}}</script>"))
+    pages = table(spark, d, "customer").select(k.alias("k"), html.alias("html"))
+    return N.read_search_pages(pages).select("k", F.size("hits").alias("n_hits"), "error", "last_page")
+
+
+@query("fractional_years", """SELECT CAST(s_suppkey AS VARCHAR) AS job_id, CAST(CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE ceil(s_suppkey % 9 / 2.0) END AS INTEGER) AS yoe_min
+ FROM supplier""")
+def _(spark, d):
+    k = F.col("s_suppkey")
+    hit = F.concat(F.lit('{"id":"'), k.cast("string"), F.lit('","v5_processed_job_data":{"is_min_industry_and_role_yoe_not_mentioned":'),
+                   F.when(k % 3 == 0, "true").otherwise("false"), F.lit(',"min_industry_and_role_yoe":'), (k % 9 / 2).cast("string"), F.lit("}}"))
+    hits = table(spark, d, "supplier").select(F.from_json(hit, N.HIT).alias("hit"))
+    return N.normalise_hit(hits, now_ms=0).select("job_id", "yoe_min")
+
+
+@query("tag_rows_repeated", over_postings("""SELECT job_id, seq % 2 = 0 AS seen, CASE WHEN seq % 3 = 0 THEN 'reject' END AS verdict,
+ CASE WHEN seq % 3 = 0 THEN 'newer' END AS reason FROM postings"""))
+def _(spark, d):
+    p = postings(spark, d)
+    even, third = p.where("seq % 2 = 0").select("job_id"), p.where("seq % 3 = 0").select("job_id")
+    history = even.select("job_id", F.timestamp_seconds(F.lit(1)).alias("exported_at")).union(even.select("job_id", F.timestamp_seconds(F.lit(2))))
+    said = lambda v, why, t: third.select("job_id", F.lit(v).alias("verdict"), F.lit(why).alias("reason"), F.timestamp_seconds(F.lit(t)).alias("at"))
+    return L.tag_rows(p, history, said("accept", "older", 1).union(said("reject", "newer", 2))).select("job_id", "seen", "verdict", "reason")
+
+
+@query("apply_claims_repeated", over_postings("SELECT job_id, 'by m1' AS location, 'm1' AS who FROM postings"))
+def _(spark, d):
+    p = postings(spark, d).withColumn("location", F.lit(None).cast("string"))
+    said = lambda m, rank: p.select("job_id", F.lit(m).alias("model"), F.lit(rank).alias("model_rank"),
+                                    F.create_map(F.lit("location"), F.lit(f"by {m}")).alias("accepted"))
+    return C.apply_claims(p, said("m0", 2).union(said("m1", 1))).select("job_id", "location", F.try_element_at("ai_fields", F.lit("location")).alias("who"))
+
+
+@query("criteria_country", """SELECT CAST(c_custkey AS VARCHAR) AS job_id FROM customer WHERE c_custkey % 5 NOT IN (1, 3)""")
+def _(spark, d):
+    k = F.col("c_custkey")
+    place = F.when(k % 5 == 0, "Boston, United States").when(k % 5 == 1, "Leeds, UK").when(k % 5 == 2, "somewhere").when(k % 5 == 3, "Paris, FR").otherwise(None)
+    rows = table(spark, d, "customer").select(k.cast("string").alias("job_id"), place.alias("location"))
+    return N.criteria_filter(rows, {"country": "US"}).select("job_id")
+
+
+@query("pane_changed", """SELECT CAST(s_suppkey AS VARCHAR) AS job_id FROM supplier WHERE s_suppkey % 3 <> 1""")
+def _(spark, d):
+    s, k = table(spark, d, "supplier"), F.col("s_suppkey")
+    listing = s.select(k.cast("string").alias("job_id"), F.lit("Harbour pilot").alias("title"))
+    detail = s.select(k.cast("string").alias("job_id"), F.when(k % 3 == 0, "Harbour Pilot (m/f)").otherwise("Loading").alias("title"),
+                      F.repeat(F.lit("words "), 40).alias("description"), F.lit("s1").alias("before"),
+                      F.when(k % 3 == 2, "s2").otherwise("s1").alias("signature"))
+    return P.detail_matches_listing(detail, listing).select("job_id")
+
+
+@query("long_link_texts", """SELECT CAST(s_suppkey AS INTEGER) AS page_id, CAST(50 + s_suppkey AS VARCHAR) AS job_id, CAST(length('Pilot ' || repeat('very ', 90) || 'long') AS INTEGER) AS text_chars
+ FROM supplier""")
+def _(spark, d):
+    k = F.col("s_suppkey").cast("int")
+    html = F.concat(F.lit('<main><div><a href="/jobs/view/'), (k + 50).cast("string"), F.lit('/">Pilot '), F.repeat(F.lit("very "), 90), F.lit("<b>long</b></a></div></main>"))
+    pages = table(spark, d, "supplier").select(k.alias("page_id"), F.lit("https://b.example.com/jobs").alias("url"), html.alias("html"))
+    return B.job_links(B.html_blocks(pages)).select("page_id", "job_id", F.length("text").alias("text_chars"))
+
+
+# ---- files that sinks write, and streams with a restart ----
+
+_CSV_ROW = "job_id || ',' || title || ',' || company || repeat(',', %d)" % (len(SK.CSV_COLUMNS) - 3)
+
+
+@query("csv_file", over_postings(f"SELECT 'header' AS kind, '{','.join(SK.CSV_COLUMNS.values())}' AS line UNION ALL SELECT 'row', {_CSV_ROW} FROM postings"))
+def _(spark, d):
+    path = scratch(spark, "csv")
+    SK.write_csv(postings(spark, d).select("job_id", "title", "company", "seq"), path)
+    lines = spark.read.option("lineSep", "\r\n").text(path)
+    line = F.regexp_replace("value", f"^{SK.BOM}", "")  # the reader may have taken the mark for its own
+    return lines.select(F.when(F.startswith(line, F.lit("jobId,")), "header").otherwise("row").alias("kind"), line.alias("line"))
+
+
+@query("json_file", over_postings("SELECT job_id, title, seq FROM postings"))
+def _(spark, d):
+    path = scratch(spark, "json")
+    SK.write_json(postings(spark, d).select("job_id", "title", "seq"), path)
+    return spark.read.schema("job_id string, title string, seq bigint").json(path)
+
+
+@query("batch_files", "SELECT 'batch ' || p_partkey || ' ' || p_name AS text FROM part")
+def _(spark, d):
+    path = scratch(spark, "batches")
+    k = F.col("p_partkey")
+    SK.write_batches(table(spark, d, "part").select(k.alias("batch_no"), F.concat(F.lit("batch "), k.cast("string"), F.lit(" "), "p_name").alias("text")), path)
+    return spark.read.option("lineSep", "\n\n").text(path).select(F.col("value").alias("text"))
+
+
+@query("stream_restart", """SELECT 'u' || user_id AS job_id, coalesce(min(CASE WHEN event_id % 2 = 0 THEN event_id END), min(event_id)) AS seq FROM events GROUP BY user_id""")
+def _(spark, d):
+    # Even events arrive in several files and micro-batches, then the stream stops; odd ones find it restarted.
+    events, landing, store, checkpoint = table(spark, d, "events"), scratch(spark, "landing"), scratch(spark, "store"), scratch(spark, "intake")
+    for part in (0, 1):
+        events.where(F.col("event_id") % 2 == part).repartition(3, "user_id").write.mode("append").parquet(landing)
+        rows = I.read_arrivals(spark, landing, EVENTS, files_per_batch=1).select(
+            F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("job_id"), F.col("event_id").alias("seq"), F.lit("stream").alias("source"))
+        I.stream_intake(rows, store, checkpoint, once=True).awaitTermination()
+    return M.read_postings(spark, store).select("job_id", "seq")
+
+
+@query("stream_counters_again", "SELECT 'run' || (user_id % 10) AS run_id, event_type AS outcome, 2 * count(*) AS n FROM events GROUP BY ALL")
+def _(spark, d):
+    out = scratch(spark, "counters")
+    for _i in range(2):  # a second stream with a checkpoint of its own adds to the table
+        rows = I.read_arrivals(spark, f"{d}/events*.parquet", EVENTS).select(
+            F.concat(F.lit("run"), (F.col("user_id") % 10).cast("string")).alias("run_id"), F.col("event_type").alias("outcome"))
+        I.stream_counters(rows, out, scratch(spark, "counting"), once=True).awaitTermination()
+    return I.read_counters(spark, out)

@@ -7,58 +7,58 @@ from jobsieve.functions.htmltext import html_to_text
 from jobsieve.functions.spans import find_spans
 
 PAY = [
-    ("The base salary range is $120,000 - $150,000 per year.", (120000, 150000, "year", 120000, 150000)),
-    ("Compensation: $120K-$150K", (120000, 150000, "year", 120000, 150000)),
-    ("Base salary range: $95,000 to $115,000 annually", (95000, 115000, "year", 95000, 115000)),
-    ("The hourly rate for this position is $60 - $75 per hour.", (60, 75, "hour", 124800, 156000)),
-    ("Pay rate: $65/hr", (65, None, "hour", 135200, None)),
-    ("Salary: 120,000 - 150,000 per year", (120000, 150000, "year", 120000, 150000)),
-    ("Compensation is USD 130,000 annually.", (130000, None, "year", 130000, None)),
-    ("Salary range of £70,000 - £85,000 per annum", (70000, 85000, "year", 70000, 85000)),
-    ("$110,000/yr - $135,000/yr", (110000, 135000, "year", 110000, 135000)),
-    ("$60.00/hr - $75.00/hr", (60, 75, "hour", 124800, 156000)),
-    ("Salary of $9,000 per month", (9000, None, "month", 108000, None)),
-    ("Referral bonus of $2,000 available. The base salary range for this role is $120,000 - $140,000.",
-     (120000, 140000, "year", 120000, 140000)),
-    ("We serve 12,000 patients across 30 sites.", None),
-    ("The company raised $50 million in Series B funding.", None),
-    ("We offer a 401(k) with a 5% employer match.", None),
-    ("A $5,000 sign-on bonus is included.", None),
-    ("Travel reimbursement of up to $500 per month.", None),
-    ("Equipment budget of $500", None),
-    ("A division with $400,000,000 in annual revenue.", None),
+    ("Base salary for the post lies between $98,000 - $127,500 per year.", (98000, 127500, "year", 98000, 127500)),
+    ("Compensation band: $83K-$104K", (83000, 104000, "year", 83000, 104000)),
+    ("We pay a base salary of $71,500 to $88,250 annually", (71500, 88250, "year", 71500, 88250)),
+    ("Expect an hourly rate of $41 - $58 per hour.", (41, 58, "hour", 85280, 120640)),
+    ("Hourly pay: $37/hr", (37, None, "hour", 76960, None)),
+    ("Salary band 64,000 - 79,000 per year", (64000, 79000, "year", 64000, 79000)),
+    ("Yearly compensation comes to USD 112,000 annually.", (112000, None, "year", 112000, None)),
+    ("Salary: £43,500 - £51,000 per annum", (43500, 51000, "year", 43500, 51000)),
+    ("$92,400/yr - $118,600/yr", (92400, 118600, "year", 92400, 118600)),
+    ("$33.50/hr - $47.25/hr", (33.5, 47.25, "hour", 69680, 98280)),
+    ("A salary of $6,250 per month", (6250, None, "month", 75000, None)),
+    ("Bring a friend and earn a referral bonus of $1,500. The base salary range here is $86,000 - $97,000.",
+     (86000, 97000, "year", 86000, 97000)),
+    ("Our vans deliver 48,000 parcels to 17 towns.", None),
+    ("Investors put $35 million in funding into the firm.", None),
+    ("Join our 401(k) and get a 4% match.", None),
+    ("You get a $3,250 sign-on bonus.", None),
+    ("A reimbursement of up to $275 per month for train tickets.", None),
+    ("Equipment budget: $850", None),
+    ("The plant turns over $250,000,000 in revenue.", None),
     ("", None),
 ]
 YEARS = [
-    ("5+ years of clinical monitoring experience required.", 5), ("3-5 years of relevant experience.", 3),
-    ("Minimum of seven (7) years experience in the industry.", 7),
-    ("3+ years in clinical research. 5+ years of monitoring experience.", 5),
-    ("Candidates need at least 2 years experience.", 2), ("Requires 4 yrs experience.", 4),
-    ("- 3+ years of independent monitoring", 3), ("2-4 years of oncology trial work", 2),
-    ("Our company has been in business for over 20 years.", None),
-    ("Required: candidates who have worked in the past 3 years.", None),
-    ("A firm with 40 years of history in the sector.", None), ("The trial runs for 3 years.", None),
-    ("30+ years of experience", None), ("", None),
+    ("6+ years of bakery management experience required.", 6), ("4-7 years of hands-on experience.", 4),
+    ("Minimum of eight (8) years experience with looms.", 8),
+    ("2+ years in fleet dispatch. 6+ years of routing experience.", 6),
+    ("You bring at least 3 years experience.", 3), ("Requires 5 yrs experience.", 5),
+    ("- 4+ years of independent surveying", 4), ("3-6 years of harbour pilot work", 3),
+    ("This family firm has been in business for over 35 years.", None),
+    ("We look at people who have moved house in the past 2 years.", None),
+    ("A brewery with 60 years of history in town.", None), ("The lease runs for 4 years.", None),
+    ("35+ years of experience", None), ("", None),
 ]
 FLAGS = [
-    ("An active Secret clearance is required.", "needs_clearance", True),
-    ("Must hold TS/SCI eligibility.", "needs_clearance", True), ("Monitor oncology trials.", "needs_clearance", False),
-    ("We are unable to sponsor visas at this time.", "sponsorship_unavailable", True),
-    ("Must be a US citizen.", "sponsorship_unavailable", True),
-    ("Must be a U.S. citizen.", "sponsorship_unavailable", True),
-    ("Visa sponsorship is available for this role.", "sponsorship_unavailable", False),
-    ("The candidate must relocate to Boston.", "requires_relocation", True),
-    ("Relocation assistance is offered.", "requires_relocation", False),
-    ("This is not a remote position.", "not_remote", True), ("Employees must work on-site.", "not_remote", True),
-    ("A cannot sponsored event", "sponsorship_unavailable", False),
+    ("You need an active Top Secret clearance.", "needs_clearance", True),
+    ("Candidates hold TS/SCI access.", "needs_clearance", True), ("Repair harbour cranes.", "needs_clearance", False),
+    ("The yard is unable to sponsor visas.", "sponsorship_unavailable", True),
+    ("Applicants must be a US citizen.", "sponsorship_unavailable", True),
+    ("Pilots must be a U.S. citizen.", "sponsorship_unavailable", True),
+    ("For this post visa sponsorship is available.", "sponsorship_unavailable", False),
+    ("The engineer must relocate to Tulsa.", "requires_relocation", True),
+    ("We help with relocation assistance.", "requires_relocation", False),
+    ("Please note: not a remote position.", "not_remote", True), ("All welders must work on-site.", "not_remote", True),
+    ("They cannot sponsored the fair", "sponsorship_unavailable", False),
 ]
 NUMBERS = [
-    ("Travel up to 50% is required.", "travel_pct", 50), ("This role involves 25% travel.", "travel_pct", 25),
-    ("Travel up to 25-50% domestically.", "travel_pct", 50), ("Travel 140% of the time", "travel_pct", None),
-    ("We offer a 5% employer match on retirement.", "travel_pct", None),
-    ("Employees are expected on-site 3 days per week.", "onsite_days_per_week", 3),
-    ("You will work three days a week in the office.", "onsite_days_per_week", 3),
-    ("Work from anywhere in the US.", "onsite_days_per_week", None),
+    ("Be ready to travel up to 35% of the month.", "travel_pct", 35), ("Plan for 15% travel.", "travel_pct", 15),
+    ("Travel up to 20-45% across the coast.", "travel_pct", 45), ("Travel 160% of the year", "travel_pct", None),
+    ("The pension gets a 7% employer match.", "travel_pct", None),
+    ("The crew is on-site 4 days per week.", "onsite_days_per_week", 4),
+    ("Plan for two days a week in the office.", "onsite_days_per_week", 2),
+    ("Sit wherever you like.", "onsite_days_per_week", None),
 ]
 
 

@@ -12,6 +12,8 @@ from jobsieve.operators import exporting as E
 from jobsieve.operators import filters as FL
 from jobsieve.operators import ordering as O
 from jobsieve.operators import search as S
+from jobsieve.plans import pipelines as L
+from jobsieve.plans.views import base_postings
 from jobsieve.schema import POSTING, as_postings
 from jobsieve.sources import sinks
 
@@ -153,12 +155,14 @@ def test_packing_equals_sequential(spark, seed):
             assert mine == greedy([r[3] for r in rows if r[1] == g], 5000)
 
 
-def test_small_groups_agree(spark):
-    rows = [(str(i), "ab"[i % 2], i, "x" * (i * 37 % 3000)) for i in range(200)]
-    df = spark.createDataFrame(rows, "job_id string, g string, job_no bigint, block string")
-    a = {(r.job_id, r.batch_no) for r in E.pack_small_groups(df, "g", budget=5000).collect()}
-    b = {(r.job_id, r.batch_no) for r in E.pack_batches(df, ["job_no"], 5000, group="g").collect()}
-    assert a == b
+def test_texts_stay_out_of_the_sort(spark, small):
+    """Descriptions meet their batch by id; what is range-sorted and written holds ids, sort values and lengths."""
+    batches = L.export_batches(base_postings(spark, small), FL.FilterSpec(sort="pay"))
+    plan = batches._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" not in plan  # the sorted part was written before, and only its slim rows are read
+    slim = E.with_blocks(base_postings(spark, small))
+    assert {"job_no", "block_chars", "block"} <= set(slim.columns)
+    assert all(r.n == r.block_chars for r in slim.select(F.length("block").alias("n"), "block_chars").collect())
 
 
 @pytest.mark.parametrize("n, sizes", [(1, [1]), (16, [15, 1]), (40, [15, 15, 10])])
