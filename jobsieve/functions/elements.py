@@ -41,7 +41,7 @@ ENDS_PARAGRAPH = frozenset(
     " section table ul".split())
 
 _INTS = ("ord", "parent", "last", "depth", "raw_start", "raw_end", "out_start", "out_end", "text_len", "norm_len",
-         "n_children", "run")
+         "n_children", "run", "more")
 _KINDS = {
     **dict.fromkeys(_INTS, T.IntegerType()), "tag": T.StringType(), "own_text": T.StringType(), "text": T.StringType(),
     "css_path": T.StringType(), "attrs": T.MapType(T.StringType(), T.StringType()), "in_chrome": T.BooleanType(),
@@ -83,7 +83,7 @@ class _Walk(HTMLParser):
 
     @staticmethod
     def _count_runs(kids):
-        """The first of a run of same-shaped siblings gets the run's length, the others 0."""
+        """The first of a run of same-shaped siblings gets the run's length, the others 0; the second tells how many follow."""
         first = shape = None
         for k in kids:
             mine = (k["tag"], tuple(k["attrs"].get("class", "").split()[:3]), k["n_children"])
@@ -92,6 +92,9 @@ class _Walk(HTMLParser):
                 k["run"] = 0
             else:
                 first, shape = k, mine
+        for before, k in zip(kids, kids[1:]):
+            if k["run"] == 0 and before["run"] > 2:
+                k["more"] = before["run"] - 1
 
     def _close_implied(self, tag):
         if tag in ENDS_PARAGRAPH:
@@ -124,7 +127,7 @@ class _Walk(HTMLParser):
         chrome = tag == "nav" or role == "navigation" or a.get("id") == "global-nav" or (tag == "header" and role == "banner")
         e = {
             "ord": len(self.els), "parent": up["ord"] if up else None, "depth": len(self.stack), "tag": tag,
-            "attrs": a, "own": [], "raw_start": self.n_raw, "out_start": self.n_out, "n_children": 0, "run": 1,
+            "attrs": a, "own": [], "raw_start": self.n_raw, "out_start": self.n_out, "n_children": 0, "run": 1, "more": 0,
             "kids": [],
             "in_chrome": chrome or bool(up and up["in_chrome"]), "mutes": mutes,
             "hidden": "hidden" in a or a.get("aria-hidden") == "true" or bool(up and up["hidden"]),
@@ -210,7 +213,7 @@ def read_page(html: str | None) -> dict:
             "ord": e["ord"], "parent": e["parent"], "last": e["last"], "depth": e["depth"], "tag": e["tag"],
             "attrs": e["attrs"], "own_text": _squash("".join(e["own"])), "raw_start": e["raw_start"],
             "raw_end": e["raw_end"], "out_start": e["out_start"], "out_end": e["out_end"], "text_len": text_len,
-            "norm_len": norm_len, "text": text, "n_children": e["n_children"], "run": e["run"], "in_chrome": e["in_chrome"],
+            "norm_len": norm_len, "text": text, "n_children": e["n_children"], "run": e["run"], "more": e["more"], "in_chrome": e["in_chrome"],
             "hidden": e["hidden"], "css_path": e["path"] if is_block else None, "text_hash": digest,
         })
     return {"raw": raw, "rendered": "".join(w.out), "els": els}

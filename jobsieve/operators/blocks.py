@@ -268,8 +268,8 @@ def _one_per_id(ks: Column) -> Column:
         ks, lambda k, i: F.array_position(ids, k["job_id"]) == i + 1))
 
 
-def cards(parsed: DataFrame, key: str = "page_id") -> DataFrame:
-    """One row per posting card: by the ids on the page, or by repeated shape when ids give fewer than three.
+def with_cards(parsed: DataFrame) -> DataFrame:
+    """Pages with their posting ``cards``: by the ids on the page, or by repeated shape when ids give fewer than three.
 
     Both routes are array work in the page's row: one parse, no join, no shuffle.
     """
@@ -296,9 +296,15 @@ def cards(parsed: DataFrame, key: str = "page_id") -> DataFrame:
     by_id = rooted.withColumn("_by_id", F.transform(let(use, _one_per_id), holder))
     job_groups = F.filter(_card_groups(els), lambda g: g["non_job"] * 2 < g["members"])
     shaped = by_id.withColumn("_group", F.when((F.size("_by_id") < 3) & on_jobs, F.array_max(job_groups)))
-    chosen = shaped.select(key, "_by_id", F.when(F.col("_group").isNotNull(), members_of(F.col("_group"))).alias("_by_shape"))
+    chosen = shaped.withColumn("_by_shape", F.when(F.col("_group").isNotNull(), members_of(F.col("_group"))))
     c = F.when(F.size("_by_shape") > F.size("_by_id"), F.col("_by_shape")).otherwise(F.col("_by_id"))
-    return chosen.select(key, F.posexplode_outer(c).alias("card_no", "c")).where("c is not null").select(key, "card_no", "c.*")
+    return chosen.withColumn("cards", c).drop("_by_id", "_by_shape", "_group")
+
+
+def cards(parsed: DataFrame, key: str = "page_id") -> DataFrame:
+    """One row per posting card."""
+    found = with_cards(parsed).select(key, F.posexplode_outer("cards").alias("card_no", "c"))
+    return found.where("c is not null").select(key, "card_no", "c.*")
 
 
 def keyed_cards(parsed: DataFrame, key: str = "page_id") -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from jobsieve.functions.header import host_of
 from jobsieve.functions.regex import rx
 from jobsieve.functions.text import or_empty
-from jobsieve.operators.blocks import _attr, _inside, cards, description_of_page, list_root
+from jobsieve.operators.blocks import _attr, _inside, description_of_page, list_root, with_cards
 
 # ---- Fixed values: outline limits, noted attributes, and what each extraction rule must satisfy ----
 MAX_OUTLINE, MAX_DEPTH, MAX_TEXT, MAX_ATTR, MAX_INDENT = 16_000, 16, 60, 48, 12
@@ -96,13 +96,9 @@ def _outline(els: Column, url: Column) -> Column:
         ))
 
     def slim(e):
-        prev = F.get(els, e["ord"] - 1)
-        # The element right after a run's first member (and its subtree) carries the "n more" line.
-        lead = F.get(F.filter(els, lambda f: (f["parent"] == e["parent"]) & (f["last"] == e["ord"] - 1)), F.lit(0))
-        more = F.when((e["run"] == 0) & prev.isNotNull() & (lead["run"] > 2), lead["run"] - 1).otherwise(0)
         return F.struct(
             e["ord"].alias("ord"), e["last"].alias("last"), e["depth"].alias("depth"), e["run"].alias("run"),
-            top["depth"].alias("top_depth"), more.alias("more"),
+            top["depth"].alias("top_depth"), e["more"].alias("more"),
             (e["tag"].isin(*SKIPPED) | e["hidden"]).cast("int").alias("drop"), describe(e, url).alias("text"))
 
     scope = F.filter(els, lambda e: _inside(e, top))
@@ -117,13 +113,12 @@ def page_outline(parsed: DataFrame, key: str = "page_id") -> DataFrame:
 
 def page_digest(parsed: DataFrame, key: str = "page_id") -> DataFrame:
     """The outline with a short summary of what structure alone finds on the page."""
-    n_cards = cards(parsed, key).groupBy(key).agg(F.count(F.lit(1)).alias("_cards"))
-    found = description_of_page(parsed)
+    found = description_of_page(with_cards(parsed))
     params = F.array_join(F.regexp_extract_all("url", F.lit("[?&]([^=&#]+)"), F.lit(1)), ", ")
     desc = F.when(F.col("desc").isNotNull(), F.concat(
         F.col("desc.tag"), F.lit(", "), F.col("desc.norm_len").cast("string"), F.lit(" chars"))).otherwise("none")
     ids = F.size(F.array_distinct(F.transform("links", lambda k: k["job_id"])))
-    return found.join(n_cards, key, "left").select(key, F.concat_ws(
+    return found.select(key, F.concat_ws(
         "\n",
         F.concat(F.lit("url: "), F.regexp_replace("url", r"[?#].*$", "")),
         F.concat(F.lit("query params: "), F.when(params != "", params).otherwise("(none)")),
@@ -131,7 +126,7 @@ def page_digest(parsed: DataFrame, key: str = "page_id") -> DataFrame:
         F.lit("WHAT STRUCTURE ALONE FINDS"),
         F.concat(F.lit("  elements carrying a job id: "), F.size("links").cast("string"), F.lit(" ("),
                  ids.cast("string"), F.lit(" distinct ids)")),
-        F.concat(F.lit("  cards: "), F.coalesce("_cards", F.lit(0)).cast("string")),
+        F.concat(F.lit("  cards: "), F.coalesce(F.size("cards"), F.lit(0)).cast("string")),
         F.concat(F.lit("  description candidate: "), desc),
         F.lit(""),
         F.lit("OUTLINE"),

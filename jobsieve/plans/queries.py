@@ -876,6 +876,30 @@ def _(spark, d):
     return OL.page_outline(parsed_pages(spark, d)).select("page_id", F.length("outline").alias("chars"), F.md5("outline").alias("md5"))
 
 
+@query("outline_lines", """SELECT CAST(s_suppkey AS INTEGER) AS page_id, 'main' || chr(10) || '  ul.list' || chr(10) || '    li  "a"' ||
+ CASE s_suppkey % 4 WHEN 0 THEN '' WHEN 1 THEN '' ELSE chr(10) || '    … ×' || (s_suppkey % 4) || ' more siblings of the same shape' END ||
+ chr(10) || '  p#p' || s_suppkey || '  "end"' AS outline FROM supplier""")
+def _(spark, d):
+    # A run of 1 to 4 same-shaped siblings: from three on, one line stands for all but the first.
+    k = F.col("s_suppkey").cast("int")
+    items = F.concat(F.lit("<li>a</li>"), F.repeat(F.lit("<li>b</li>"), k % 4))
+    html = F.concat(F.lit('<main><ul class="list">'), items, F.lit('</ul><p id="p'), k.cast("string"), F.lit('">end</p><script>x</script></main>'))
+    pages = table(spark, d, "supplier").select(k.alias("page_id"), F.lit("https://b.example.com/jobs").alias("url"), html.alias("html"))
+    return OL.page_outline(B.html_blocks(pages))
+
+
+@query("page_digests", """SELECT CAST(s_suppkey AS INTEGER) AS page_id, '  elements carrying a job id: 5 (4 distinct ids)' AS ids, '  cards: 4' AS cards,
+ 'query params: page, sort' AS params FROM supplier""")
+def _(spark, d):
+    k = F.col("s_suppkey").cast("int")
+    link = lambda i: F.concat(F.lit('<li><a href="/jobs/view/'), (k * 10 + i).cast("string"), F.lit('/">Harbour pilot</a></li>'))
+    html = F.concat(F.lit("<main><ul>"), *map(link, (1, 2, 3, 4, 4)), F.lit("</ul></main>"))
+    pages = table(spark, d, "supplier").select(k.alias("page_id"), F.lit("https://b.example.com/jobs?page=2&sort=new").alias("url"), html.alias("html"))
+    lines = F.split("digest", "\n")
+    pick = lambda start: F.get(F.filter(lines, lambda x: F.startswith(x, F.lit(start))), F.lit(0))
+    return OL.page_digest(B.html_blocks(pages)).select("page_id", pick("  elements").alias("ids"), pick("  cards").alias("cards"), pick("query params").alias("params"))
+
+
 @query("static_blocks")
 def _(spark, d):
     return B.static_blocks(parsed_pages(spark, d))
