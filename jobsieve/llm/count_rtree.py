@@ -17,7 +17,6 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -29,7 +28,8 @@ from jobsieve.llm.words import Kept, flat, gram_hashes, hash_filter, may_hold, m
 
 SHINGLE = 5
 # Similarity 0.8: shared / union >= 4 / 5, so 9 * shared >= 4 * (size + size), and no size is under 4 / 5 of the other.
-GROUPS = 64
+GROUPS = 256
+TREE_GROUPS = 64  # the tree adds groups up; what it leaves is bounded anew by all of them
 COUNTERS = 20  # bits of the counter table
 _COLUMNS = 64
 LEAF = 32
@@ -183,16 +183,55 @@ def tree_pairs(points: np.ndarray, sizes: np.ndarray, comps: np.ndarray, left: n
     return out
 
 
-def _tree(rows: pd.DataFrame) -> pd.DataFrame:
-    points = np.frombuffer(b"".join(rows["counts"]), "<u4").reshape(-1, GROUPS).astype(np.int64)
-    sizes, comps, ids, block = (rows[c].to_numpy(np.int64) for c in ("n", "comp", "id", "block"))
-    i, j = int(rows["i"].iloc[0]), int(rows["j"].iloc[0])
-    left, right = np.flatnonzero(block == i), None if i == j else np.flatnonzero(block == j)
-    if not len(left) or (right is not None and not len(right)):
-        return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
-    found = tree_pairs(points, sizes, comps, left, right)
-    a, b = (np.concatenate([ids[p[k]] for p in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
-    return pd.DataFrame({"a": np.maximum(a, b), "b": np.minimum(a, b)})
+def _trees(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of every (bucket, pair of blocks), from rows in that order. A group has at most two blocks of rows; one that a
+    batch cuts is held back for the next. Groups of two rows, the most by far, are compared all at once."""
+    held = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+        if not table.num_rows:
+            continue
+        starts = _group_starts(table)
+        held = table.slice(int(starts[-1]))
+        yield _pairs_of(table.slice(0, int(starts[-1])), starts[:-1])
+    if held is not None:
+        yield _pairs_of(held, _group_starts(held))
+
+
+def _group_starts(table: pa.Table) -> np.ndarray:
+    new = np.ones(table.num_rows, bool)
+    new[1:] = False
+    for c in ("key", "i", "j"):
+        x = table[c].to_numpy()
+        new[1:] |= x[1:] != x[:-1]
+    return np.flatnonzero(new)
+
+
+def _close(points: np.ndarray, sizes: np.ndarray, a: np.ndarray, b: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for k in range(0, len(a), 4096):
+        x, y = a[k: k + 4096], b[k: k + 4096]
+        keep = 9 * np.minimum(points[x], points[y]).sum(1, dtype=np.int64) >= 4 * (sizes[x] + sizes[y])
+        yield x[keep], y[keep]
+
+
+def _pairs_of(table: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+    sizes, comps, ids, block, i, j = (table[c].to_numpy() for c in ("n", "comp", "id", "block", "i", "j"))
+    points = np.frombuffer(b"".join(table["counts"].to_pylist()), "<u4").reshape(-1, GROUPS)
+    boxes = points.reshape(-1, TREE_GROUPS, GROUPS // TREE_GROUPS).sum(2)
+    ends = np.append(starts[1:], table.num_rows)
+    two = starts[(ends - starts == 2) & (i[starts] == j[starts])] if len(starts) else starts
+    shared = np.minimum(points[two], points[two + 1]).sum(1, dtype=np.int64)
+    two = two[(9 * shared >= 4 * (sizes[two] + sizes[two + 1])) & (comps[two] != comps[two + 1])]
+    found = [(two, two + 1)]
+    for start, end in zip(starts.tolist(), ends.tolist(), strict=True):
+        if end - start > 2 or i[start] != j[start]:
+            rows = np.arange(start, end)
+            left = rows[block[start:end] == i[start]]
+            right = None if i[start] == j[start] else rows[block[start:end] == j[start]]
+            if len(left) and (right is None or len(right)):
+                found += [p for a, b in tree_pairs(boxes, sizes, comps, left, right) for p in _close(points, sizes, a, b)]
+    a, b = (ids[np.concatenate([f[k] for f in found])] for k in (0, 1))
+    return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"])
 
 
 def _bounded(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -284,7 +323,7 @@ class ShingleJoin:
                   .select("key", "id", F.coalesce("comp", "id").alias("comp"), "n", "counts", F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("block"),
                           F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")))
         pairs = (points.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("other")
-                 .groupBy("key", "i", "j").applyInPandas(_tree, "a long, b long"))
+                 .repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_trees, "a long, b long"))
         return stored(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "tree-pairs")
 
     def links(self) -> DataFrame:
