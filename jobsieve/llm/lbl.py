@@ -260,6 +260,8 @@ def _scorer(slots: Slots, net: Network, normalisers: np.ndarray):
                 part[s] = (logit - normalisers[one[s], two[s]]) / log10
             known = at >= 0
             counted = np.where(known, log_count[at], 0.0) if len(log_count) else np.zeros(len(at))
+            if END not in slots.index:  # nothing was trained on, and the join below is over words only
+                counted[ends - 1] = math.log10(0.5)
             shares = slot > OWN
             part += np.where(shares, counted, 0.0) - log_mass[slot]
             starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
