@@ -7,7 +7,8 @@ from check_oracle import compare, connect
 # One per area here; tests/check_oracle.py runs all of them at any scale.
 SAMPLE = ["filter_combined", "filter_attribution", "search_top", "number_jobs", "extract_pay", "normalise_hits", "page_facts",
           "duplicate_guard", "verdicts_latest", "barren_streak", "pack_batches_grouped", "render_batches", "page_parts",
-          "verify_claims", "first_usable_reply", "stream_verdicts"]
+          "verify_claims", "first_usable_reply", "stream_verdicts", "refused_hits", "tag_rows_repeated", "stream_restart", "csv_file",
+          "outline_lines", "verify_verbatim"]
 
 
 @pytest.mark.parametrize("name", SAMPLE)

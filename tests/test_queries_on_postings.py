@@ -13,7 +13,7 @@ from jobsieve.operators import filters as FL
 from jobsieve.operators import ordering as O
 from jobsieve.operators import search as S
 from jobsieve.plans import pipelines as L
-from jobsieve.plans.views import base_postings
+from jobsieve.plans.views import postings
 from jobsieve.schema import POSTING, as_postings
 from jobsieve.sources import sinks
 
@@ -157,10 +157,10 @@ def test_packing_equals_sequential(spark, seed):
 
 def test_texts_stay_out_of_the_sort(spark, small):
     """Descriptions meet their batch by id; what is range-sorted and written holds ids, sort values and lengths."""
-    batches = L.export_batches(base_postings(spark, small), FL.FilterSpec(sort="pay"))
+    batches = L.export_batches(postings(spark, small), FL.FilterSpec(sort="pay"))
     plan = batches._jdf.queryExecution().optimizedPlan().toString()
     assert "RepartitionByExpression" not in plan  # the sorted part was written before, and only its slim rows are read
-    slim = E.with_blocks(base_postings(spark, small))
+    slim = E.with_blocks(postings(spark, small))
     assert {"job_no", "block_chars", "block"} <= set(slim.columns)
     assert all(r.n == r.block_chars for r in slim.select(F.length("block").alias("n"), "block_chars").collect())
 
