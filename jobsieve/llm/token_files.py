@@ -29,7 +29,7 @@ from jobsieve.llm.words import small
 
 END_ID = 2
 BUCKET_KEYS = 65_536
-CACHE_UNITS = 400_000
+CACHE_UNITS = 1_000_000
 _OTHER_SPACE = re.compile(r"[^\S \n]")
 _CUT = re.compile(r"(?<=\S)(?= \S)")
 _ENDS = ".,!?;:"
@@ -55,7 +55,7 @@ class Encoder:
         self.newline = self._one("\n")
 
     def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype)
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
 
     def _one(self, text: str) -> bytes:
         return self._ids(text).tobytes()
