@@ -29,6 +29,7 @@ HIDDEN = 24
 THRESHOLD = 0.7
 PERIODS = 8  # a word that goes on a repetition of up to so many words has the shape "repeat"
 _REPEAT = SLOTS - 1
+CACHE_TERMS = 500_000  # shapes take longer to work out than hashes
 
 _CLASSES = bytes(ord("a") if 97 <= b <= 122 or b >= 128 else ord("A") if 65 <= b <= 90 else ord("0") if 48 <= b <= 57 else b for b in range(256))
 _RUNS = re.compile(rb"(.)\1+", re.S)
@@ -67,7 +68,7 @@ def _terms(texts: list[str | None], kept: Kept) -> tuple[np.ndarray, np.ndarray,
 
 def _contexts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The task's share of every context vector, as whole numbers, so that the sum over tasks is exact in any order."""
-    index, kept = index_vectors(), Kept(_term)
+    index, kept = index_vectors(), Kept(_term, CACHE_TERMS)
     total = np.zeros((SLOTS, DIM))
     for batch in small(batches, 0):
         w, s, ends = _terms(batch.column(0).to_pylist(), kept)
@@ -173,7 +174,7 @@ def train_network(x: np.ndarray, y: np.ndarray, vectors: np.ndarray, hidden: int
 
 def _features_of(vectors: np.ndarray):
     def features(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = Kept(_term)
+        kept = Kept(_term, CACHE_TERMS)
         for batch in small(batches, 1):
             x = _pooled(batch.column(1).to_pylist(), vectors, kept)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x[:, d].astype(np.float64)) for d in range(FEATURES))],
@@ -205,7 +206,7 @@ def score_quality(docs: DataFrame, model: Model, text_col: str = "text", thresho
     at = docs.columns.index(text_col)
 
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = Kept(_term)
+        kept = Kept(_term, CACHE_TERMS)
         for batch in small(batches, at):
             p = model.score(_pooled(batch.column(at).to_pylist(), model.vectors, kept))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p.astype(np.float64)), pa.array((p >= threshold).astype(np.int32))],

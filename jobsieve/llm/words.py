@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
-CACHE_WORDS = 500_000
-PIECE_BYTES = 4 << 20
+CACHE_WORDS = 150_000
+PIECE_BYTES = 2 << 20
 FILTER_BITS = 27  # at most 16 MB of bits are sent to the tasks, however many hashes there are
 
 
