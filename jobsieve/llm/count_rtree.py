@@ -214,6 +214,20 @@ def _close(points: np.ndarray, sizes: np.ndarray, a: np.ndarray, b: np.ndarray)
         yield x[keep], y[keep]
 
 
+def _key_sets(table: pa.Table):
+    """The keys of a row's set, made when they are first asked for."""
+    lists = table["keys"].combine_chunks()
+    values, ends = lists.flatten().to_numpy(), np.cumsum(lists.value_lengths().to_numpy())
+    starts, made = ends - lists.value_lengths().to_numpy(), {}
+
+    def own(row: int) -> frozenset:
+        if row not in made:
+            made[row] = frozenset(values[starts[row]: ends[row]].tolist())
+        return made[row]
+
+    return own
+
+
 def _pairs_of(table: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
     sizes, comps, ids, block, i, j = (table[c].to_numpy() for c in ("n", "comp", "id", "block", "i", "j"))
     points = np.frombuffer(b"".join(table["counts"].to_pylist()), "<u4").reshape(-1, GROUPS)
@@ -230,7 +244,11 @@ def _pairs_of(table: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
             right = None if i[start] == j[start] else rows[block[start:end] == j[start]]
             if len(left) and (right is None or len(right)):
                 found += [p for a, b in tree_pairs(boxes, sizes, comps, left, right) for p in _close(points, sizes, a, b)]
-    a, b = (ids[np.concatenate([f[k] for f in found])] for k in (0, 1))
+    a, b = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+    # Two sets often share many buckets: the pair leaves the one with their smallest common key only.
+    key, own = table["key"].to_numpy(), _key_sets(table)
+    first = np.fromiter((min(own(x) & own(y)) == k for x, y, k in zip(a.tolist(), b.tolist(), key[a].tolist(), strict=True)), bool, len(a))
+    a, b = ids[a[first]], ids[b[first]]
     return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"])
 
 
@@ -319,12 +337,15 @@ class ShingleJoin:
         marks = members.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("lo"), F.max("id").alias("hi"),
                                            F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("sum"))
         chosen = stored(marks.groupBy("c", "lo", "hi", "sum").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks")), "chosen")
-        points = (members.join(chosen, "key").join(labels, "id", "left").join(self.sets.select("id", "n", "counts"), "id")
-                  .select("key", "id", F.coalesce("comp", "id").alias("comp"), "n", "counts", F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("block"),
+        rows = stored(members.join(chosen, "key"), "open-members")
+        own = rows.groupBy("id").agg(F.collect_list("key").alias("keys"))  # no more than a set's rarest fifth
+        sets = own.join(labels, "id", "left").join(self.sets.select("id", "n", "counts"), "id")
+        points = (rows.join(sets, "id")
+                  .select("key", "id", F.coalesce("comp", "id").alias("comp"), "n", "counts", "keys", F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("block"),
                           F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")))
         pairs = (points.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("other")
                  .repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_trees, "a long, b long"))
-        return stored(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "tree-pairs")
+        return stored(pairs.join(tried, ["a", "b"], "left_anti"), "tree-pairs")
 
     def links(self) -> DataFrame:
         """Links that connect every component whole: not all within groups of copies, but all between different ones."""
