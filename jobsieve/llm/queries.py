@@ -149,7 +149,7 @@ def op9_count_rtree(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     views = perspectives.rotate(table(spark, sf_dir, "conversations"))
     spans = F.array_join(F.transform("mask", lambda m: F.concat_ws("-", m["start"], m["end"])), ",")
-    return views.withColumn("mask", spans)
+    return views.withColumn("mask", spans).drop("offset")
 
 
 ORACLES["op10_perspectives"] = r"""

@@ -124,6 +124,23 @@ def test_perspectives_on_odd_rows(spark):
     assert perspectives.rotate(df.where("false")).count() == 0
 
 
+def test_perspectives_of_a_long_conversation_are_whole(spark):
+    """Chunks joined in order are one rendering for every participant, also one who is silent in most of them."""
+    rows = [(1, 0, "system", "Be kind")] + [(1, i, "ann" if i == 3 else "late" if i == 149 else f"p{i % 2}", f"m{i}") for i in range(1, 150)]
+    rows += [(None, i, "system" if i < 70 else "bo", "é𝄞") for i in range(80)] + [(2, 0, "ann", "hi")]
+    want = {(c, who): (text, mask) for c, _, who, text, mask in render(rows, 1000)}
+    got = {}
+    for r in perspectives.rotate(spark.createDataFrame([(*r, "own") for r in rows], CHAT)).collect():
+        got.setdefault((str(r.conv_id), r.perspective), []).append(r)
+    assert got.keys() == want.keys()
+    for key, chunks in got.items():
+        chunks.sort(key=lambda r: r.segment)
+        assert [r.segment for r in chunks] == list(range(len(chunks))) and all(r.n_messages <= 64 for r in chunks)
+        text = "".join(r.rendered for r in chunks)
+        assert [r.offset for r in chunks] == [sum(len(x.rendered) for x in chunks[:k]) for k in range(len(chunks))]
+        assert (text, str([(r.offset + a, r.offset + b) for r in chunks for a, b in r.mask])) == want[key]
+
+
 def test_no_python_in_native_plans(odd_docs, spark):
     for df in (exact_dedup.exact_duplicates(odd_docs), fair_mix.mix_plan(odd_docs)):
         plan = df._jdf.queryExecution().executedPlan().toString()
