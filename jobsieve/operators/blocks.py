@@ -612,8 +612,9 @@ def static_blocks(parsed: DataFrame, host: Column | None = None) -> DataFrame:
     slim = F.transform(F.filter("els", lambda e: e["text_hash"].isNotNull()), lambda e: F.struct(
         e["css_path"].alias("css_path"), e["text_hash"].alias("text_hash")))
     rows = parsed.select(h.alias("host"), F.inline_outer(slim)).where("text_hash is not null")
-    return rows.groupBy("host", "css_path").agg(
-        F.count(F.lit(1)).alias("pages"), F.approx_count_distinct("text_hash").alias("texts"))
+    # Two steps, each combined before its shuffle: the count is exact and no task holds a host's texts.
+    texts = rows.groupBy("host", "css_path", "text_hash").agg(F.count(F.lit(1)).alias("n"))
+    return texts.groupBy("host", "css_path").agg(F.sum("n").alias("pages"), F.count(F.lit(1)).alias("texts"))
 
 
 def turn_groups(parsed: DataFrame, key: str = "page_id") -> DataFrame:

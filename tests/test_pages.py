@@ -194,3 +194,12 @@ def test_known_pages_are_skipped_before_parsing(spark):
     seen = spark.createDataFrame([("0",)], "job_id string")
     said = spark.createDataFrame([("1", "reject"), ("2", "accept")], "job_id string, verdict string")
     assert [r.job_id for r in collect_pages(pages, "page_id", seen, said).collect()] == ["2"]
+
+
+def test_static_blocks_counts_texts_exactly(spark):
+    """Many different texts at one place, each on two pages, and another place with one text on all."""
+    pages = spark.range(6000).selectExpr(
+        "if(id % 2 = 0, 'a', 'b') AS host",
+        "array(struct('p.x' AS css_path, id div 4 AS text_hash), struct('p.y' AS css_path, 7L AS text_hash), struct('p.z' AS css_path, CAST(NULL AS BIGINT) AS text_hash)) AS els")
+    got = {(r.host, r.css_path): (r.pages, r.texts) for r in B.static_blocks(pages, F.col("host")).collect()}
+    assert got == {(h, p): (3000, n) for h in "ab" for p, n in (("p.x", 1500), ("p.y", 1))}
