@@ -39,7 +39,8 @@ class Encoder:
     """Ids of whole texts, equal to encoding each text at once, with the ids of frequent pieces kept.
 
     The byte-level pre-tokenizer never lets a token cross the place before a single space, or around a single line
-    break, that stands between two other characters; pieces between such places are encoded once while they are kept.
+    break, that stands between two other characters; pieces between such places are encoded once while they are kept. A
+    mark such as <|endoftext|> in a text has its own id, as by the plain library call; it holds no white space, so it stays whole.
     """
 
     def __init__(self, path: str, cache: int = CACHE_UNITS):
@@ -47,7 +48,6 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 65_536 else "<u4"
         self.limit = cache
         self.plain: dict[str, bytes] = {}

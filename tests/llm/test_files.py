@@ -80,6 +80,15 @@ def test_kept_pieces_change_nothing(texts):
     assert [np.frombuffer(b, enc.dtype).tolist() for b in enc.encode(texts)] == encoded(texts)
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["<|endoftext|>", "<|", "end", "go.", " ", "  ", "\n", "\t", "é"]), max_size=9).map("".join), max_size=6))
+def test_marks_are_encoded_as_by_the_library(texts):
+    enc = token_files.Encoder(PATH, cache=20)
+    want = [e.ids for e in Tokenizer.from_file(PATH).encode_batch(texts, add_special_tokens=False)]
+    assert [np.frombuffer(b, enc.dtype).tolist() for b in enc.encode(texts)] == want
+    assert len(np.frombuffer(enc.encode(["end <|endoftext|> go"])[0], enc.dtype)) == 4
+
+
 def test_token_files_of_a_table(spark, small):
     rows = duckdb.sql(f"select doc_id, text from '{small}/documents.parquet' order by 1").fetchall()
     want, start = [], 0
