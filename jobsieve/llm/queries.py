@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobsieve.llm import count_rtree, exact_dedup, fair_mix, lbl, perspectives, quality, token_files, url_templates, warc_index, winnow
+from jobsieve.llm import (
+    count_rtree,
+    exact_dedup,
+    fair_mix,
+    importance,
+    language_crf,
+    lbl,
+    perspectives,
+    quality,
+    spelling_trie,
+    token_files,
+    url_templates,
+    warc_index,
+    winnow,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -172,3 +186,71 @@ select conv_id, segment, perspective, count(*) as n_messages, count(*) filter (t
        string_agg(cast(start as bigint) || '-' || cast(start + length(body) as bigint), ',' order by pos) filter (trained) as mask
 from o group by conv_id, segment, perspective
 """
+
+
+@query
+def op11_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    # A row without an id has no remainder: it is neither held out nor learnt from.
+    model = language_crf.fit_languages(docs, bucket_of("doc_id", 5) != 0)
+    return language_crf.predict_languages(docs, model).select(
+        "doc_id", F.coalesce(bucket_of("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op12_spelling_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_trie.spelling_variants(spelling_trie.word_counts(table(spark, sf_dir, "documents")))
+
+
+# CRC-32 of a word: its table by the rule of the polynomial, then a fold over the UTF-8 bytes.
+CRC_TABLE = """crc as (select list_transform(range(256), lambda b: list_reduce(list_prepend(b::bigint, [0::bigint, 0, 0, 0, 0, 0, 0, 0]),
+               lambda c, x: case when c % 2 = 1 then xor(c // 2, 3988292384::bigint) else c // 2 end)) as tab)"""
+CRC_OF_HEX = """xor(list_reduce(list_prepend(4294967295::bigint, list_transform(range(1, length(hex), 2), lambda i: ('0x' || substr(hex, i, 2))::bigint)),
+                  lambda c, x: xor(tab[1 + (xor(c, x) & 255)], c >> 8)), 4294967295::bigint)"""
+
+ORACLES["op12_spelling_trie"] = f"""
+with recursive {CRC_TABLE},
+r as (select doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as run from documents),
+q as (select run, hex(encode(coalesce(cast(doc_id as varchar), '') || ':' || run)) as hex, count(*) as n from r group by doc_id, run),
+h as (select run, n, {CRC_OF_HEX} as h from q, crc),
+w as (select case when h % 97 = 0 then substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) else run end as word, n from h),
+v as (select word, cast(sum(n) as bigint) as n from w where length(word) >= 5 group by word having sum(n) >= 3),
+g as (select word, unnest(range(1, length(word) + 1)) as i, substr(word, 1, i - 1) || substr(word, i + 1) as gap from v),
+e as (select g.word as long, v.word as short from g join v on v.word = gap),
+p as (select a.word, b.word as near from g a join g b using (i, gap) where a.word <> b.word
+      union select long, short from e union select short, long from e),
+f as (select p.word, count(*) as n_near, arg_min(near, (-o.n, near)) as best, max(o.n) as best_n from p join v o on o.word = p.near group by p.word),
+t as (select v.word, n, coalesce(n_near, 0) as n_near, case when best_n >= 2 * n then best end as form, case when best_n >= 2 * n then best_n end as form_n
+      from v left join f using (word)),
+s as (select word, word as root from t union all select s.word, t.form from s join t on t.word = s.root where t.form is not null)
+select t.word, t.form, arg_max(s.root, o.n) as root, t.n, t.n_near, t.form_n from t join s using (word) join t o on o.word = s.root
+group by t.word, t.form, t.n, t.n_near, t.form_n
+"""
+
+
+@query
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+ORACLES["op13_importance"] = rf"""
+with {CRC_TABLE},
+d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+b as (select regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
+dw as (select doc_id, unnest(w) as word from d), bw as (select unnest(w) as word from b),
+v as (select word, hex(encode(word)) as hex from (select word from dw union select word from bw)),
+k as (select word, {CRC_OF_HEX} % 10000 as bucket from v, crc),
+s as (select bucket, count(*) as s from dw join k using (word) group by bucket), t as (select bucket, count(*) as t from bw join k using (word) group by bucket),
+g as (select bucket, cast(floor(1000 * ln((coalesce(t, 0) + 1)::double * ((select coalesce(sum(s), 0) from s) + 10000)::double
+             / ((coalesce(s, 0) + 1)::double * ((select coalesce(sum(t), 0) from t) + 10000)::double))) as bigint) as gain
+      from (select distinct bucket from k) left join s using (bucket) left join t using (bucket)),
+e as (select doc_id, w, ('0x' || left(sha256('2024:' || coalesce(cast(doc_id as varchar), '')), 8))::bigint as h from d),
+f as (select doc_id, sum(gain) as weight from dw join k using (word) join g using (bucket) group by doc_id),
+r as (select doc_id, cast(len(w) as bigint) as n_features, cast(coalesce(weight, 0) as bigint) as weight,
+             cast(coalesce(weight, 0) + floor(-1000 * ln(-ln((h + 0.5::double) / 4294967296::double))) as bigint) as score from e left join f using (doc_id)),
+o as (select *, row_number() over (partition by n_features >= 20 order by score desc, doc_id) as place, count(*) over (partition by n_features >= 20) as n from r)
+select doc_id, n_features, weight, score, case when n_features >= 20 and place <= 10 * n // 100 then place end as rank from o
+"""
