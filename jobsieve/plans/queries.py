@@ -26,6 +26,7 @@ from jobsieve.operators import outline as OL
 from jobsieve.operators import pagefacts as P
 from jobsieve.operators import runs as R
 from jobsieve.operators import search as S
+from jobsieve.operators import verbatim as VB
 from jobsieve.operators import verdicts as V
 from jobsieve.plans import pipelines as L
 from jobsieve.plans.views import (
@@ -1053,23 +1054,9 @@ def _(spark, d):
 @query("verify_verbatim", """WITH d AS (SELECT doc_id, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS t FROM documents),
  b AS (SELECT item_id, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS v FROM benchmark) SELECT doc_id, item_id FROM d JOIN b ON contains(t, v)""")
 def _(spark, d):
-    # Words inside an item are whole words of every text that holds it: pairs meet at its second to seventh word, or at all
-    # inner words of a shorter item. Items without inner words are looked for in every text, a block of them at a time.
-    items = table(spark, d, "benchmark").select("item_id", squash_lower("text").alias("v")).withColumn("n", F.size(F.split("v", " ")))
-    long = items.where(F.col("n") >= 3).withColumn("k", F.least(F.col("n") - 2, F.lit(6)))
-    long = long.withColumn("gram", F.array_join(F.slice(F.split("v", " "), F.lit(2), F.col("k")), " "))
+    items = table(spark, d, "benchmark").select("item_id", squash_lower("text").alias("v"))
     docs = spread(table(spark, d, "documents")).select("doc_id", squash_lower("text").alias("page"))
-    cut = docs.withColumn("words", F.split("page", " "))  # once a text: an expression inside the lambda is worked out for every gram
-    lengths = sorted(r["k"] for r in long.select("k").distinct().collect())  # at most six numbers
-    grams = lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.size("words") - k + 1, F.lit(1))), lambda i: F.array_join(F.slice("words", i, k), " "))
-    every = F.flatten(F.array(*[F.array_distinct(grams(k)) for k in lengths])) if lengths else F.array().cast("array<string>")
-    met = cut.select("doc_id", F.explode(F.array_distinct(every)).alias("gram")).join(long.select("item_id", "gram"), "gram").select("doc_id", "item_id")
-    pairs = docs.join(met, "doc_id").join(long.select("item_id", "v"), "item_id")
-    found = pairs.where(C.stands_in(F.col("v"), F.col("page"))).select("doc_id", "item_id")
-    short = items.where("n < 3").withColumn("block", F.floor(F.monotonically_increasing_id() / 500))
-    blocks = short.groupBy("block").agg(F.collect_list(F.struct("item_id", "v")).alias("of"))
-    inside = F.filter("of", lambda i: C.stands_in(i["v"], F.col("page")))
-    return found.union(docs.crossJoin(blocks).select("doc_id", F.explode(inside).alias("i")).select("doc_id", "i.item_id"))
+    return VB.find_verbatim(docs, items, "doc_id", "page", "item_id", "v")
 
 
 @query("apply_claims", over_postings("""SELECT job_id, CASE WHEN seq % 8 NOT IN (2, 3) AND seq % 2 = 0 THEN location ELSE 'gap' END AS location,
