@@ -1262,6 +1262,33 @@ def _(spark, d):
     return M.read_postings(spark, store).select("job_id", "seq")
 
 
+def event_postings(events):
+    return events.select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("job_id"), F.col("event_id").alias("seq"), F.lit("stream").alias("source"))
+
+
+FIRST_EVENTS = "SELECT 'u' || user_id AS job_id, min(event_id) AS seq FROM events GROUP BY user_id"
+
+
+@query("stream_batches", FIRST_EVENTS)
+def _(spark, d):
+    # The events arrive in four parts, in order; the stream stops after each and starts again. Together they must be one dedupe over all.
+    events, landing, store, checkpoint = table(spark, d, "events"), scratch(spark, "landing"), scratch(spark, "store"), scratch(spark, "intake")
+    top = events.agg(F.max("event_id")).first()[0] or 0
+    for part in range(4):
+        events.where(F.least(F.floor(F.col("event_id") * 4 / (top + 1)), F.lit(3)) == part).write.mode("append").parquet(landing)
+        I.stream_intake(event_postings(I.read_arrivals(spark, landing, EVENTS)), store, checkpoint, once=True).awaitTermination()
+    return M.read_postings(spark, store).select("job_id", "seq")
+
+
+@query("append_batches", "SELECT 'u' || user_id AS job_id, coalesce(min(CASE WHEN event_id % 3 = 0 THEN event_id END), min(event_id)) AS seq FROM events GROUP BY user_id")
+def _(spark, d):
+    # Every third event first, then all of them, twice: what is stored stays.
+    rows, store = event_postings(table(spark, d, "events")), scratch(spark, "store")
+    for batch in (rows.where("seq % 3 = 0"), rows, rows):
+        M.append_postings(spark, batch, store)
+    return M.read_postings(spark, store).select("job_id", "seq")
+
+
 @query("stream_counters_again", "SELECT 'run' || (user_id % 10) AS run_id, event_type AS outcome, 2 * count(*) AS n FROM events GROUP BY ALL")
 def _(spark, d):
     out = scratch(spark, "counters")

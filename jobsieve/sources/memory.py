@@ -6,15 +6,54 @@ update, a delete is a tombstone row, and a reader never sees a half-overwritten
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+from collections.abc import Sequence
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobsieve.operators.dedupe import dedupe_first, last_per_key
 from jobsieve.schema import POSTING, as_postings, ddl
 
 
+STORE_BUCKETS = 64  # fixed for a store's life: a posting lies in the folder of its id's hash
+LOOKUP_IDS = 100  # a batch of no more ids asks for each by name, so that the files' Bloom filters can pass row groups by
+
+
+def bucket(job_id: Column | str) -> Column:
+    """The folder of an id; rows without an id share one."""
+    return F.pmod(F.xxhash64(job_id), F.lit(STORE_BUCKETS)).cast("int")
+
+
+def _layout(spark: SparkSession, path: str, *folders: str) -> DataFrame:
+    """Rows of the whole store, or of some of its folders."""
+    reader = spark.read.schema(ddl({**POSTING, "bucket": "int", "write": "string"})).option("basePath", path)
+    return reader.parquet(*(folders or [path]))
+
+
 def read_postings(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(ddl(POSTING)).parquet(path)
+    return _layout(spark, path).select(*POSTING)
+
+
+def stored_ids(spark: SparkSession, path: str, buckets: Sequence[int] | None = None) -> DataFrame:
+    """Ids in the store; with ``buckets`` only their folders are listed and opened."""
+    if not _exists(spark, path):
+        return spark.createDataFrame([], "job_id string")
+    if buckets is None:
+        return _layout(spark, path).select("job_id")
+    folders = [f for f in (f"{path}/bucket={b}" for b in buckets) if _exists(spark, f)]
+    return _layout(spark, path, *folders).select("job_id") if folders else spark.createDataFrame([], "job_id string")
+
+
+def write_postings(rows: DataFrame, path: str, token: str) -> None:
+    """Add ``rows`` to the store under a write's token. The same rows under the same token again replace themselves.
+
+    The files carry Bloom filters of the ids. A batch is dealt by folder in pieces of even size, however its ids and sources are spread.
+    """
+    dealt = rows.withColumn("bucket", bucket("job_id")).withColumn("write", F.lit(token)).hint("rebalance", "bucket", "source")
+    (dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("parquet.bloom.filter.enabled#job_id", "true")
+     .partitionBy("bucket", "source", "write").parquet(path))
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -27,19 +66,23 @@ def _exists(spark: SparkSession, path: str) -> bool:
         raise
 
 
-def append_postings(spark: SparkSession, incoming: DataFrame, path: str, partition_by: str = "source") -> None:
+def append_postings(spark: SparkSession, incoming: DataFrame, path: str, token: str | None = None) -> None:
     """Store postings whose id is not stored yet; within the batch the first arrival wins.
 
-    Only the id column of the store is read. A replayed batch finds its own ids stored and adds nothing.
+    Of the store only the id column is read, and only in the folders that the batch's ids hash to. A replayed batch finds its
+    own ids stored and adds nothing.
     """
     batch = dedupe_first(as_postings(incoming)).persist()
-    fresh = batch
-    if _exists(spark, path):
-        # Look the batch's ids up in the store, not the other way round: Spark can then broadcast the batch
-        # when its measured size is small, and the store's ids are only streamed past it.
-        known = read_postings(spark, path).select("job_id").join(batch.select("job_id"), "job_id", "left_semi")
-        fresh = batch.join(known, "job_id", "left_anti")
-    fresh.write.mode("append").partitionBy(partition_by).parquet(path)
+    touched = [r["b"] for r in batch.select(bucket("job_id").alias("b")).distinct().collect()]  # at most STORE_BUCKETS
+    known = stored_ids(spark, path, touched)
+    few = [r["job_id"] for r in batch.select("job_id").limit(LOOKUP_IDS + 1).collect()]
+    if 0 < len(few) <= LOOKUP_IDS:
+        known = known.where(reduce(lambda a, b: a | b, (F.col("job_id").eqNullSafe(x) if x is None else F.col("job_id") == x for x in few)))
+    # Look the batch's ids up in the store, not the other way round: Spark can then broadcast the batch
+    # when its measured size is small, and the store's ids are only streamed past it. A row without an id is an id of its own.
+    same = F.col("job_id").eqNullSafe(F.col("known"))
+    met = known.select(F.col("job_id").alias("known")).join(batch.select("job_id"), same, "left_semi").distinct()
+    write_postings(batch.join(met, same, "left_anti"), path, token or uuid.uuid4().hex)
     batch.unpersist()
 
 

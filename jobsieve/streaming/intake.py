@@ -11,10 +11,13 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from jobsieve.operators.verdicts import latest_verdict, parse_verdicts, read_chat_lines
-from jobsieve.sources.memory import append_postings, upsert_memory
+from jobsieve.schema import POSTING, as_postings
+from jobsieve.sources.memory import stored_ids, upsert_memory, write_postings
 
+ROCKS_DB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 FLUSH = "1200 milliseconds"  # fixed value: how long writes are gathered
 
 
@@ -28,13 +31,42 @@ def _start(writer, checkpoint: str, once: bool) -> StreamingQuery:
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=FLUSH)).start()
 
 
+class FirstArrival(StatefulProcessor):
+    """Lets the first row of an id through, once in the life of the stream; what is kept of an id is one mark."""
+
+    def init(self, handle) -> None:
+        self.seen = handle.getValueState("seen", "at boolean")
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        self.seen.update((True,))
+
+    def handleInputRows(self, key, rows, timerValues):
+        if self.seen.exists():
+            return
+        self.seen.update((True,))
+        # Rows without an order come last.
+        yield min(rows, key=lambda r: (r["seq"] is None, r["seq"] or 0))
+
+
 def stream_intake(arrivals: DataFrame, store: str, checkpoint: str, once: bool = False) -> StreamingQuery:
-    """Append postings whose id is new: first arrival wins inside a batch, the store wins across batches."""
+    """Append postings whose id is new: first arrival wins inside a batch, earlier batches and the store win across batches.
+
+    Which ids were seen is state of the stream, kept in RocksDB and checkpointed by id: no batch reads the store. What the
+    store holds when the stream first starts is read once, as the first state. A replayed batch finds the state as it was before it, and
+    writes the same rows over its own.
+    """
+    spark = arrivals.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS_DB)
+    run = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
+    # Only what arrives goes through the state; the columns a posting has besides are added where it is stored.
+    come = arrivals.select(*[F.col(c).cast(kind).alias(c) for c, kind in POSTING.items() if c in arrivals.columns])
+    first = come.groupBy("job_id").transformWithState(
+        FirstArrival(), come.schema, "Append", "None", initialState=stored_ids(spark, store).distinct().groupBy("job_id"))
 
-    def land(batch: DataFrame, _: int) -> None:
-        append_postings(batch.sparkSession, batch, store)
+    def land(batch: DataFrame, batch_id: int) -> None:
+        write_postings(as_postings(batch), store, f"{run}-{batch_id}")
 
-    return _start(arrivals.writeStream.foreachBatch(land), checkpoint, once)
+    return _start(first.writeStream.foreachBatch(land), checkpoint, once)
 
 
 def stream_counters(outcomes: DataFrame, table: str, checkpoint: str, once: bool = False) -> StreamingQuery:
