@@ -32,7 +32,7 @@ from jobsieve.plans import pipelines as L
 from jobsieve.plans.views import (
     CHARS_PAD, SQL_POSTINGS, base_postings, board_pages, chats, details, postings, prose, search_pages, spread, table,
 )
-from jobsieve.schema import VERDICTS, union_postings
+from jobsieve.schema import HISTORY, VERDICTS, union_postings
 from jobsieve.session import scratch
 from jobsieve.sources import memory as M
 from jobsieve.sources import sinks as SK
@@ -660,6 +660,20 @@ def _(spark, d):
     return M.newest(h, "job_id", "exported_at").select("job_id", F.unix_millis("exported_at").alias("at_ms"))
 
 
+@query("history_folded", """SELECT CAST(o_custkey AS VARCHAR) AS job_id, epoch_ms(max(o_orderdate)) AS at_ms FROM orders GROUP BY o_custkey
+ HAVING o_custkey % 5 <> 0 OR max(o_orderdate) > DATE '1997-01-01'""")
+def _(spark, d):
+    # Three writes, then every fifth customer is forgotten as of 1997; the writes are folded, and the first one lands again afterwards.
+    h = table(spark, d, "orders").select(F.col("o_custkey").cast("string").alias("job_id"), F.col("o_orderdate").cast("timestamp").alias("exported_at"), "o_orderkey", "o_custkey")
+    path, parts = scratch(spark, "history"), [h.where(F.col("o_orderkey") % 3 == k).select("job_id", "exported_at") for k in range(3)]
+    for part in parts:
+        M.upsert_memory(part, path)
+    M.forget(h.where("o_custkey % 5 = 0").select("job_id").distinct(), path, HISTORY, "job_id", "exported_at", "1997-01-01")
+    M.fold_memory(spark, path, HISTORY, "job_id", "exported_at")
+    M.upsert_memory(parts[0], path)
+    return M.read_memory(spark, path, HISTORY, "job_id", "exported_at").select("job_id", F.unix_millis("exported_at").alias("at_ms"))
+
+
 @query("tag_rows", f"""WITH {SQL_POSTINGS}, {SQL_HISTORY}, {SQL_VERDICTS} SELECT p.job_id, h.job_id IS NOT NULL AS seen, v.verdict, v.reason
  FROM postings p LEFT JOIN history h ON p.job_id = h.job_id LEFT JOIN verdicts v ON p.job_id = v.job_id""")
 def _(spark, d):

@@ -1,7 +1,7 @@
 """Stored postings and the small memory tables (history, verdicts, plans, log, runs).
 
-Memory tables are append-only folders read as "newest row per key": an update costs the size of the
-update, a delete is a tombstone row, and a reader never sees a half-overwritten table.
+Memory tables are lists of written folders (see ``snapshots``) read as "newest row per key": an update costs the size of the
+update, a delete is a tombstone row, and a reader sees one state of the table.
 """
 
 from __future__ import annotations
@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from jobsieve.operators.dedupe import dedupe_first, last_per_key
 from jobsieve.schema import POSTING, as_postings, ddl
+from jobsieve.sources import snapshots
+from jobsieve.sources.snapshots import Snapshot
 
 
 STORE_BUCKETS = 64  # fixed for a store's life: a posting lies in the folder of its id's hash
@@ -92,9 +94,25 @@ def mark_exported(ids: DataFrame, at: str | None = None) -> DataFrame:
     return ids.select("job_id").distinct().withColumn("exported_at", when)
 
 
-def upsert_memory(rows: DataFrame, path: str) -> None:
-    """Append rows; readers pick the newest per key."""
-    rows.withColumn("_deleted", F.lit(False)).write.mode("append").parquet(path)
+COMPACT_AFTER = 32  # writes of a memory table; the next one folds them into one
+
+
+def upsert_memory(rows: DataFrame, path: str, stream: str | None = None, batch: int = 0) -> None:
+    """Append rows; readers pick the newest per key. A stream's batch that is in the table already changes nothing."""
+    _add(rows.withColumn("_deleted", F.lit(False)), path, stream, batch)
+
+
+def _add(rows: DataFrame, path: str, stream: str | None = None, batch: int = 0) -> None:
+    spark, write = rows.sparkSession, uuid.uuid4().hex
+    is_old = lambda s: stream is not None and s.applied.get(stream, -1) >= batch
+    if is_old(snapshots.current(spark, path)):
+        return
+    rows.write.parquet(f"{path}/{write}")
+
+    def named(s: Snapshot) -> Snapshot | None:
+        return None if is_old(s) else Snapshot(writes=[*s.writes, write], applied=s.applied | ({stream: batch} if stream is not None else {}))
+
+    snapshots.commit(spark, path, named)
 
 
 def forget(ids: DataFrame, path: str, schema: dict[str, str], key: str, at: str, when: str | None = None) -> None:
@@ -104,17 +122,20 @@ def forget(ids: DataFrame, path: str, schema: dict[str, str], key: str, at: str,
         (F.col(c) if c == key else stamp if c == at else F.lit(None)).cast(kind).alias(c)
         for c, kind in schema.items()
     ]
-    ids.select(*cols, F.lit(True).alias("_deleted")).write.mode("append").parquet(path)
+    _add(ids.select(*cols, F.lit(True).alias("_deleted")), path)
 
 
-def read_memory(spark: SparkSession, path: str, schema: dict[str, str], key: str, at: str) -> DataFrame:
-    """Newest row per key, tombstoned keys left out."""
-    if not _exists(spark, path):
-        return spark.createDataFrame([], ddl(schema))
-    rows = spark.read.schema(ddl({**schema, "_deleted": "boolean"})).parquet(path)
+def read_memory(spark: SparkSession, path: str, schema: dict[str, str], key: str, at: str, version: int | None = None) -> DataFrame:
+    """Newest row per key, tombstoned keys left out. The rows are of one state of the table: the newest when this is called, or ``version``."""
+    rows = _rows(spark, path, snapshots.current(spark, path, version).writes, schema)
     return newest(rows, key, at).where("not _deleted").select(*schema)
 
 
+def _rows(spark: SparkSession, path: str, writes: Sequence[str], schema: dict[str, str]) -> DataFrame:
+    kinds = ddl({**schema, "_deleted": "boolean"})
+    return spark.read.schema(kinds).parquet(*(f"{path}/{w}" for w in writes)) if writes else spark.createDataFrame([], kinds)
+
+
 def newest(rows: DataFrame, key: str, at: str) -> DataFrame:
     """The latest row per key. At one time a tombstone wins, then the row whose values sort last, so that every read agrees."""
     ties = [c for c, kind in rows.dtypes if c not in (key, at, "_deleted") and not kind.startswith("map")]
@@ -124,3 +145,23 @@ def newest(rows: DataFrame, key: str, at: str) -> DataFrame:
 def compact_memory(spark: SparkSession, path: str, into: str, schema: dict[str, str], key: str, at: str) -> None:
     """Rewrite the live rows to a new folder; the caller switches over to it."""
     upsert_memory(read_memory(spark, path, schema, key, at), into)
+
+
+def fold_memory(spark: SparkSession, path: str, schema: dict[str, str], key: str, at: str, least: int = 2) -> bool:
+    """Fold the table's writes into one with the newest row per key, if there are at least ``least``; false if nothing changed.
+
+    Tombstones stay, so that an older row which comes later stays hidden. Writes that land meanwhile are kept beside the folded one, and of two
+    foldings of the same writes the second is left out. Folders that no list names any more stay for readers of older states.
+    """
+    before = snapshots.current(spark, path)
+    if len(before.writes) < least:
+        return False
+    write = uuid.uuid4().hex
+    newest(_rows(spark, path, before.writes, schema), key, at).write.parquet(f"{path}/{write}")
+
+    def folded(s: Snapshot) -> Snapshot | None:
+        if not set(before.writes) <= set(s.writes):
+            return None
+        return Snapshot(writes=[write, *(w for w in s.writes if w not in before.writes)], applied=s.applied)
+
+    return write in snapshots.commit(spark, path, folded).writes

@@ -14,8 +14,8 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from jobsieve.operators.verdicts import latest_verdict, parse_verdicts, read_chat_lines
-from jobsieve.schema import POSTING, as_postings
-from jobsieve.sources.memory import stored_ids, upsert_memory, write_postings
+from jobsieve.schema import POSTING, VERDICTS, as_postings
+from jobsieve.sources.memory import COMPACT_AFTER, fold_memory, stored_ids, upsert_memory, write_postings
 
 ROCKS_DB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 FLUSH = "1200 milliseconds"  # fixed value: how long writes are gathered
@@ -88,12 +88,14 @@ def read_counters(spark: SparkSession, table: str) -> DataFrame:
 
 
 def stream_verdicts(chats: DataFrame, memory: str, checkpoint: str, source: str = "chat", once: bool = False) -> StreamingQuery:
-    """Verdict lines to memory; a later verdict for an id replaces an earlier one when read."""
+    """Verdict lines to memory; a later verdict for an id replaces an earlier one when read. Every so many writes are folded into one."""
+    run = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
 
     def land(batch: DataFrame, batch_id: int) -> None:
         found = latest_verdict(parse_verdicts(read_chat_lines(batch, "text", "conv_id", "turn")))
         stamped = found.select(
             "job_id", "verdict", "reason", F.current_timestamp().alias("at"), F.lit(source).alias("source"))
-        upsert_memory(stamped, memory)
+        upsert_memory(stamped, memory, run, batch_id)
+        fold_memory(batch.sparkSession, memory, VERDICTS, "job_id", "at", COMPACT_AFTER)
 
     return _start(chats.writeStream.foreachBatch(land), checkpoint, once)
