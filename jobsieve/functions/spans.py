@@ -1,7 +1,7 @@
 """Regex matches with their offsets, without leaving the JVM.
 
 Spark's regexp functions return no positions, but the pieces *between* the matches (``split``) and the
-matches themselves (``regexp_extract_all``) together cover the text, so offsets are a running sum.
+matches themselves (``regexp_extract_all``) together cover the text, so offsets are running sums.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from jobsieve.functions.text import col
+from jobsieve.functions.text import col, let
 
 SPAN = T.ArrayType(
     T.StructType(
@@ -23,6 +23,22 @@ SPAN = T.ArrayType(
 )
 
 
+DOUBLINGS = 28  # steps of the running sums: lists of up to 2**28 matches, more than a text can hold
+
+
+def running_sums(sizes: Column) -> Column:
+    """Running sums of a non-empty array: each step adds to every place the sum that stands 1, 2, 4, ... places before it.
+
+    A list of m numbers takes log2(m) steps of m additions; nothing is copied per element.
+    """
+    steps = F.slice(F.array(*[F.lit(1 << k) for k in range(DOUBLINGS)]), F.lit(1), F.length(F.bin(F.size(sizes).cast("long") - 1)))
+
+    def add(sums, reach):
+        return F.zip_with(sums, F.concat(F.array_repeat(F.lit(0), reach), F.slice(sums, F.lit(1), F.size(sums) - reach)), lambda u, v: u + v)
+
+    return F.aggregate(steps, sizes, add)
+
+
 def find_spans(text: Column | str, pattern: str, only_if: str | None = None, keep: str | None = None) -> Column:
     """All non-empty matches of ``pattern`` as ``array<struct<start,end,m>>`` (zero-based, end exclusive).
 
@@ -31,26 +47,19 @@ def find_spans(text: Column | str, pattern: str, only_if: str | None = None, kee
     """
     t = col(text)
     empty = F.from_json(F.lit("[]"), SPAN)
-    pairs = F.zip_with(
+    pairs = F.filter(F.zip_with(
         F.split(t, pattern, -1),
         F.regexp_extract_all(t, F.lit(pattern), F.lit(0)),
-        lambda gap, m: F.struct(F.length(gap).alias("gap"), m.alias("m")),
-    )
+        lambda gap, m: F.struct((F.length(gap) + F.length(m)).alias("size"), m.alias("m")),
+    ), lambda p: p["m"].isNotNull())
 
-    def step(acc, p):
-        start = acc["at"] + p["gap"]
-        end = start + F.length(p["m"])
-        longer = F.array_append(
-            acc["out"], F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"), p["m"].alias("m")))
-        out = F.when(p["m"].rlike(keep), longer).otherwise(acc["out"]) if keep else longer
-        return F.struct(end.cast("int").alias("at"), out.alias("out"))
-
-    walked = F.aggregate(
-        F.filter(pairs, lambda p: p["m"].isNotNull()),
-        F.struct(F.lit(0).cast("int").alias("at"), empty.alias("out")),
-        step,
-        lambda acc: acc["out"],
-    )
+    def spans(found):
+        ends = let(F.transform(found, lambda p: p["size"]), running_sums)
+        every = F.zip_with(ends, found, lambda end, p: F.struct((end - F.length(p["m"])).cast("int").alias("start"), end.cast("int").alias("end"), p["m"].alias("m")))
+        return F.filter(every, lambda s: s["m"].rlike(keep)) if keep else every
+
+    # Most texts have no match: they skip the sums.
+    walked = let(pairs, lambda found: F.when(F.size(found) == 0, empty).otherwise(spans(found)))
     return F.when(t.rlike(only_if), walked).otherwise(empty) if only_if else walked
 
 
