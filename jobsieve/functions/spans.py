@@ -27,16 +27,16 @@ DOUBLINGS = 28  # steps of the running sums: lists of up to 2**28 matches, more
 
 
 def running_sums(sizes: Column) -> Column:
-    """Running sums of a non-empty array: each step adds to every place the sum that stands 1, 2, 4, ... places before it.
+    """Running sums of an array: each step adds to every place the sum that stands 1, 2, 4, ... places before it.
 
-    A list of m numbers takes log2(m) steps of m additions; nothing is copied per element.
+    A list of m numbers takes log2(m) steps of m additions; nothing is copied per element. Bind ``sizes`` first (``let``): it is used often.
     """
     steps = F.slice(F.array(*[F.lit(1 << k) for k in range(DOUBLINGS)]), F.lit(1), F.length(F.bin(F.size(sizes).cast("long") - 1)))
 
     def add(sums, reach):
         return F.zip_with(sums, F.concat(F.array_repeat(F.lit(0), reach), F.slice(sums, F.lit(1), F.size(sums) - reach)), lambda u, v: u + v)
 
-    return F.aggregate(steps, sizes, add)
+    return F.when(F.size(sizes) > 1, F.aggregate(steps, sizes, add)).otherwise(sizes)
 
 
 def find_spans(text: Column | str, pattern: str, only_if: str | None = None, keep: str | None = None) -> Column:

@@ -17,6 +17,7 @@ from jobsieve.functions import header as H
 from jobsieve.functions.elements import parse_html
 from jobsieve.functions.htmltext import tidy_lines
 from jobsieve.functions.regex import rx
+from jobsieve.functions.spans import running_sums
 from jobsieve.functions.text import let, or_empty
 
 # ---- Fixed values: bounds and labels used to recognise page parts ----
@@ -47,7 +48,18 @@ def html_blocks(pages: DataFrame, html: str = "html") -> DataFrame:
     parsed = pages.select(*keep, parse_html(html).alias("_page")).select(*keep, "_page.*")
     named = F.transform("els", lambda e: e.withField(
         "job_id", F.when(F.size(e["attrs"]) > 0, H.job_id_from_attrs(e["attrs"]))))
-    return parsed.withColumn("els", named).withColumn("links", F.filter("els", _is_job_link))
+    return parsed.withColumn("els", named).withColumn("els", _with_links(F.col("els"))).withColumn("links", F.filter("els", _is_job_link))
+
+
+def _counts_upto(els: Column, cond) -> Column:
+    """For every element, how many elements up to it, itself included, meet ``cond``: what lies below an element is a difference."""
+    return let(F.transform(els, lambda e: F.coalesce(cond(e), F.lit(False)).cast("int")), running_sums)
+
+
+def _with_links(els: Column) -> Column:
+    """Elements with ``n_links``: the job links below each."""
+    return let(_counts_upto(els, _is_job_link), lambda upto: F.transform(
+        els, lambda e: e.withField("n_links", F.get(upto, e["last"]) - F.get(upto, e["ord"]))))
 
 
 def block_rows(parsed: DataFrame) -> DataFrame:
@@ -114,10 +126,6 @@ def _ancestors(els: Column, e: Column, up_to: int | Column) -> Column:
     return F.filter(F.transform(_climb(els, e, up_to), lambda o: F.get(els, o)), lambda a: ~a["tag"].isin("html", "body"))
 
 
-def _links_below(links: Column, e: Column) -> Column:
-    return F.size(F.filter(links, lambda k: _below(k, e)))
-
-
 def rendered_text(e: Column, rendered: Column | str = "rendered") -> Column:
     """Readable text of an element, from its slice of the page's rendered text."""
     cut = F.substring(F.col(rendered) if isinstance(rendered, str) else rendered,
@@ -208,35 +216,42 @@ def _sibling_groups(els: Column, kid_ok, least: int, most: int, cap: int, member
             up["depth"].alias("depth"), e["norm_len"].alias("chars"),
             (non_job(e) if non_job else F.lit(False)).alias("non_job"))
 
-    def count(ks):
-        keys = F.array_distinct(F.transform(ks, lambda k: F.struct(k["parent"].alias("parent"), k["shape"].alias("shape"))))
+    def runs(ks):
+        # Sorted, the members of a group are a run; its sums are differences of running sums.
+        last = lambda i: F.get(ks, i - 1)
+        new = lambda k, i: (i == 0) | (last(i)["parent"] != k["parent"]) | (last(i)["shape"] != k["shape"])
+        starts = F.filter(F.transform(ks, lambda k, i: F.when(new(k, i), i)), lambda i: i.isNotNull())
+        sums = lambda value: let(F.transform(ks, value), running_sums)
+        between = lambda upto, at, end: F.get(upto, end - 1) - F.coalesce(F.get(upto, at - 1), F.lit(0))
 
-        def one(g):
-            mine = F.filter(ks, lambda k: (k["parent"] == g["parent"]) & (k["shape"] == g["shape"]))
-            return let(mine, lambda m: F.struct(
-                F.size(m).alias("members"), _first(m)["depth"].alias("depth"), (-_first(m)["ord"]).alias("neg_first"),
-                g["parent"].alias("parent"), g["shape"].alias("shape"),
-                F.aggregate(m, F.lit(0).cast("bigint"), lambda a, k: a + k["chars"]).alias("chars"),
-                F.size(F.filter(m, lambda k: k["non_job"])).alias("non_job")))
+        def group(at, end, chars, others):
+            k = F.get(ks, at)
+            return F.struct((end - at).alias("members"), k["depth"].alias("depth"), (-k["ord"]).alias("neg_first"), k["parent"].alias("parent"),
+                            k["shape"].alias("shape"), between(chars, at, end).alias("chars"), between(others, at, end).alias("non_job"))
 
-        return F.filter(F.transform(keys, one), lambda g: g["members"] >= members)
+        found = lambda chars, others: let(starts, lambda at: F.transform(
+            at, lambda a, i: group(a, F.coalesce(F.get(at, i + 1), F.size(ks)), chars, others)))
+        groups = let(sums(lambda k: k["chars"].cast("bigint")), lambda chars: let(sums(lambda k: k["non_job"].cast("int")), lambda others: found(chars, others)))
+        return F.filter(groups, lambda g: g["members"] >= members)
 
     able = F.filter(els, lambda e: e["parent"].isNotNull() & kid_ok(e) & _can_hold(F.get(els, e["parent"]), least, most))
-    return let(F.transform(able, slim), count)
+    return let(F.array_sort(F.transform(able, slim)), runs)
 
 
 def _card_groups(els: Column) -> Column:
     """Groups that look like result cards: three or more composite siblings with card-sized text."""
 
-    def grouped_with(anchors):
+    is_anchor = lambda k: (k["tag"] == "a") & _attr(k, "href").isNotNull()
+
+    def grouped_with(anchors, upto):
         def non_job(e):
-            link = _first_match(anchors, lambda k: _below(k, e))
-            return F.coalesce(link["job_id"].isNull() & or_empty(_attr(link, "href")).rlike(NOT_A_JOB_LINK), F.lit(False))
+            link = F.get(anchors, F.get(upto, e["ord"]))  # the first anchor after the element's start
+            away = link["job_id"].isNull() & or_empty(_attr(link, "href")).rlike(NOT_A_JOB_LINK)
+            return F.coalesce(_below(link, e) & away, F.lit(False))
 
         return _sibling_groups(els, lambda e: e["text_len"].between(40, 1200) & (e["n_children"] >= 1), 3, 60, 8, 3, non_job)
 
-    anchors = F.filter(els, lambda k: (k["tag"] == "a") & _attr(k, "href").isNotNull())
-    return let(anchors, grouped_with)
+    return let(F.filter(els, is_anchor), lambda anchors: let(_counts_upto(els, is_anchor), lambda upto: grouped_with(anchors, upto)))
 
 
 def repeated_groups(parsed: DataFrame, key: str = "page_id") -> DataFrame:
@@ -263,9 +278,10 @@ def best_group(groups: DataFrame, key: str = "page_id") -> DataFrame:
 
 
 def _one_per_id(ks: Column) -> Column:
-    """The first of each job id, in order."""
-    return let(F.transform(ks, lambda k: k["job_id"]), lambda ids: F.filter(
-        ks, lambda k, i: F.array_position(ids, k["job_id"]) == i + 1))
+    """The first of each job id, in order: sorted by id and place, the first of every run."""
+    placed = F.array_sort(F.filter(F.transform(ks, lambda k, i: F.struct(k["job_id"].alias("id"), i.alias("at"))), lambda p: p["id"].isNotNull()))
+    firsts = let(placed, lambda ps: F.filter(ps, lambda p, i: (i == 0) | (F.get(ps, i - 1)["id"] != p["id"])))
+    return F.transform(F.array_sort(F.transform(firsts, lambda p: p["at"])), lambda at: F.get(ks, at))
 
 
 def with_cards(parsed: DataFrame) -> DataFrame:
@@ -317,15 +333,15 @@ def keyed_cards(parsed: DataFrame, key: str = "page_id") -> DataFrame:
 
 # ---- the description ----
 
-def _plausible(e: Column, root: Column, links: Column) -> Column:
+def _plausible(e: Column, root: Column) -> Column:
     return F.coalesce(
-        (e["text_len"] >= 200) & ~_overlap(e, root) & ~e["in_chrome"] & (_links_below(links, e) < 2), F.lit(False))
+        (e["text_len"] >= 200) & ~_overlap(e, root) & ~e["in_chrome"] & (e["n_links"] < 2), F.lit(False))
 
 
 def plausible_descriptions(parsed: DataFrame) -> DataFrame:
     """Element numbers that could be a description."""
     rooted = parsed if "root" in parsed.columns else list_root(parsed)
-    ok = F.filter("els", lambda e: _plausible(e, F.col("root"), F.col("links")))
+    ok = F.filter("els", lambda e: _plausible(e, F.col("root")))
     return rooted.withColumn("plausible", F.transform(ok, lambda e: e["ord"]))
 
 
@@ -353,10 +369,10 @@ def _heading_description(els: Column, root: Column) -> Column:
     return _first_result(F.filter(els, is_label), content)
 
 
-def _dense_block(els: Column, root: Column, links: Column) -> Column:
+def _dense_block(els: Column, root: Column) -> Column:
     """The deepest block holding nearly all of the most text outside the list."""
     able = F.filter(els, lambda e: e["tag"].isin(*DENSE_TAGS) & (e["text_len"] >= 400)
-                    & ~_overlap(e, root) & (_links_below(links, e) < 2))
+                    & ~_overlap(e, root) & (e["n_links"] < 2))
 
     def tighten(cs):
         top = F.array_max(F.transform(cs, lambda c: c["text_len"]))
@@ -373,18 +389,18 @@ def _dense_block(els: Column, root: Column, links: Column) -> Column:
 def description_of_page(parsed: DataFrame) -> DataFrame:
     """Add ``root``, ``desc`` (element or null), ``desc_via`` and ``description`` (readable text)."""
     rooted = parsed if "root" in parsed.columns else list_root(parsed)
-    els, root, links = F.col("els"), F.col("root"), F.col("links")
-    staged = rooted.withColumn("_h", _heading_description(els, root)).withColumn("_d", _dense_block(els, root, links))
-    ok_h, ok_d = _plausible(F.col("_h"), root, links), _plausible(F.col("_d"), root, links)
+    els, root = F.col("els"), F.col("root")
+    staged = rooted.withColumn("_h", _heading_description(els, root)).withColumn("_d", _dense_block(els, root))
+    ok_h, ok_d = _plausible(F.col("_h"), root), _plausible(F.col("_d"), root)
     out = staged.withColumn("desc", F.when(ok_h, F.col("_h")).when(ok_d, F.col("_d"))).withColumn(
         "desc_via", F.when(ok_h, "heading").when(ok_d, "dense")).drop("_h", "_d")
     return out.withColumn("description", F.coalesce(rendered_text(F.col("desc")), F.lit("")))
 
 
-def _bulk_block(els: Column, root: Column, links: Column, pane: Column, link: Column) -> Column:
+def _bulk_block(els: Column, root: Column, pane: Column, link: Column) -> Column:
     """Largest plausible block of the pane without the header link, tightened up to four levels."""
     able = F.filter(els, lambda e: e["tag"].isin("div", "section", "article") & _below(e, pane)
-                    & ~F.coalesce(_inside(link, e), F.lit(False)) & _plausible(e, root, links))
+                    & ~F.coalesce(_inside(link, e), F.lit(False)) & _plausible(e, root))
 
     def down(cs):
         top = F.array_max(F.transform(cs, lambda c: F.struct(c["norm_len"].alias("n"), (-c["ord"]).alias("o"))))
@@ -409,7 +425,7 @@ def heading_description_wide(parsed: DataFrame) -> DataFrame:
     """Add ``wide`` and ``wide_via``: tiered heading search, then siblings, ancestors, then sheer bulk."""
     linked = parsed if "link" in parsed.columns else selected_link(parsed)
     linked = linked if "root" in linked.columns else list_root(linked)
-    els, root, links, link = (F.col(c) for c in ("els", "root", "links", "link"))
+    els, root, link = (F.col(c) for c in ("els", "root", "link"))
     heads = F.filter(els, lambda e: e["tag"].isin("h1", "h2", "h3", "h4") | (or_empty(_attr(e, "role")) == "heading"))
 
     def tier(pattern):
@@ -431,7 +447,7 @@ def heading_description_wide(parsed: DataFrame) -> DataFrame:
     staged = staged.withColumn("_sib", F.when(h.isNotNull(), sib)).withColumn("_up", F.when(h.isNotNull(), up))
     staged = staged.withColumn("_pane", _pane_of_link(els, root, link, h)).withColumn(
         "_bulk", F.when(F.col("_sib").isNull() & F.col("_up").isNull() & F.col("_pane").isNotNull(),
-                        _bulk_block(els, root, links, F.col("_pane"), link)))
+                        _bulk_block(els, root, F.col("_pane"), link)))
     level = (h["depth"] - F.col("_up.depth")).cast("string")
     out = staged.withColumn("wide", F.coalesce("_sib", "_up", "_bulk")).withColumn(
         "wide_via",

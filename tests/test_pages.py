@@ -203,3 +203,60 @@ def test_static_blocks_counts_texts_exactly(spark):
         "array(struct('p.x' AS css_path, id div 4 AS text_hash), struct('p.y' AS css_path, 7L AS text_hash), struct('p.z' AS css_path, CAST(NULL AS BIGINT) AS text_hash)) AS els")
     got = {(r.host, r.css_path): (r.pages, r.texts) for r in B.static_blocks(pages, F.col("host")).collect()}
     assert got == {(h, p): (3000, n) for h in "ab" for p, n in (("p.x", 1500), ("p.y", 1))}
+
+
+def plain_groups(page, text, kids, cap, members, parents, non_job=None):
+    """Same-shaped siblings, one by one."""
+    els, groups = page.els, {}
+    for e in els:
+        up = els[e.parent] if e.parent is not None else None
+        if up is None or not text(e) or not kids[0] <= up.n_children <= kids[1] or not (up.tag in parents or "role" in up.attrs):
+            continue
+        groups.setdefault((e.parent, f"{e.tag.upper()}:{min(cap, e.n_children)}"), []).append(e)
+    return {k: m for k, m in groups.items() if len(m) >= members}
+
+
+def test_groups_links_and_cards_equal_plain_loops(spark):
+    rail = card_list(5) + card_list(2, "/jobs/view/1{i}00/") + "".join(f'<p class="x"><a href="/in/p{i}">Person {i}</a> <b>of a large company with a name</b></p>' for i in range(4))
+    pages = [two_pane(rail), two_pane(card_list(3, "/in/someone{i}")), two_pane("<ul>" + "<li>twenty characters are here</li>" * 3 + "</ul>"), "<p>none", "", None,
+             "<div>" + '<a href="/jobs/view/77/">a</a><a href="/jobs/view/78/">b</a>' * 3 + "</div>"]
+    df = parsed(spark, *pages)
+    whole = {r.page_id: r for r in df.collect()}
+    cards, turns = {}, {}
+    for r in B.repeated_groups(df).collect():
+        cards.setdefault(r.page_id, {})[r.parent, r["shape"]] = (r.members, r.first_ord, round(r.non_job_share * r.members))
+    for r in B.turn_groups(df).collect():
+        turns.setdefault(r.page_id, {})[r.parent, r["shape"]] = (r.members, r.first_ord, r.chars)
+    seen = set()
+    for i, page in whole.items():
+        for e in page.els:
+            assert e.n_links == sum(e.ord < k.ord <= e["last"] for k in page.links)
+
+        def away(e, page=page):
+            link = next((k for k in page.els if e.ord < k.ord <= e["last"] and k.tag == "a" and k.attrs.get("href") is not None), None)
+            return bool(link and link.job_id is None and "/in/" in link.attrs["href"])
+
+        want = plain_groups(page, lambda e: 40 <= e.text_len <= 1200 and e.n_children >= 1, (3, 60), 8, 3, B.GROUP_PARENTS)
+        assert cards.get(i, {}) == {k: (len(m), m[0].ord, sum(map(away, m))) for k, m in want.items()}
+        want = plain_groups(page, lambda e: e.text_len >= 20, (2, 400), 6, 2, B.GROUP_PARENTS)
+        assert turns.get(i, {}) == {k: (len(m), m[0].ord, sum(e.norm_len for e in m)) for k, m in want.items()}
+        seen.add((len(cards.get(i, {})) > 0, len(turns.get(i, {})) > 0))
+    assert (True, True) in seen and (False, False) in seen
+    got = [r.job_id for r in B.cards(df).where("page_id = 6").orderBy("card_no").collect()]
+    assert got == ["77", "78"]
+
+
+def test_page_work_grows_with_the_page(spark):
+    """Twice the links, about twice the time."""
+    import time
+
+    def took(n):
+        rail = "".join(f'<div class="k"><a href="/jobs/view/{1000 + i % 900}/">Role {i}</a><p>Employer {i} somewhere in a city</p></div>' for i in range(n))
+        df = B.html_blocks(spark.createDataFrame([(1, "https://b.example.com/jobs/search", f"<main><section>{rail}</section><div>{PROSE}</div></main>")], "page_id int, url string, html string"))
+        start = time.perf_counter()
+        assert B.cards(df).count() == min(n, 900) and B.plausible_descriptions(df).select("plausible").first().plausible is not None
+        B.turn_groups(df).count()
+        return time.perf_counter() - start
+
+    took(2500)
+    assert took(20_000) < 24 * took(2500)  # 64 times if links met links
