@@ -6,9 +6,10 @@ against brute force on small fixtures instead.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from jobsieve.functions import facts as X
@@ -986,6 +987,92 @@ def _(spark, d):
     return B.header_region(parsed_board(spark, d)).select("page_id", "wide_via")
 
 
+# ---- routes that a page takes when its usual parts are missing ----
+
+BODY = f"<p>{(CHARS_PAD * 3).strip()}</p>"
+
+
+def page_of(html: str, **parts: Column) -> Column:
+    """HTML with ``{name}`` replaced by a part or a column of the same name."""
+    out = []
+    for k, piece in enumerate(re.split(r"\{(\w+)\}", html)):
+        out.append(F.lit(piece) if k % 2 == 0 else parts[piece] if piece in parts else F.col(piece).cast("string"))
+    return F.concat(*out)
+
+
+def parsed_postings(spark, d, html: str, path: str = "/jobs/search", **parts: Column):
+    """A parsed page per posting."""
+    p = base_postings(spark, d)
+    return B.html_blocks(spread(p.select("job_id", "seq", F.lit(f"https://board.example.com{path}").alias("url"), page_of(html, **parts).alias("html"))))
+
+
+@query("description_routes", over_postings("""SELECT job_id, CASE seq % 3 WHEN 0 THEN 'heading' WHEN 2 THEN 'dense' END AS desc_via,
+ CASE WHEN seq % 3 <> 1 THEN 'd' || seq END AS block FROM postings"""))
+def _(spark, d):
+    # A label with the text next to it; no label and too little text; no label, so the deepest of the blocks that hold nearly all text.
+    k = F.col("seq") % 3
+    html = ('<html><body><main><div class="rail"><ul><li><a href="/jobs/view/{job_id}/">One</a></li><li><a href="/jobs/view/9{job_id}/">Two</a></li></ul></div>'
+            '<section><div>{label}<div id="d{seq}">{body}</div></div><p>{company}</p></section></main></body></html>')
+    parsed = parsed_postings(spark, d, html, label=F.when(k == 0, "<h2>Job description</h2>").otherwise(""), body=F.when(k == 1, "<p>Short.</p>").otherwise(BODY))
+    found = B.description_of_page(parsed)
+    return found.select("job_id", "desc_via", F.try_element_at("desc.attrs", F.lit("id")).alias("block"))
+
+
+@query("wide_routes", over_postings("""SELECT job_id, CASE seq % 5 WHEN 0 THEN 'largest block in the pane (no heading)' WHEN 1 THEN 'heading, about-the-job family, sibling'
+ WHEN 2 THEN 'heading, job-description, ancestor +2' WHEN 3 THEN 'heading, description, sibling' ELSE 'h2 "About the job", sibling' END AS wide_via,
+ 'd' || seq AS block, 't' || seq AS region FROM postings"""))
+def _(spark, d):
+    # All four tiers of labels, text beside or above the label, or sheer bulk; the header around the posting's link.
+    k = F.col("seq") % 5
+    label = F.when(k == 1, "<h3>About the role</h3>").when(k == 3, "<h4>Description</h4>").when(k == 4, "<h2>About the job</h2>").otherwise("")
+    block = F.when(k == 0, page_of('<div><p id="d{seq}">' + BODY[3:])).when(
+        k == 2, page_of('<div id="d{seq}"><div><h2>Role description</h2></div><div>' + BODY + "</div>")).otherwise(page_of('<div id="d{seq}">' + BODY))
+    html = ('<html><body><main><div><div id="t{seq}"><a href="/jobs/view/{job_id}/">{title}</a><span>{company} is an employer in a large city far away</span></div>'
+            "<section>{label}{block}</div></section></div></main></body></html>")
+    found = B.header_region(parsed_postings(spark, d, html, label=label, block=block))
+    ident = lambda c: F.try_element_at(f"{c}.attrs", F.lit("id"))
+    return found.select("job_id", "wide_via", ident("wide").alias("block"), ident("region").alias("region"))
+
+
+@query("header_fallbacks", over_postings("""SELECT job_id, CAST(CASE WHEN seq % 4 = 0 THEN NULL WHEN seq % 2 = 0 THEN (seq % 11 + 1) * 30 ELSE (seq % 2 + 1) * 365 END AS INTEGER) AS posted_days_ago,
+ CASE WHEN seq % 4 <> 0 THEN CAST(seq % 900 + 1000 AS INTEGER) END AS applicants, CASE WHEN seq % 4 = 0 THEN 'Remote' WHEN seq % 3 = 0 THEN 'Hybrid' WHEN seq % 3 = 1 THEN 'On-site' ELSE 'Remote' END AS workplace_type,
+ seq % 4 <> 0 AND seq % 5 = 0 AS reposted FROM postings"""))
+def _(spark, d):
+    # The meta line states a place only; age, applicants and workplace stand in the header's text, or the place says remote.
+    k = F.col("seq")
+    age = F.when(k % 2 == 0, F.concat((k % 11 + 1).cast("string"), F.lit(" months ago"))).otherwise(F.concat((k % 2 + 1).cast("string"), F.lit(" years ago")))
+    word = F.when(k % 3 == 0, "hybrid").when(k % 3 == 1, "ON-SITE").otherwise("REMOTE")
+    said = F.concat_ws(" ", F.col("title"), F.when(k % 5 == 0, "Reposted"), age, F.concat(F.lit("Over "), F.format_number(k % 900 + 1000, 0), F.lit(" people clicked apply")), word)
+    parts = base_postings(spark, d).select(
+        "job_id", "seq", "title", "company", F.when(k % 4 == 0, F.concat_ws(" · ", "company", F.lit("Remote, Earth"))).otherwise(F.col("company")).alias("meta_line"),
+        F.when(k % 4 == 0, F.col("title")).otherwise(said).alias("top_text"))
+    return P.build_postings(spread(parts)).select("job_id", "posted_days_ago", "applicants", "workplace_type", "reposted")
+
+
+@query("cards_by_shape", over_postings("""SELECT CAST(floor(seq / 10) AS BIGINT) AS page_id, CAST(unnest(range(count(*))) AS INTEGER) AS card_no, count(*) AS members
+ FROM postings GROUP BY 1 HAVING count(*) >= 3"""))
+def _(spark, d):
+    # A list without a single id: cards are the members of its largest group of like siblings. People's pages are no job lists.
+    p = base_postings(spark, d).withColumn("page_id", F.floor(F.col("seq") / 10).cast("bigint"))
+    card = page_of('<div class="c"><p>{title} at {company}, a place of work in a city</p><b>new</b></div>')
+    other = page_of('<li><p>Somebody who works at {company} and lives nearby</p><a href="/in/p{seq}">me</a></li>')
+    lists = p.groupBy("page_id").agg(F.array_join(F.array_sort(F.collect_list(card)), "").alias("cards"), F.array_join(F.array_sort(F.collect_list(other)), "").alias("people"))
+    pages = lists.select("page_id", F.lit("https://board.example.com/jobs/").alias("url"), page_of("<main><section>{cards}</section><ul>{people}</ul></main>").alias("html"))
+    found = B.cards(B.html_blocks(spread(pages)))
+    return found.select("page_id", "card_no", F.count(F.lit(1)).over(Window.partitionBy("page_id")).alias("members"))
+
+
+@query("keyed_cards", over_postings("""SELECT CAST(floor(seq / 10) AS BIGINT) AS page_id, job_id, CAST(row_number() OVER (PARTITION BY floor(seq / 10) ORDER BY seq) - 1 AS INTEGER) AS card_no FROM postings"""))
+def _(spark, d):
+    # Cards that carry the id in a component key, each twice, between keyed elements that are no buttons.
+    p = base_postings(spark, d).withColumn("page_id", F.floor(F.col("seq") / 10).cast("bigint"))
+    card = page_of('<div role="button" componentkey="job-card-component-ref-{job_id}"><p>{title}</p></div><div componentkey="job-card-component-ref-7{job_id}"></div>')
+    lists = p.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("seq", card.alias("card")))).alias("cards"))
+    both = F.array_join(F.concat(F.transform("cards", lambda c: c["card"]), F.transform("cards", lambda c: c["card"])), "")
+    pages = lists.select("page_id", F.lit("https://board.example.com/jobs/search-results/").alias("url"), F.concat(F.lit("<main>"), both, F.lit("</main>")).alias("html"))
+    return B.keyed_cards(B.html_blocks(spread(pages))).select("page_id", "job_id", "card_no")
+
+
 @query("changed_blocks", over_postings("SELECT DISTINCT CAST(floor(seq / 10) AS BIGINT) AS page_id, 1 AS n_leaves FROM postings"))
 def _(spark, d):
     moved = B.changed_blocks(parsed_board(spark, d), parsed_board(spark, d, "patient"), key="page_id")
