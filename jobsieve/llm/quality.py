@@ -183,18 +183,27 @@ def _features_of(vectors: np.ndarray):
     return features
 
 
+def _one_of_each(rows: DataFrame, key: str) -> DataFrame:
+    """One row of each key: the first by hash of its text, null texts last. Combined before the shuffle, so a hot key costs no more."""
+    rest = [c for c in rows.columns if c != key]
+    order = F.struct(F.isnull("text"), F.xxhash64("text"), "text")
+    return rows.groupBy(key).agg(F.min_by(F.struct(*rest), order).alias("r")).select(key, "r.*")
+
+
 def fit_quality(docs: DataFrame, labels: DataFrame, trained_on: Column, id_col: str = "doc_id", text_col: str = "text",
                 label_col: str = "quality", max_rows: int = TRAIN_ROWS) -> Model:
     """Word vectors from all texts; the network from at most ``max_rows`` labelled ids where ``trained_on`` holds.
 
-    The sample is by hash of the id. Several labels of an id are averaged; null labels and ids count for nothing.
+    The sample is by hash of the id. Several labels of an id are averaged; null labels and ids count for nothing. Of several rows
+    with one id the first by hash of the text is taken, so that the bound holds for rows too.
     """
     vectors = word_vectors(docs, text_col)
     sample = (labels.select(F.col(id_col).alias("of"), F.col(label_col).cast("double").alias("label")).where("of is not null and label is not null")
               .groupBy("of").agg((F.avg("label") >= 0.5).cast("double").alias("label"))
               .where(trained_on).orderBy(F.xxhash64("of"), "of").limit(max_rows))
     # ``max_rows`` ids bound what is broadcast; texts are met where they lie.
-    rows = docs.select(F.col(id_col).alias("of"), F.col(text_col).alias("text")).join(F.broadcast(sample), "of").select("label", "text")
+    rows = docs.select(F.col(id_col).alias("of"), F.col(text_col).alias("text")).join(F.broadcast(sample), "of")
+    rows = _one_of_each(rows, "of").select("label", "text")
     x = rows.mapInArrow(_features_of(vectors), "label double, " + ", ".join(f"x{d} double" for d in range(FEATURES))).toArrow()
     data = np.stack([x[c].to_numpy() for c in x.column_names], 1) if x.num_rows else np.zeros((0, FEATURES + 1))
     data = data[np.lexsort(data.T)]  # the rows' order must not matter

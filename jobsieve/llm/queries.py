@@ -173,7 +173,8 @@ with m as (
          replace(coalesce(text, ''), '<|', '< |') as body, turn from conversations),
 n as (select *, row_number() over (partition by conv_id order by turn nulls first, speaker, body) - 1 as pos from m),
 g as (select *, pos // 64 as segment from n),
-v as (select distinct conv_id, segment, speaker as perspective from g where speaker <> 'system'),
+w as (select distinct conv_id, speaker as perspective from g where speaker <> 'system'),
+v as (select w.conv_id, segment, perspective from w join (select distinct conv_id, segment from g) s on w.conv_id is not distinct from s.conv_id),
 r as (select v.conv_id, v.segment, v.perspective, pos, speaker = perspective as trained,
              '<|im_start|>' || case when speaker = 'system' then 'system' when speaker = perspective then 'assistant'
                                     else 'user name=' || speaker end || chr(10) as head,
@@ -183,7 +184,7 @@ o as (select *, coalesce(sum(length(head) + length(body) + 1) over (partition by
                   rows between unbounded preceding and 1 preceding), 0) + length(head) as start from r)
 select conv_id, segment, perspective, count(*) as n_messages, count(*) filter (trained) as n_trained,
        string_agg(head || body || chr(10), '' order by pos) as rendered,
-       string_agg(cast(start as bigint) || '-' || cast(start + length(body) as bigint), ',' order by pos) filter (trained) as mask
+       coalesce(string_agg(cast(start as bigint) || '-' || cast(start + length(body) as bigint), ',' order by pos) filter (trained), '') as mask
 from o group by conv_id, segment, perspective
 """
 

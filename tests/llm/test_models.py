@@ -36,6 +36,18 @@ def test_quality_on_odd_rows(spark, odd_docs, no_docs):
     assert quality.keep_good(no_docs, nothing).count() == 0
 
 
+def test_rows_of_one_id_count_once(spark, monkeypatch):
+    """Thousands of rows under one labelled id are one row for the fit, and the bound holds for rows."""
+    seen = []
+    train = quality.train_network
+    monkeypatch.setattr(quality, "train_network", lambda x, y, v: seen.append(len(x)) or train(x, y, v, steps=5))
+    docs = spark.createDataFrame([(1, f"text number {i}") for i in range(3000)] + [(i, "another text") for i in range(2, 40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 40)], "doc_id long, quality int")
+    quality.fit_quality(docs, labels, F.lit(True))
+    quality.fit_quality(docs, labels, F.lit(True), max_rows=7)
+    assert seen == [39, 7]
+
+
 def test_context_vectors_count_neighbours(docs_of):
     """Words in the same surroundings get like vectors."""
     vectors = quality.word_vectors(docs_of([(i, f"the {w} sat on a mat . my {w} is big" if k else f"in {w} we trust , for {w} does so", "a")

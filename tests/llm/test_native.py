@@ -5,6 +5,7 @@ import random
 import re
 
 import __spark_entry__ as entry
+import duckdb
 import pytest
 from check_oracle import compare, connect
 from jobsieve.llm import exact_dedup, fair_mix, perspectives
@@ -141,7 +142,18 @@ def test_perspectives_of_a_long_conversation_are_whole(spark):
         assert (text, str([(r.offset + a, r.offset + b) for r in chunks for a, b in r.mask])) == want[key]
 
 
+@pytest.mark.parametrize("messages", [70, 150])
+def test_sql_of_long_conversations(spark, tmp_path, messages):
+    """Beyond one chunk the registered query and its SQL still agree, with speakers who are silent in most chunks."""
+    rows = [(c, i, "ann" if i == 3 else "late" if i == messages - 1 else f"p{i % 2}", f"m{i}") for c in (1, 2) for i in range(messages)] + [(3, 0, "system", "x")]
+    spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").coalesce(1).write.parquet(str(tmp_path / "conversations.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view conversations as select * from read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
+    assert compare(spark, con, entry.queries()["op10_perspectives"], entry.oracle_sql()["op10_perspectives"], str(tmp_path)) is None
+
+
 def test_no_python_in_native_plans(odd_docs, spark):
-    for df in (exact_dedup.exact_duplicates(odd_docs), fair_mix.mix_plan(odd_docs)):
+    chats = spark.createDataFrame([(1, 1, "a", "x", "own")], CHAT)
+    for df in (exact_dedup.exact_duplicates(odd_docs), fair_mix.mix_plan(odd_docs), perspectives.rotate(chats)):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert not re.search("Python|Pandas|Arrow", plan)
