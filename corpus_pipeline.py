@@ -21,20 +21,29 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return quality.keep_good(docs, model)
 
 
+def free(docs: DataFrame, name: str) -> str:
+    """``name``, or the first longer one that is no column of ``docs``."""
+    while name in docs.columns:
+        name += "_"
+    return name
+
+
 def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group: the one with the smallest id (null last). Texts without words stay."""
-    rows = with_row(docs)
-    ident = F.struct(F.isnull("doc_id").alias("no_id"), F.col("doc_id").alias("doc_id"), F.xxhash64("text").alias("h"), F.col("_row").alias("row"))
+    row = free(docs, "_row")
+    rows = with_row(docs, row)
+    ident = F.struct(F.isnull("doc_id").alias("no_id"), F.col("doc_id").alias("doc_id"), F.xxhash64("text").alias("h"), F.col(row).alias("row"))
     groups = count_rtree.near_duplicates(rows.select(ident.alias("ident"), "text"), "ident")
-    extra = groups.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id.row").alias("_row"))
-    return rows.join(extra, "_row", "left_anti").drop("_row")
+    extra = groups.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id.row").alias(row))
+    return rows.join(extra, row, "left_anti").drop(row)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that share no ten-word window, nor a whole shorter item, with the benchmark."""
-    rows = with_row(docs)
-    found = winnow.contamination(rows.select("_row", "text"), table(spark, sf_dir, "benchmark"), doc_id="_row")
-    return rows.join(found.where("contaminated").select(F.col("doc_id").alias("_row")), "_row", "left_anti").drop("_row")
+    row = free(docs, "_row")
+    rows = with_row(docs, row)
+    found = winnow.contamination(rows.select(row, "text"), table(spark, sf_dir, "benchmark"), doc_id=row)
+    return rows.join(found.where("contaminated").select(F.col("doc_id").alias(row)), row, "left_anti").drop(row)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,12 +51,12 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Texts stay whole: of a document in service at the cut, the last sending counts if at least half its words went out.
     """
-    rows = with_row(docs)
-    plan = fair_mix.mix_plan(rows, row=F.col("_row"))
-    times = F.size(F.filter("epochs", lambda e: 2 * e["words"] >= F.col("size")))
-    sent = plan.select(F.col("row").alias("_row"), times.alias("_times")).where("_times > 0")
-    return (rows.join(sent, "_row").withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("_times"))))
-            .drop("_row", "_times", "_time"))
+    row, times, time = free(docs, "_row"), free(docs, "_times"), free(docs, "_time")
+    rows = with_row(docs, row)
+    plan = fair_mix.mix_plan(rows.select("doc_id", "text", "source", row), row=F.col(row))
+    sends = F.size(F.filter("epochs", lambda e: 2 * e["words"] >= F.col("size")))
+    sent = plan.select(F.col("row").alias(row), sends.alias(times)).where(F.col(times) > 0)
+    return rows.join(sent, row).withColumn(time, F.explode(F.sequence(F.lit(1), F.col(times)))).drop(row, times, time)
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
