@@ -3,6 +3,7 @@
 import corpus_pipeline as pipeline
 import pytest
 from jobsieve.llm.store import stored
+from pyspark.sql import functions as F
 
 from test_search import brute_components, brute_hits
 
@@ -59,3 +60,14 @@ def test_stages_on_odd_rows(spark, small, odd_docs, no_docs, stage):
     if stage is pipeline.keep_distinct:
         kept = [r.doc_id for r in out.collect()]
         assert sorted(map(str, kept)) == sorted(["1", "None", "5", "6", "7", "9", "12", "12", "13"])
+
+
+@pytest.mark.parametrize("stage", [f for _, f in pipeline.STAGES[1:]], ids=[n for n, _ in pipeline.STAGES[1:]])
+def test_stages_on_clashing_names(spark, small, odd_docs, stage):
+    """Columns named as the stages name their own change nothing."""
+    names = ["_row", "_row_", "_times", "_time", "row", "size", "queue", "of", "key", "_metadata"]
+    own = odd_docs.drop("key").select("*", *[F.lit(f"own {n}").alias(n) for n in names])
+    out = stage(spark, own, small)
+    assert out.count() == stage(spark, odd_docs, small).count()
+    if stage is not pipeline.write_tokens:
+        assert out.columns == own.columns and {r["_times"] for r in out.collect()} == {"own _times"}
