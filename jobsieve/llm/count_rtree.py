@@ -8,8 +8,10 @@ In so many dimensions one tree over all documents prunes too little: unrelated l
 other in any few coordinates as copies do. So trees are built per bucket. Sets of similarity 0.8 share one of the rarest
 fifth (and one) of their shingles, in any fixed order of all shingles; the order here is by a counter table over all
 documents. A bucket is what shares such a shingle. First every member of a bucket is held against its smallest one, which
-settles groups of copies without their pairs; then only buckets still in several components get a tree, and only pairs
-across components leave it.
+settles most of a group of copies without its pairs. Then come rounds over the buckets that are still in several
+components: from their trees every component takes its nearest candidates in other components, those are verified, and
+components grow together. The number it takes grows from round to round until no tree had to leave one out, so that no
+link is lost, and a component that has found its group makes no further pairs with it.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from jobsieve.llm.components import components
@@ -34,6 +36,8 @@ COUNTERS = 20  # bits of the counter table
 _COLUMNS = 64
 LEAF = 32
 BLOCK = 4096  # a tree's points; larger buckets are dealt out as pairs of blocks
+GROWTH = 8  # how many times more candidates a component takes in the next round
+_HELD = 1 << 18  # pairs of a bucket that are held before they are thinned out
 
 
 def shingle_sets(texts: list[str | None], hashes: Kept) -> list[np.ndarray]:
@@ -51,11 +55,12 @@ def shingle_sets(texts: list[str | None], hashes: Kept) -> list[np.ndarray]:
     return out
 
 
-def set_id(shingles: np.ndarray) -> tuple[int, int]:
-    """Two independent 64-bit sums over a set: its id, and the proof of it."""
+def set_id(shingles: np.ndarray, bits: int = 64) -> tuple[int, int]:
+    """Two independent 64-bit sums over a set: its id (fewer ``bits`` if asked for), and the proof of it."""
     with np.errstate(over="ignore"):
         pair = mix(shingles).sum(dtype=np.uint64), mix(shingles ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64)
-    return tuple(int(x.astype(np.int64)) for x in pair)
+    one, two = (int(x.astype(np.int64)) for x in pair)
+    return (one if bits == 64 else one & ((1 << bits) - 1)), two
 
 
 def _counters(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,24 +84,24 @@ def shingle_counters(texts: DataFrame) -> np.ndarray:
     return out.ravel()
 
 
-def _sketcher(counters: np.ndarray):
+def _sketcher(counters: np.ndarray, bits: int):
     def sketch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, seen = Kept(xxhash.xxh64_intdigest), Kept(lambda _: True)
         for batch in small(batches, 1):
             rows = []
             for s in shingle_sets(batch.column(1).to_pylist(), hashes):
                 n = len(s)
-                one, two = set_id(s)
+                one, two = set_id(s, bits)
                 keys: np.ndarray = np.zeros(0, np.int64)
-                if n and one not in seen:  # a copy in the same task adds nothing
+                if n and (one, two) not in seen:  # a copy in the same task adds nothing
                     order = np.lexsort((s, counters[(s >> np.uint64(64 - COUNTERS)).astype(np.int64)]))
                     keys = s[order[: n - (4 * n + 4) // 5 + 1]].view(np.int64)
-                    seen[one]
+                    seen[one, two]
                 counts = np.bincount((s & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS)
                 rows.append((n, one, two, keys, counts.astype("<u4").tobytes()))
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
             columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "n", "id", "proof", "keys", "counts"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "n", "raw", "proof", "keys", "counts"])
 
     return sketch
 
@@ -157,9 +162,8 @@ def _near(u: Node, v: Node) -> bool:
     return 9 * int(np.minimum(u.top, v.top).sum()) >= 4 * (int(u.least) + int(v.least))
 
 
-def tree_pairs(points: np.ndarray, sizes: np.ndarray, comps: np.ndarray, left: np.ndarray, right: np.ndarray | None) -> list[tuple[np.ndarray, np.ndarray]]:
+def tree_pairs(points: np.ndarray, sizes: np.ndarray, comps: np.ndarray, left: np.ndarray, right: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of rows of different components that may be similar, within ``left``, or between it and ``right``."""
-    out = []
     u = Node(points, sizes, comps, left)
     v = u if right is None else Node(points, sizes, comps, right)
     stack = [(u, v)]
@@ -179,23 +183,27 @@ def tree_pairs(points: np.ndarray, sizes: np.ndarray, comps: np.ndarray, left: n
             shared = np.minimum(points[u.rows][:, None], points[v.rows][None]).sum(2, dtype=np.int64)
             a, b = np.nonzero((9 * shared >= 4 * (sizes[u.rows][:, None] + sizes[v.rows][None])) & (comps[u.rows][:, None] != comps[v.rows][None]))
             a, b = u.rows[a], v.rows[b]
-            out.append((a[a < b], b[a < b]) if u is v else (a, b))
-    return out
+            yield (a[a < b], b[a < b]) if u is v else (a, b)
 
 
-def _trees(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of every (bucket, pair of blocks), from rows in that order. A group has at most two blocks of rows; one that a
-    batch cuts is held back for the next. Groups of two rows, the most by far, are compared all at once."""
-    held = None
-    for batch in batches:
-        table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
-        if not table.num_rows:
-            continue
-        starts = _group_starts(table)
-        held = table.slice(int(starts[-1]))
-        yield _pairs_of(table.slice(0, int(starts[-1])), starts[:-1])
-    if held is not None:
-        yield _pairs_of(held, _group_starts(held))
+def _trees(top: int):
+    """Of every (bucket, pair of blocks), from rows in that order, the ``top`` nearest pairs of each component in it. A group
+    has at most two blocks of rows; one that a batch cuts is held back for the next. Groups of two rows, the most by far,
+    are compared all at once."""
+
+    def trees(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            if not table.num_rows:
+                continue
+            starts = _group_starts(table)
+            held = table.slice(int(starts[-1]))
+            yield _pairs_of(table.slice(0, int(starts[-1])), starts[:-1], top)
+        if held is not None:
+            yield _pairs_of(held, _group_starts(held), top)
+
+    return trees
 
 
 def _group_starts(table: pa.Table) -> np.ndarray:
@@ -207,11 +215,28 @@ def _group_starts(table: pa.Table) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def _close(points: np.ndarray, sizes: np.ndarray, a: np.ndarray, b: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _close(points: np.ndarray, sizes: np.ndarray, a: np.ndarray, b: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs that all coordinates leave, and how near they may be at most."""
     for k in range(0, len(a), 4096):
         x, y = a[k: k + 4096], b[k: k + 4096]
-        keep = 9 * np.minimum(points[x], points[y]).sum(1, dtype=np.int64) >= 4 * (sizes[x] + sizes[y])
-        yield x[keep], y[keep]
+        shared, total = 9 * np.minimum(points[x], points[y]).sum(1, dtype=np.int64), 4 * (sizes[x] + sizes[y])
+        keep = shared >= total
+        yield x[keep], y[keep], shared[keep] / total[keep]
+
+
+def _nearest(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]], comps: np.ndarray, ids: np.ndarray, top: int) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], bool]:
+    """The pairs that are among the ``top`` nearest of either one's component, and whether others were left out."""
+    a, b, bound = (np.concatenate([f[k] for f in found]) for k in range(3))
+    n = len(a)
+    if not n:
+        return (a, b, bound), False
+    side, pair = np.concatenate([comps[a], comps[b]]), np.tile(np.arange(n), 2)
+    order = np.lexsort((np.tile(np.minimum(ids[a], ids[b]), 2), np.tile(np.maximum(ids[a], ids[b]), 2), -np.tile(bound, 2), side))
+    new = np.ones(2 * n, bool)
+    new[1:] = side[order][1:] != side[order][:-1]
+    rank = np.arange(2 * n) - np.maximum.accumulate(np.where(new, np.arange(2 * n), 0))
+    keep = np.unique(pair[order[rank < top]])
+    return (a[keep], b[keep], bound[keep]), len(keep) < n
 
 
 def _key_sets(table: pa.Table):
@@ -228,28 +253,52 @@ def _key_sets(table: pa.Table):
     return own
 
 
-def _pairs_of(table: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+def _pairs_of(table: pa.Table, starts: np.ndarray, top: int) -> pa.RecordBatch:
     sizes, comps, ids, block, i, j = (table[c].to_numpy() for c in ("n", "comp", "id", "block", "i", "j"))
     points = np.frombuffer(b"".join(table["counts"].to_pylist()), "<u4").reshape(-1, GROUPS)
     boxes = points.reshape(-1, TREE_GROUPS, GROUPS // TREE_GROUPS).sum(2)
     ends = np.append(starts[1:], table.num_rows)
     two = starts[(ends - starts == 2) & (i[starts] == j[starts])] if len(starts) else starts
-    shared = np.minimum(points[two], points[two + 1]).sum(1, dtype=np.int64)
-    two = two[(9 * shared >= 4 * (sizes[two] + sizes[two + 1])) & (comps[two] != comps[two + 1])]
-    found = [(two, two + 1)]
+    two = two[comps[two] != comps[two + 1]]
+    found, left_out = list(_close(points, sizes, two, two + 1)), False
+    none = np.zeros(0, np.int64)
     for start, end in zip(starts.tolist(), ends.tolist(), strict=True):
-        if end - start > 2 or i[start] != j[start]:
-            rows = np.arange(start, end)
-            left = rows[block[start:end] == i[start]]
-            right = None if i[start] == j[start] else rows[block[start:end] == j[start]]
-            if len(left) and (right is None or len(right)):
-                found += [p for a, b in tree_pairs(boxes, sizes, comps, left, right) for p in _close(points, sizes, a, b)]
-    a, b = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+        if end - start == 2 and i[start] == j[start]:
+            continue
+        rows = np.arange(start, end)
+        if i[start] != j[start]:
+            sides = [(rows[block[start:end] == i[start]], rows[block[start:end] == j[start]])]
+        else:  # the rows of the largest component need no pairs among themselves
+            names, sizes_of = np.unique(comps[start:end], return_counts=True)
+            most = comps[start:end] == names[sizes_of.argmax()]
+            sides = [(rows[~most], None), (rows[~most], rows[most])]
+        own, held = [(none, none, none.astype(float))], 0
+        for left, right in sides:
+            if not len(left) or (right is not None and not len(right)):
+                continue
+            for x, y in tree_pairs(boxes, sizes, comps, left, right):
+                for part in _close(points, sizes, x, y):
+                    own.append(part)
+                    held += len(part[0])
+                if held > _HELD:
+                    best, cut = _nearest(own, comps, ids, top)
+                    own, held, left_out = [best], 0, left_out or cut
+        best, cut = _nearest(own, comps, ids, top)
+        found.append(best)
+        left_out = left_out or cut
+    a, b, bound = (np.concatenate([f[k] for f in found]) for k in range(3)) if found else (none, none, none.astype(float))
     # Two sets often share many buckets: the pair leaves the one with their smallest common key only.
-    key, own = table["key"].to_numpy(), _key_sets(table)
-    first = np.fromiter((min(own(x) & own(y)) == k for x, y, k in zip(a.tolist(), b.tolist(), key[a].tolist(), strict=True)), bool, len(a))
-    a, b = ids[a[first]], ids[b[first]]
-    return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"])
+    key, own_keys = table["key"].to_numpy(), _key_sets(table)
+    first = np.fromiter((min(own_keys(x) & own_keys(y)) == k for x, y, k in zip(a.tolist(), b.tolist(), key[a].tolist(), strict=True)), bool, len(a))
+    a, b, bound = a[first], b[first], bound[first]
+    swap = ids[a] < ids[b]
+    a, b = np.where(swap, b, a), np.where(swap, a, b)
+    columns = [pa.array(x) for x in (ids[a], ids[b], comps[a], comps[b], bound)]
+    out = pa.RecordBatch.from_arrays([*columns, pa.array(np.zeros(len(a), bool))], names=["a", "b", "ca", "cb", "bound", "cut"])
+    if not left_out:
+        return out
+    mark = pa.RecordBatch.from_arrays([pa.nulls(1, c.type) for c in columns] + [pa.array([True])], names=out.schema.names)
+    return pa.Table.from_batches([out, mark]).combine_chunks().to_batches()[0]
 
 
 def _bounded(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,20 +311,20 @@ def _bounded(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in batch.columns[:4]], names=["a", "b", "na", "nb"])
 
 
-def _set_reader(bits: np.ndarray):
+def _set_reader(wanted_bits: np.ndarray, bits: int):
     def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, seen = Kept(xxhash.xxh64_intdigest), Kept(lambda _: True)
         for batch in batches:
-            wanted = may_hold(bits, batch.column(0).to_numpy().view(np.uint64))
+            wanted = may_hold(wanted_bits, batch.column(0).to_numpy().view(np.uint64))
             for piece in small([batch.filter(pa.array(wanted))], 1):
                 rows = []
                 for s in shingle_sets(piece.column(1).to_pylist(), hashes):
-                    one, _ = set_id(s)
-                    if len(s) and one not in seen:
-                        seen[one]
-                        rows.append((one, s.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.int64()))],
-                                                 names=["id", "shingles"])
+                    ident = set_id(s, bits)
+                    if len(s) and ident not in seen:
+                        seen[ident]
+                        rows.append((*ident, s.view(np.int64)))
+                kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64())]
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["raw", "proof", "shingles"])
 
     return read
 
@@ -285,19 +334,37 @@ def _id_hash(column: str):
 
 
 class ShingleJoin:
-    """The tables of one join: a row per document, and a row per distinct set."""
+    """The tables of one join: a row per document, and a row per distinct set.
+
+    A set is named by 64 bits of hash. Different sets with one name (``proof`` tells them apart) get names of their own, all
+    but one. ``id_bits`` makes names shorter, which changes no result: tests force such clashes with it.
+    """
 
-    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"):
-        self.docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", id_bits: int = 64):
+        self.docs, self.id_bits = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), id_bits
         kind = self.docs.schema["doc_id"].dataType.simpleString()
         counters = shingle_counters(self.docs.select("text"))
-        self.rows = stored(self.docs.mapInArrow(
-            _sketcher(counters), f"doc_id {kind}, n long, id long, proof long, keys array<bigint>, counts binary"), "shingle-rows")
-        sets = self.rows.where("n > 0").groupBy("id").agg(
-            F.min("doc_id").alias("first_id"), F.max(F.struct("n", "counts")).alias("s"), F.min("proof").alias("p"), F.max("proof").alias("q"))
-        self.sets = stored(sets.select("id", "first_id", "s.n", "s.counts", "p", "q"), "shingle-sets")
-        if self.sets.where("p <> q").limit(1).count():
-            raise ValueError("two different shingle sets have one 64-bit id: choose another constant in set_id")
+        rows = stored(self.docs.mapInArrow(
+            _sketcher(counters, id_bits), f"doc_id {kind}, n long, raw long, proof long, keys array<bigint>, counts binary"), "shingle-rows")
+        of = [F.min("doc_id").alias("first_id"), F.max(F.struct("n", "counts")).alias("s"), F.min("proof").alias("proof"), F.max("proof").alias("other")]
+        sets = stored(rows.where("n > 0").groupBy("raw").agg(*of).select(F.col("raw").alias("id"), "raw", "proof", "other", "first_id", "s.n", "s.counts"), "shingle-sets")
+        if not sets.where("proof <> other").limit(1).count():
+            self.sets, self.rows = sets.drop("other"), rows.withColumnRenamed("raw", "id")
+            return
+        sets = rows.where("n > 0").groupBy("raw", "proof").agg(*of[:2]).select(F.col("raw").alias("id"), "raw", "proof", "first_id", "s.n", "s.counts")
+        self.sets = stored(self._own_names(stored(sets, "shingle-sets")), "shingle-sets")
+        self.rows = stored(rows.join(self.sets.select("raw", "proof", "id"), ["raw", "proof"], "left").drop("raw"), "shingle-rows")
+
+    def _own_names(self, sets: DataFrame) -> DataFrame:
+        """``sets`` with an ``id`` that no two share."""
+        salt = 0
+        while True:
+            shared = stored(sets.groupBy("id").agg(F.min(F.struct("raw", "proof")).alias("stays"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c"), "clashes")
+            if not shared.count():
+                return sets
+            salt += 1
+            moves = F.col("stays").isNotNull() & (F.struct("raw", "proof") != F.col("stays"))
+            sets = stored(sets.join(shared, "id", "left").withColumn("id", F.when(moves, F.xxhash64(F.lit(salt), "raw", "proof")).otherwise(F.col("id"))).drop("stays"), "shingle-sets")
 
     def buckets(self) -> DataFrame:
         """``(key, id, leader, edge)``, see ``_runs``. Ranges are cut by key and id, so that a key with very many sets is split."""
@@ -310,10 +377,10 @@ class ShingleJoin:
         sized = pairs.join(of("a", "na"), "a").join(of("b", "nb"), "b").where("5 * na >= 4 * nb and 5 * nb >= 4 * na")
         close = stored(sized.select("a", "b", "na", "nb", "nac", "nbc").mapInArrow(_bounded, "a long, b long, na long, nb long"), "close-pairs")
         ids = stored(close.select(F.col("a").alias("id")).union(close.select("b")).distinct()
-                     .join(self.sets.select("id", "first_id"), "id").select("id", _id_hash("first_id").alias("h")), "wanted-sets")
+                     .join(self.sets.select("id", "raw", "proof", "first_id"), "id").select("id", "raw", "proof", _id_hash("first_id").alias("h")), "wanted-sets")
         bits = hash_filter(ids, "h")
-        read = stored(self.docs.select(_id_hash("doc_id").alias("h"), "text").mapInArrow(_set_reader(bits), "id long, shingles array<bigint>")
-                      .join(ids.select("id"), "id", "left_semi"), "read-sets")
+        read = stored(self.docs.select(_id_hash("doc_id").alias("h"), "text").mapInArrow(_set_reader(bits, self.id_bits), "raw long, proof long, shingles array<bigint>")
+                      .join(ids.select("raw", "proof", "id"), ["raw", "proof"]).select("id", "shingles"), "read-sets")
         both = (close.join(read.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
                 .join(read.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b"))
         return stored(both.where(9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.col("na") + F.col("nb"))).select("a", "b").distinct(), "links")
@@ -325,45 +392,72 @@ class ShingleJoin:
         across = edges.join(tops, "key").where("leader <> top").select("key", F.col("leader").alias("id"), F.col("top").alias("leader"))
         return buckets.where("not edge").select("key", "id", "leader").union(across)
 
-    def tree_candidates(self, led: DataFrame, tried: DataFrame, labels: DataFrame) -> DataFrame:
-        """Pairs across components in buckets of several, as R-trees leave them."""
+    def open_members(self, led: DataFrame, stars: DataFrame, labels: DataFrame) -> DataFrame:
+        """``(key, id)`` of the buckets in several components. Buckets of the same sets are one."""
         comp = lambda c, n: labels.select(F.col("id").alias(c), F.col("comp").alias(n))
-        apart = (tried.join(comp("a", "ca"), "a", "left").join(comp("b", "cb"), "b", "left")
+        apart = (stars.join(comp("a", "ca"), "a", "left").join(comp("b", "cb"), "b", "left")
                  .where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select(F.col("a").alias("id"), F.col("b").alias("leader")))
         open_keys = stored(led.join(stored(apart, "apart"), ["id", "leader"], "left_semi").select("key").distinct(), "open-keys")
         rows = led.join(open_keys, "key", "left_semi")
         members = stored(rows.select("key", "id").union(rows.select("key", F.col("leader"))).distinct(), "members")
-        # Buckets of the same sets are one.
         marks = members.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("lo"), F.max("id").alias("hi"),
                                            F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("sum"))
-        chosen = stored(marks.groupBy("c", "lo", "hi", "sum").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks")), "chosen")
-        rows = stored(members.join(chosen, "key"), "open-members")
-        own = rows.groupBy("id").agg(F.collect_list("key").alias("keys"))  # no more than a set's rarest fifth
-        sets = own.join(labels, "id", "left").join(self.sets.select("id", "n", "counts"), "id")
-        points = (rows.join(sets, "id")
-                  .select("key", "id", F.coalesce("comp", "id").alias("comp"), "n", "counts", "keys", F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("block"),
-                          F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")))
+        return stored(members.join(marks.groupBy("c", "lo", "hi", "sum").agg(F.min("key").alias("key")).select("key"), "key", "left_semi"), "open-members")
+
+    def tree_candidates(self, rows: DataFrame, labels: DataFrame, top: int) -> tuple[DataFrame, DataFrame]:
+        """``rows`` of the buckets that still are in several components, and the ``top`` nearest pairs of every component
+        there. A row whose ``cut`` is true says that a tree left others out."""
+        named = stored(rows.join(labels, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp")), "named-members")
+        parts = named.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(
+            F.sum("c").alias("c"), F.max(F.struct("c", "comp")).alias("most"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
+        # In a bucket of more than one block the largest component's blocks (the first ones) meet only blocks of others.
+        whole = F.col("c") <= BLOCK
+        parts = parts.select("key", F.col("most.comp").alias("most"), F.when(whole, 0).otherwise(F.ceil(F.col("most.c") / BLOCK)).cast("int").alias("ours"),
+                             F.when(whole, 1).otherwise(F.ceil((F.col("c") - F.col("most.c")) / BLOCK)).cast("int").alias("theirs"))
+        left = stored(named.join(parts, "key"), "open-members")
+        own = left.groupBy("id", "comp").agg(F.collect_list("key").alias("keys"))  # no more than a set's rarest fifth
+        sets = own.join(self.sets.select("id", "n", "counts"), "id").drop("comp")
+        ours = (F.col("ours") > 0) & (F.col("comp") == F.col("most"))
+        h, last = F.xxhash64("id"), F.col("ours") + F.col("theirs") - 1
+        points = left.join(sets, "id").select(
+            "key", "id", "comp", "n", "counts", "keys", F.when(ours, F.pmod(h, "ours")).otherwise(F.col("ours") + F.pmod(h, "theirs")).cast("int").alias("block"),
+            F.explode(F.sequence(F.when(ours, F.col("ours")).otherwise(F.lit(0)), last)).alias("other"))
         pairs = (points.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("other")
-                 .repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_trees, "a long, b long"))
-        return stored(pairs.join(tried, ["a", "b"], "left_anti"), "tree-pairs")
+                 .repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+                 .mapInArrow(_trees(top), "a long, b long, ca long, cb long, bound double, cut boolean"))
+        return left.select("key", "id"), stored(pairs, "tree-pairs")
 
-    def links(self) -> DataFrame:
-        """Links that connect every component whole: not all within groups of copies, but all between different ones."""
+    def labels(self) -> DataFrame:
+        """``(id, comp)`` of all sets with a link to another one: enough links are verified to know every component whole."""
         led = self.leader_pairs(self.buckets())
-        tried = stored(led.select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct(), "leader-pairs")
-        first = self.verify(tried)
-        second = self.verify(self.tree_candidates(led, tried, components(first)))
-        return first.union(second)
-
-
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        stars = stored(led.select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct(), "leader-pairs")
+        labels, tried, top = components(self.verify(stars)), stars, 1
+        rows = self.open_members(led, stars, labels)
+        while True:
+            rows, pairs = self.tree_candidates(rows, labels, top)
+            fresh = stored(pairs.where("not cut").join(tried, ["a", "b"], "left_anti"), "fresh-pairs")
+            sides = fresh.select("a", "b", "bound", F.explode(F.array("ca", "cb")).alias("comp"))
+            place = F.row_number().over(Window.partitionBy("comp").orderBy(F.desc("bound"), "a", "b"))
+            best = stored(sides.withColumn("place", place).where(F.col("place") <= top).select("a", "b").distinct(), "best-pairs")
+            n = best.count()
+            if n:
+                links = self.verify(best)
+                if links.limit(1).count():
+                    labels = components(labels.select(F.col("id").alias("a"), F.col("comp").alias("b")).union(links))
+                tried = tried.union(best)
+            if n == fresh.count() and not pairs.where("cut").limit(1).count():
+                return labels
+            top *= GROWTH
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", id_bits: int = 64) -> DataFrame:
     """One row per row: ``doc_id, n_shingles, component_id``, the smallest id reachable by links of similarity 0.8 or more.
 
     Null, empty and word-less texts have no shingles and are their own component; fewer than five words are one shingle. Rows
     of equal sets are linked, repeated rows too. Null ids count as no id in the minimum. Extra columns are ignored.
     """
-    join = ShingleJoin(docs, id_col, text_col)
-    labels = components(join.links())
+    join = ShingleJoin(docs, id_col, text_col, id_bits)
+    labels = join.labels()
     named = stored(join.sets.select("id", "first_id").join(labels, "id", "left").select("id", "first_id", F.coalesce("comp", "id").alias("comp")), "named")
     least = stored(named.groupBy("comp").agg(F.min("first_id").alias("component_id")), "least")
     by_set = stored(named.join(least, "comp").select("id", "component_id"), "set-components")

@@ -138,6 +138,44 @@ def test_jaccard_join_with_hot_passage_and_chains(docs_of):
     assert near(docs_of(rows)) == brute_components([r[:2] for r in rows])
 
 
+def test_sets_that_share_an_id_stay_apart(docs_of, odd_docs):
+    """Ids cut to two bits: nearly all sets clash, and the groups are the same."""
+    rng = random.Random(4)
+    rows = []
+    for i in range(30):
+        x = [f"w{rng.randint(0, 300)}" for _ in range(40)]
+        rows += [(3 * i, " ".join(x), "s"), (3 * i + 1, " ".join([*x, "end"]), "s"), (3 * i + 2, " ".join(x[:20]), "s")]
+    for docs, plain in ((docs_of(rows), [r[:2] for r in rows]), (odd_docs, [(r.doc_id, r.text) for r in odd_docs.collect()])):
+        got = count_rtree.near_duplicates(docs, id_bits=2).collect()
+        assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == brute_components(plain)
+
+
+def near_copies(n):
+    rng = random.Random(n)
+    word = lambda: rng.choice("abcdefghij") + str(rng.randint(0, 4000))
+    base, rows = [word() for _ in range(100)], []
+    for i in range(n):
+        copy = list(base)
+        for _ in range(rng.randint(0, 3)):
+            copy[rng.randrange(100)] = word()
+        rows.append((i, " ".join(copy), "s"))
+    return rows
+
+
+def test_pairs_grow_with_a_group_of_near_copies(docs_of, monkeypatch):
+    verified, plain = [], count_rtree.ShingleJoin.verify
+    monkeypatch.setattr(count_rtree.ShingleJoin, "verify", lambda self, pairs: verified.append(pairs.count()) or plain(self, pairs))
+    totals = {}
+    for n in (200, 400, 800):
+        rows = near_copies(n)
+        verified.clear()
+        got = near(docs_of(rows))
+        if n == 200:
+            assert got == brute_components([r[:2] for r in rows])
+        totals[n] = sum(verified)
+    assert totals[800] < 2.5 * totals[400] and totals[800] < 4 * 800
+
+
 def test_tree_loses_no_pair():
     rng = np.random.default_rng(2)
     base = rng.integers(0, 6, (40, count_rtree.GROUPS))
