@@ -21,6 +21,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,17 +31,21 @@ from jobsieve.llm.words import small
 END_ID = 2
 BUCKET_KEYS = 65_536
 CACHE_UNITS = 1_000_000
-_OTHER_SPACE = re.compile(r"[^\S \n]")
 _CUT = re.compile(r"(?<=\S)(?= \S)")
-_ENDS = ".,!?;:"
+_EVEN = re.compile(r"(?= )|(?=\n)|(?<=\n)")
+_LETTER_MARK = "([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff])([!-&(-/:;=?@])"  # a token never goes on from a letter to these marks
+# The characters that count as white space in the vocabulary's pattern, but for space and line break, and U+0000.
+_OTHER = "\\x00\t\x0b\x0c\r\x1c-\x1f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_ODD = f"[{_OTHER}]|^[ \n]|[ \n][ \n]|[ \n]$"
 
 
 class Encoder:
     """Ids of whole texts, equal to encoding each text at once, with the ids of frequent pieces kept.
 
     The byte-level pre-tokenizer never lets a token cross the place before a single space, or around a single line
-    break, that stands between two other characters; pieces between such places are encoded once while they are kept. A
-    mark such as <|endoftext|> in a text has its own id, as by the plain library call; it holds no white space, so it stays whole.
+    break, that stands between two other characters, nor from a letter to a mark; texts are cut there by Arrow, each different piece of
+    a batch is encoded once while it is kept, and a batch's ids are gathered from the kept ones. A mark such as <|endoftext|> in a text has its own id, as by
+    the plain library call; it holds no white space, so it stays whole.
     """
 
     def __init__(self, path: str, cache: int = CACHE_UNITS):
@@ -50,67 +55,66 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 65_536 else "<u4"
         self.limit = cache
-        self.plain: dict[str, bytes] = {}
-        self.spaced: dict[str, bytes] = {}
-        self.newline = self._one("\n")
+        self.newline = self._ids("\n")
+        self._forget()
+
+    def _forget(self) -> None:
+        """Kept pieces: ``place`` numbers them, piece i is ``pool[start[i]: start[i + 1]]``."""
+        self.place: dict[str, int] = {}
+        self.pool, self.start = np.zeros(0, self.dtype), np.zeros(1, np.int64)
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
 
-    def _one(self, text: str) -> bytes:
-        return self._ids(text).tobytes()
-
-    def _many(self, pieces: list[str], kept: dict[str, bytes], prefix: str) -> None:
-        """Pieces without line breaks: one text with a line break between them, which is a token of its own there."""
-        mark = np.frombuffer(self.newline, self.dtype)
-        for i in range(0, len(pieces), 1000):
-            part = pieces[i: i + 1000]
-            ids = self._ids("\n".join(prefix + p for p in part))
-            at = np.flatnonzero(ids == mark[0]) if len(mark) == 1 else np.array([])
+    def _many(self, pieces: list[str]) -> list[np.ndarray]:
+        """Ids of pieces without line breaks: one text with a line break between them, which is a token of its own there."""
+        out: list[np.ndarray] = []
+        for i in range(0, len(pieces), 20_000):
+            part = pieces[i: i + 20_000]
+            ids = self._ids("\n".join(part))
+            at = np.flatnonzero(ids == self.newline[0]) if len(self.newline) == 1 else np.zeros(0, np.int64)
             if len(at) == len(part) - 1:
-                bounds = [-1, *at.tolist(), len(ids)]
-                for p, a, b in zip(part, bounds, bounds[1:], strict=False):
-                    kept[p] = ids[a + 1: b].tobytes()
+                bounds = [0, *(at + 1).tolist(), len(ids) + 1]
+                out.extend(ids[a: b - 1] for a, b in zip(bounds, bounds[1:], strict=False))
             else:
-                kept.update((p, self._one(prefix + p)) for p in part)
-
-    def _learn(self, wanted: set[str], kept: dict[str, bytes], prefix: str) -> None:
-        """Letters followed by marks are two tokens' worth of text: their two parts are kept and put together."""
-        joined = {}
-        for p in wanted:
-            core = p.rstrip(_ENDS)
-            if core != p and core.isalpha():
-                joined[p] = core, p[len(core):]
-        self._many([p for p in {*wanted.difference(joined), *(c for c, _ in joined.values())} if p not in kept], kept, prefix)
-        self._many([t for t in {t for _, t in joined.values()} if t not in self.plain], self.plain, "")
-        for p, (core, tail) in joined.items():
-            kept[p] = kept[core] + self.plain[tail]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.spaced) > self.limit:
-            self.spaced.clear()
-        if len(self.plain) > self.limit:
-            self.plain.clear()
-        cut: list[list[list[str]] | None] = []
-        plain: set[str] = set()
-        spaced: set[str] = set()
-        for text in texts:
-            lines = None if _OTHER_SPACE.search(text) else [x.split(" ") for x in text.split("\n")]
-            if lines and any("" in x for x in lines):
-                lines = None
-            cut.append(lines)
-            for x in lines or ():
-                plain.add(x[0])
-                spaced.update(x[1:])
-        self._learn(plain.difference(self.plain), self.plain, "")
-        self._learn(spaced.difference(self.spaced), self.spaced, " ")
-        return [self._odd(t) if x is None else
-                self.newline.join(self.plain[y[0]] + b"".join(map(self.spaced.__getitem__, y[1:])) for y in x)
-                for t, x in zip(texts, cut, strict=True)]
-
-    def _odd(self, text: str) -> bytes:
-        """Texts with other white space: cut before single spaces only."""
-        return b"".join(map(self._one, _CUT.split(text))) if text else b""
+                out.extend(map(self._ids, part))
+        return out
+
+    def _learn(self, new: list[str]) -> None:
+        plain = [p for p in new if "\n" not in p]
+        other = [p for p in new if "\n" in p]
+        ids = self._many(plain) + [self._ids(p) for p in other]
+        self.place.update(zip(plain + other, range(len(self.place), len(self.place) + len(new)), strict=True))
+        self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))])
+        self.pool = np.concatenate([self.pool, *ids])
+
+    @staticmethod
+    def _cut(texts: pa.Array) -> pa.ListArray:
+        """Pieces of every text. U+0000 marks the places; texts that hold it, other white space or several in a row are cut by ``_CUT``."""
+        odd = pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False)
+        if odd.any():
+            lists = texts.to_pylist()
+            return pa.array([_CUT.split(t) if o else _EVEN.split(t) for t, o in zip(lists, odd.tolist(), strict=True)], pa.list_(pa.string()))
+        marked = pc.replace_substring_regex(pc.replace_substring(texts, " ", "\0 "), _LETTER_MARK, "\\1\0\\2")
+        return pc.split_pattern(pc.replace_substring(marked, "\n", "\0\n\0"), "\0")
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        if len(self.place) > self.limit:
+            self._forget()
+        lists = self._cut(pa.array(texts, pa.string()))
+        codes = lists.flatten().dictionary_encode()
+        pieces = codes.dictionary.to_pylist()
+        new = [p for p in pieces if p and p not in self.place]
+        if new:
+            self._learn(new)
+        empty = len(self.place)  # stands for the one piece of an empty text
+        at = np.fromiter((self.place[p] if p else empty for p in pieces), np.int64, len(pieces))[codes.indices.to_numpy()]
+        start = np.append(self.start, self.start[-1])
+        sizes = np.diff(start)[at]
+        ends = np.cumsum(sizes)
+        ids = self.pool[np.repeat(start[at] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
+        bounds = np.append(0, ends)[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+        return [ids[a:b] for a, b in zip(bounds.tolist(), bounds.tolist()[1:], strict=False)]
 
 
 @functools.lru_cache(1)
@@ -128,16 +132,16 @@ def _writer(folder: str, tokenizer: str, end_id: int):
         enc, part = encoder(tokenizer), TaskContext.get().partitionId()
         files, root = open_fs(folder)
         shard = f"ids-{part:06d}-{uuid.uuid4().hex}.bin"  # a fresh name per attempt
-        end, width = np.array([end_id], enc.dtype).tobytes(), np.dtype(enc.dtype).itemsize
+        end = np.array([end_id], enc.dtype).tobytes()
         nth, again, last, at = 0, 0, (), 0
         with files.open_output_stream(f"{root}/{shard}", compression=None) as out:
             for batch in small(batches, 1):
                 ids, rows = batch.column(0).to_pylist(), []
                 texts = [t or "" for t in batch.column(1).to_pylist()]
                 for i, data in zip(ids, enc.encode(texts), strict=True):
-                    out.write(data + end)
+                    out.write(data.tobytes() + end)
                     again = again + 1 if last == (i,) else 0
-                    n, last = len(data) // width + 1, (i,)
+                    n, last = len(data) + 1, (i,)
                     rows.append((part, nth, again, shard, at, n))
                     nth, at = nth + 1, at + n
                 kinds = [pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()]

@@ -68,25 +68,23 @@ def test_loser_tree_merges(runs):
 
 
 def encoded(texts):
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    return [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+    return [e.ids for e in Tokenizer.from_file(PATH).encode_batch(texts, add_special_tokens=False)]
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.text(alphabet=" \n\tabcDE.,'!?1é日  \r<|", max_size=40), max_size=8))
+@given(st.lists(st.text(alphabet=" \n\tabcDE\0\u00a0$&12.,'!?1é日  \r<|", max_size=40), max_size=8))
 def test_kept_pieces_change_nothing(texts):
     enc = token_files.Encoder(PATH, cache=20)
-    assert [np.frombuffer(b, enc.dtype).tolist() for b in enc.encode(texts)] == encoded(texts)
+    assert [b.tolist() for b in enc.encode(texts)] == encoded(texts)
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.lists(st.sampled_from(["<|endoftext|>", "<|", "end", "go.", " ", "  ", "\n", "\t", "é"]), max_size=9).map("".join), max_size=6))
+@given(st.lists(st.lists(st.sampled_from(["<|endoftext|>", "<|", "|>", "end", "it's", "a.b", "x,", "no-one\n", "\u2003", "\x85", "\x1c", "\0", "go.", " ", "  ", "\n", "\t", "é"]), max_size=9).map("".join), max_size=6))
 def test_marks_are_encoded_as_by_the_library(texts):
     enc = token_files.Encoder(PATH, cache=20)
     want = [e.ids for e in Tokenizer.from_file(PATH).encode_batch(texts, add_special_tokens=False)]
-    assert [np.frombuffer(b, enc.dtype).tolist() for b in enc.encode(texts)] == want
-    assert len(np.frombuffer(enc.encode(["end <|endoftext|> go"])[0], enc.dtype)) == 4
+    assert [b.tolist() for b in enc.encode(texts)] == want
+    assert len(enc.encode(["end <|endoftext|> go"])[0]) == 4
 
 
 def test_token_files_of_a_table(spark, small):
