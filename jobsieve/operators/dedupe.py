@@ -60,16 +60,20 @@ def lookup_hot(left: DataFrame, right: DataFrame, key: str, count: str, spread:
         *left.columns, *[F.coalesce(F.col(f"_hot.{v}"), F.col(f"_cold.{v}")).alias(v) for v in values])
 
 
+def text_keys(df: DataFrame, text: str = "description", seq: str = "seq") -> DataFrame:
+    """``job_id, _seq, _key`` per row, worked out once and written: the digest of its white-space-collapsed text, null for short ones."""
+    squashed = squash(F.coalesce(F.col(text), F.lit("")))
+    return durable(df.select("job_id", F.col(seq).alias("_seq"), let(
+        squashed, lambda t: F.when(F.length(t) >= MIN_GUARD_CHARS, F.sha2(t, 256))).alias("_key")))
+
+
 def guard_duplicates(df: DataFrame, text: str = "description", seq: str = "seq") -> DataFrame:
     """Add ``owner_id``: the id that first brought this row's text when that is another id, else null.
 
     Texts are compared by a 256-bit digest of the white-space-collapsed text. The digest is worked out once per row and
     written with the row's id and order; only the few ids that repeat another's text meet the rows again.
     """
-    squashed = squash(F.coalesce(F.col(text), F.lit("")))
-    keys = durable(df.select("job_id", F.col(seq).alias("_seq"), let(
-        squashed, lambda t: F.when(F.length(t) >= MIN_GUARD_CHARS, F.sha2(t, 256))).alias("_key")))
-    long = keys.where("_key is not null")
+    long = text_keys(df, text, seq).where("_key is not null")
     owners = durable(
         long.groupBy("_key").agg(F.min_by("job_id", F.struct(F.col("_seq").isNull(), "_seq")).alias("owner_id"), F.count(F.lit(1)).alias("_n"))
         .where("_n > 1").drop("_n"))

@@ -36,6 +36,7 @@ from jobsieve.plans.views import (
 from jobsieve.schema import HISTORY, VERDICTS, union_postings
 from jobsieve.session import scratch
 from jobsieve.sources import memory as M
+from jobsieve.sources import owners as OW
 from jobsieve.sources import sinks as SK
 from jobsieve.streaming import intake as I
 
@@ -595,6 +596,21 @@ def _(spark, d):
     return D.split_duplicates(docs)[1].select("job_id", "owner_id")
 
 
+@query("duplicate_guard_batches", ORACLES["duplicate_guard"])
+def _(spark, d):
+    # Three batches one after the other, the owners folded between them, the second one once more: the same rows as at once.
+    docs = spread(table(spark, d, "documents")).select(
+        F.col("doc_id").cast("string").alias("job_id"), F.col("doc_id").alias("seq"), F.col("text").alias("description"))
+    path, third = scratch(spark, "owners"), F.expr(f"seq * 3 div ({docs.agg(F.coalesce(F.max('seq'), F.lit(0))).first()[0]} + 1)")
+
+    def batch(part: int) -> DataFrame:
+        return OW.guard_batch(docs.where(third == part), path).where("owner_id is not null").select("job_id", "owner_id")
+
+    first, second = batch(0), batch(1)
+    OW.fold_owners(spark, path)
+    return first.unionAll(second.intersectAll(batch(1))).unionAll(batch(2))
+
+
 _IDENT = "'job' || lpad(CAST(doc_id AS VARCHAR), 7, '0')"
 
 
