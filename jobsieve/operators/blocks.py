@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from jobsieve.functions import header as H
@@ -593,22 +593,51 @@ def changed_blocks(before: DataFrame, after: DataFrame, key: str = "url") -> Dat
     (places and hashes, no text); the comparison itself is array work inside the joined row.
     """
     rooted = after if "root" in after.columns else list_root(after)
-    places = F.map_from_entries(F.transform(
-        F.filter("els", lambda e: e["text_hash"].isNotNull()), lambda e: F.struct(e["css_path"], e["text_hash"])))
+    placed = lambda els: F.transform(
+        F.filter(els, lambda e: e["text_hash"].isNotNull()), lambda e: F.struct(e["css_path"].alias("css_path"), e["text_hash"].alias("text_hash")))
     slim = F.transform("els", lambda e: F.struct(
         *[e[c].alias(c) for c in ("ord", "last", "tag", "norm_len", "css_path", "text_hash")]))
-    was = before.select(key, places.alias("_was"))
+    was = before.select(key, placed("els").alias("_places"))
     now = rooted.select(key, slim.alias("els"), F.struct("root.ord", "root.last").alias("root"))
+    # A page whose places and hashes are all the same ends here, after one comparison.
+    met = now.join(was, key).where(placed("els") != F.col("_places")).withColumn("_was", F.map_from_entries("_places"))
     moved = F.filter("els", lambda e: e["text_hash"].isNotNull() & ~_overlap(e, F.col("root"))
                      & F.coalesce(F.try_element_at("_was", e["css_path"]) != e["text_hash"], F.lit(False)))
-    found = now.join(was, key).withColumn("changed", moved).where(F.size("changed") > 0)
-    leaf = F.filter("changed", lambda c: ~F.exists("changed", lambda d: _below(d, c)))
+    found = met.withColumn("changed", moved).where(F.size("changed") > 0)
+    # In page order what lies below an element follows it directly: the next changed one decides.
+    leaf = F.filter("changed", lambda c, i: F.coalesce(F.get("changed", i + 1)["ord"] > c["last"], F.lit(True)))
     covered = found.withColumn("leaves", leaf).withColumn("_c", _cover(F.col("els"), F.col("root"), F.col("leaves")))
     return covered.select(
         key, F.size("changed").alias("n_changed"), F.size("leaves").alias("n_leaves"), F.col("_c.ord").alias("block_ord"),
         F.col("_c.css_path").alias("css_path"), F.col("_c.norm_len").alias("norm_len"))
 
 
+def moved_blocks(before: DataFrame, after: DataFrame, key: str = "url") -> DataFrame:
+    """Blocks that kept their text and changed their place: the outermost ones, with the place they had (``from_path``) and have.
+
+    A block is found again by its page and text. Elements that only wrap a block count with it as one, the outermost; a text that
+    stands at several places of either snapshot is left out, as nothing says which went where. Pages without a key and
+    pages of one snapshot only give no rows. Rows carry places and hashes, no text; both sides meet on the keys they were counted by.
+    """
+
+    def once(parsed: DataFrame) -> DataFrame:
+        slim = F.transform(F.filter("els", lambda e: e["text_hash"].isNotNull()), lambda e: F.struct(
+            *[e[c].alias(c) for c in ("ord", "last", "tag", "css_path", "text_hash")]))
+        rows = parsed.where(F.col(key).isNotNull()).select(key, F.inline(slim))
+        kept = _outermost(rows, key, "text_hash")
+        return kept.groupBy(key, "text_hash").agg(F.count(F.lit(1)).alias("n"), *[F.min(c).alias(c) for c in ("ord", "last", "tag", "css_path")]).where("n = 1")
+
+    was = once(before).select(key, "text_hash", F.col("css_path").alias("from_path"))
+    found = once(after).join(was, [key, "text_hash"]).where("css_path <> from_path")
+    return _outermost(found, key).select(key, F.col("ord").alias("block_ord"), "tag", "from_path", "css_path")
+
+
+def _outermost(rows: DataFrame, *by: str) -> DataFrame:
+    """Elements that lie in no other element of their group; elements nest, so the widest reach before one decides."""
+    earlier = Window.partitionBy(*by).orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
+    return rows.withColumn("_reach", F.max("last").over(earlier)).where("_reach is null or _reach < ord").drop("_reach")
+
+
 def _cover(els: Column, root: Column, leaves: Column) -> Column:
     """The one changed leaf, else the tightest element around all of them, else the largest leaf."""
     lo = F.array_min(F.transform(leaves, lambda x: x["ord"]))

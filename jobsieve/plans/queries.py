@@ -1095,6 +1095,15 @@ def _(spark, d):
     return moved.select("page_id", "n_leaves")
 
 
+@query("moved_blocks", over_postings("SELECT DISTINCT CAST(floor(seq / 10) AS BIGINT) AS page_id, 'article' AS tag, TRUE AS deeper FROM postings"))
+def _(spark, d):
+    # The later snapshot has the description's section in an article and another word among the pills.
+    pages = board_pages(spark, d)
+    later = pages.withColumn("html", F.regexp_replace(F.regexp_replace("html", "<section>(?s:(.*?))</section>", "<article><section>$1</section></article>"), "Full-time", "Part-time"))
+    moved = B.moved_blocks(parsed_board(spark, d), B.html_blocks(spread(later)), key="page_id")
+    return moved.select("page_id", "tag", (~F.col("from_path").contains("article") & F.col("css_path").contains("article")).alias("deeper"))
+
+
 @query("rule_audit", over_postings(f"""SELECT CAST(floor(seq / 10) AS BIGINT) AS page_id, rule, CASE rule WHEN 'applyButton' THEN FALSE WHEN 'card' THEN
  count(*) >= 3 WHEN 'list' THEN count(*) >= 3 ELSE TRUE END AS ok FROM postings, (SELECT unnest(['list', 'card', 'title', 'description', 'applyButton']) AS rule) GROUP BY 1, 2"""))
 def _(spark, d):

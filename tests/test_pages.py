@@ -119,6 +119,25 @@ def test_changed_block_is_the_description(spark):
     assert B.changed_blocks(before, before, key="page_id").count() == 0
 
 
+def test_leaves_of_nested_changes(spark):
+    long = lambda w: f"{w} " * 120
+    page = "<main><section><div><p>{}</p><p>{}</p></div><article>{}</article></section><aside>{}</aside></main>".format
+    before = parsed(spark, page(*map(long, "abcd")))
+    one = B.changed_blocks(before, parsed(spark, page(long("x"), *map(long, "bcd"))), key="page_id").first()
+    two = B.changed_blocks(before, parsed(spark, page(long("x"), long("b"), long("y"), long("d"))), key="page_id").first()
+    assert (one.n_leaves, two.n_leaves) == (1, 2) and one.n_changed >= 3 and two.n_changed > one.n_changed
+
+
+def test_moved_blocks(spark):
+    long = lambda w: f"{w} " * 120
+    before = parsed(spark, f"<main><section><div>{long('a')}</div></section><div>{long('b')}</div><div>{long('c')}</div><div>{long('c')}</div></main>")
+    after = parsed(spark, f"<main><article><section><div>{long('a')}</div></section></article><div>{long('z')}</div><section>{long('c')}</section></main>")
+    got = B.moved_blocks(before, after, key="page_id").collect()
+    assert [(r.tag, "section" in r.from_path, "article" in r.css_path) for r in got] == [("article", True, True)]
+    assert B.moved_blocks(before, before, key="page_id").count() == 0
+    assert B.moved_blocks(before.where("false"), after, key="page_id").count() == 0
+
+
 def test_outline_and_audit(spark):
     p = parsed(spark, two_pane(card_list(6)))
     text = OL.page_outline(p).first().outline
