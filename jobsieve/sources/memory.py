@@ -28,6 +28,12 @@ def bucket(job_id: Column | str) -> Column:
     return F.pmod(F.xxhash64(job_id), F.lit(STORE_BUCKETS)).cast("int")
 
 
+def bloom_filter(column: str) -> dict[str, str]:
+    """Options for a Bloom filter in each file, the smallest that fits its rows: of 15 sizes, halved from 1 MB. By default each has 1 MB."""
+    return {f"parquet.bloom.filter.enabled#{column}": "true", "parquet.bloom.filter.adaptive.enabled": "true",
+            f"parquet.bloom.filter.candidates.number#{column}": "15"}
+
+
 def _layout(spark: SparkSession, path: str, *folders: str) -> DataFrame:
     """Rows of the whole store, or of some of its folders."""
     reader = spark.read.schema(ddl({**POSTING, "bucket": "int", "write": "string"})).option("basePath", path)
@@ -52,9 +58,13 @@ def write_postings(rows: DataFrame, path: str, token: str) -> None:
     """Add ``rows`` to the store under a write's token. The same rows under the same token again replace themselves.
 
     The files carry Bloom filters of the ids. A batch is dealt by folder in pieces of even size, however its ids and sources are spread.
+    Without adaptive execution, as in a stream with state, Spark drops that hint; a folder's rows then meet in one task, or every task
+    would write a file into each folder.
     """
-    dealt = rows.withColumn("bucket", bucket("job_id")).withColumn("write", F.lit(token)).hint("rebalance", "bucket", "source")
-    (dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("parquet.bloom.filter.enabled#job_id", "true")
+    dealt = rows.withColumn("bucket", bucket("job_id")).withColumn("write", F.lit(token))
+    adaptive = rows.sparkSession.conf.get("spark.sql.adaptive.enabled") == "true"
+    dealt = dealt.hint("rebalance", "bucket", "source") if adaptive else dealt.repartition("bucket", "source")
+    (dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").options(**bloom_filter("job_id"))
      .partitionBy("bucket", "source", "write").parquet(path))
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from jobsieve.operators.dedupe import text_keys
 from jobsieve.sources import snapshots
+from jobsieve.sources.memory import bloom_filter
 from jobsieve.sources.snapshots import Snapshot
 
 FOLDERS = 64  # fixed for a table's life
@@ -42,7 +43,7 @@ def _claims(spark: SparkSession, path: str, writes: Sequence[str], folders: Sequ
 def _write(claims: DataFrame, path: str) -> str:
     write = f"write={uuid.uuid4().hex}"
     (claims.withColumn("folder", _folder("digest")).hint("rebalance", "folder").sortWithinPartitions("folder", "digest")
-     .write.option("parquet.bloom.filter.enabled#digest", "true").partitionBy("folder").parquet(f"{path}/{write}"))
+     .write.options(**bloom_filter("digest")).partitionBy("folder").parquet(f"{path}/{write}"))
     return write
 
 

@@ -100,3 +100,19 @@ def test_batches_equal_one_pass(spark, tmp_path):
         run(spark, src, store, ck)
     want = dedupe_first(spark.createDataFrame(rows, COLS)).collect()
     assert stored(spark, store) == sorted(((r.job_id, r.seq, r.source, r.title) for r in want), key=str)
+
+
+def test_files_are_as_large_as_their_rows(spark, tmp_path):
+    """64 files of a few ids each: no fixed megabyte of Bloom filter in each. Without adaptive execution, as in a stream, a folder gets one file."""
+    def files(path):
+        return [f for f in path.rglob("*.parquet")]
+
+    rows = as_postings(spark.range(640).repartition(8).selectExpr("cast(id as string) as job_id", "id as seq", "'s' as source", "'t' as title"))
+    M.write_postings(rows, str(tmp_path / "store"), "w")
+    assert sum(f.stat().st_size for f in files(tmp_path / "store")) < 4_000_000
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        M.write_postings(rows, str(tmp_path / "plain"), "w")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert len(files(tmp_path / "plain")) <= M.STORE_BUCKETS and len(stored(spark, str(tmp_path / "plain"))) == 640
