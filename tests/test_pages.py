@@ -1,8 +1,12 @@
 """Page structure, header facts, outlines and rule checks on rebuilt pages."""
 
+import random
+
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from jobsieve.functions import elements as EL
 from jobsieve.functions import header as H
 from jobsieve.functions.elements import read_page
 from jobsieve.operators import blocks as B
@@ -279,3 +283,23 @@ def test_page_work_grows_with_the_page(spark):
 
     took(2500)
     assert took(20_000) < 24 * took(2500)  # 64 times if links met links
+
+
+def test_reader_holds_few_pages_at_a_time():
+    """A batch comes back in short pieces, by count and by size, so what Python holds does not grow with the rows of a task."""
+    html = ["<main><p>one</p></main>", None, ""] * 400 + ["<p>" + "x" * 600_000 + "</p>"] * 4
+    made = list(EL.parse_html.func(iter([pa.array(html), pa.array([], type=pa.string())])))
+    assert [len(a) for a in made[-2:]] == [178, 2] and max(map(len, made)) <= EL.SLICE_PAGES
+    assert [row for a in made for row in a.to_pylist()] == pa.array([read_page(h) for h in html], type=made[0].type).to_pylist()
+
+
+def test_plain_markup_reads_as_the_standard_parser_reads_it(monkeypatch):
+    bits = ["<div class='a'>", '<DIV ID="x&amp;y" hidden>', "</div>", "<p>", "</p >", "text &copy <", "</", "<!-- c -->", "<!--a--b-->", "<!-- a", "<!DOCTYPE html>", "<br/>",
+            "<script>var x=\"</p>\";if(a<b){}</script>", "<script>a</b", "<style>p</STYLE>", "<script><!-- a </script>", "</script>", "<li>", "<a href=/jobs/view/2>", '<a b="', '"',
+            '<p a="1"b="2">', '<p A="1" a="2">', '<p x=">" y="<b>">', "<svg/>", "<?pi x>", " \n", "\x1f", "😀", "<td>", "<table>", '<section aria-hidden="true">', "<x-y a>"]
+    rng = random.Random(3)
+    pages = ["".join(rng.choices(bits, k=rng.randint(0, 12))) for _ in range(3000)]
+    assert sum(EL._walk_plain(h) is not None for h in pages) > 100
+    mine = [read_page(h) for h in pages]
+    monkeypatch.setattr(EL, "_walk_plain", lambda html: None)
+    assert mine == [read_page(h) for h in pages]
