@@ -46,9 +46,7 @@ def html_blocks(pages: DataFrame, html: str = "html") -> DataFrame:
     """Pages with ``raw``, ``rendered``, ``els`` (elements, with the job id each names) and ``links``."""
     keep = [c for c in pages.columns if c != html]
     parsed = pages.select(*keep, parse_html(html).alias("_page")).select(*keep, "_page.*")
-    named = F.transform("els", lambda e: e.withField(
-        "job_id", F.when(F.size(e["attrs"]) > 0, H.job_id_from_attrs(e["attrs"]))))
-    return parsed.withColumn("els", named).withColumn("els", _with_links(F.col("els"))).withColumn("links", F.filter("els", _is_job_link))
+    return parsed.withColumn("links", F.filter("els", lambda e: e["is_link"]))
 
 
 def _counts_upto(els: Column, cond) -> Column:
@@ -56,12 +54,6 @@ def _counts_upto(els: Column, cond) -> Column:
     return let(F.transform(els, lambda e: F.coalesce(cond(e), F.lit(False)).cast("int")), running_sums)
 
 
-def _with_links(els: Column) -> Column:
-    """Elements with ``n_links``: the job links below each."""
-    return let(_counts_upto(els, _is_job_link), lambda upto: F.transform(
-        els, lambda e: e.withField("n_links", F.get(upto, e["last"]) - F.get(upto, e["ord"]))))
-
-
 def block_rows(parsed: DataFrame) -> DataFrame:
     """One row per element."""
     keep = [c for c in parsed.columns if c not in ("raw", "rendered", "els", "links")]
@@ -72,14 +64,6 @@ def _attr(e: Column, name: str) -> Column:
     return F.try_element_at(e["attrs"], F.lit(name))
 
 
-def _is_job_link(e: Column) -> Column:
-    href = or_empty(_attr(e, "href"))
-    by_href = (e["tag"] == "a") & href.rlike(r"/jobs/view/|currentJobId=|jobId=")
-    by_attr = reduce(lambda a, b: a | b, [_attr(e, n).isNotNull() for n in H.ID_ATTRS])
-    by_urn = reduce(lambda a, b: a | b, [F.contains(or_empty(_attr(e, n)), F.lit("jobPosting")) for n in H.URN_ATTRS])
-    return e["job_id"].isNotNull() & (by_href | by_attr | by_urn)
-
-
 def _inside(inner: Column, outer: Column) -> Column:
     """``inner`` is ``outer`` or below it."""
     return (inner["ord"] >= outer["ord"]) & (inner["ord"] <= outer["last"])
@@ -166,31 +150,17 @@ def discovery_breakdown(parsed: DataFrame) -> DataFrame:
 
 
 def _list_root(els: Column, links: Column) -> Column:
-    """The element with the most job links below it (ten levels at most), tightest on a tie.
-
-    Each link names its ancestors; sorted, equal ones form runs whose lengths are the counts, so one walk
-    over them finds the winner however many links a page has.
-    """
-    above = F.array_sort(F.flatten(F.transform(links, lambda k: F.filter(
-        _climb(els, k, 10), lambda o: F.get(els, o)["tag"] != "html"))))
-
-    def settle(acc):
-        # Ancestors come in page order: a later one wins with more links, or with as many if it lies inside.
-        tighter = (acc["n"] == acc["best_n"]) & (acc["at"] <= acc["best_last"])
-        better = (acc["n"] > acc["best_n"]) | tighter
-        keep = lambda new, old: F.when(better, new).otherwise(old)
-        return (keep(acc["n"], acc["best_n"]), keep(acc["at"], acc["best"]),
-                keep(F.get(els, acc["at"])["last"], acc["best_last"]))
+    """The element with the most job links below it (ten levels at most, as the reader counts them), tightest on a tie."""
+    able = F.filter(els, lambda e: (e["n_near"] > 0) & (e["tag"] != "html"))
+    slim = F.transform(able, lambda e: F.struct(e["n_near"].alias("n"), e["ord"].alias("at"), e["last"].alias("last")))
 
-    def step(acc, o):
-        n, at, last = settle(acc)
-        return F.when(o == acc["at"], acc.withField("n", acc["n"] + 1)).otherwise(F.struct(
-            o.alias("at"), F.lit(1).alias("n"), n.alias("best_n"), at.alias("best"), last.alias("best_last")))
+    def step(best, e):
+        # In page order: a later one wins with more links, or with as many if it lies inside.
+        return F.when((e["n"] > best["n"]) | ((e["n"] == best["n"]) & (e["at"] <= best["last"])), e).otherwise(best)
 
-    zero = F.struct(F.lit(-1).alias("at"), F.lit(0).alias("n"), F.lit(0).alias("best_n"), F.lit(-1).alias("best"),
-                    F.lit(-1).alias("best_last"))
-    best = F.aggregate(above, zero, step, lambda acc: settle(acc)[1])
-    return F.when((F.size(links) >= 2) & (best >= 0), F.get(els, best))
+    zero = F.struct(F.lit(0).alias("n"), F.lit(-1).alias("at"), F.lit(-1).alias("last"))
+    best = F.when(F.size(links) >= 2, F.aggregate(slim, zero, step, lambda e: e["at"]))
+    return F.get(els, F.when(best >= 0, best))
 
 
 def list_root(parsed: DataFrame) -> DataFrame:
@@ -235,7 +205,7 @@ def _sibling_groups(els: Column, kid_ok, least: int, most: int, cap: int, member
         return F.filter(groups, lambda g: g["members"] >= members)
 
     able = F.filter(els, lambda e: e["parent"].isNotNull() & kid_ok(e) & _can_hold(F.get(els, e["parent"]), least, most))
-    return let(F.array_sort(F.transform(able, slim)), runs)
+    return let(F.sort_array(F.transform(able, slim)), runs)
 
 
 def _card_groups(els: Column) -> Column:
@@ -279,9 +249,9 @@ def best_group(groups: DataFrame, key: str = "page_id") -> DataFrame:
 
 def _one_per_id(ks: Column) -> Column:
     """The first of each job id, in order: sorted by id and place, the first of every run."""
-    placed = F.array_sort(F.filter(F.transform(ks, lambda k, i: F.struct(k["job_id"].alias("id"), i.alias("at"))), lambda p: p["id"].isNotNull()))
+    placed = F.sort_array(F.filter(F.transform(ks, lambda k, i: F.struct(k["job_id"].alias("id"), i.alias("at"))), lambda p: p["id"].isNotNull()))
     firsts = let(placed, lambda ps: F.filter(ps, lambda p, i: (i == 0) | (F.get(ps, i - 1)["id"] != p["id"])))
-    return F.transform(F.array_sort(F.transform(firsts, lambda p: p["at"])), lambda at: F.get(ks, at))
+    return F.transform(F.sort_array(F.transform(firsts, lambda p: p["at"])), lambda at: F.get(ks, at))
 
 
 def with_cards(parsed: DataFrame) -> DataFrame:

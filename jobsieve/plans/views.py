@@ -165,7 +165,7 @@ def search_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         data.alias("v5_processed_job_data"))
     # Ten consecutive keys to a page, so a page's list is small by construction.
     pages = p.select(F.floor(k / 10).cast("bigint").alias("page_no"), k.alias("k"), hit.alias("hit")).groupBy(
-        "page_no").agg(F.array_sort(F.collect_list(F.struct("k", F.to_json("hit").alias("j")))).alias("h"))
+        "page_no").agg(F.sort_array(F.collect_list(F.struct("k", F.to_json("hit").alias("j")))).alias("h"))
     n = F.col("page_no")
     props = F.concat(
         F.lit('{"props":{"pageProps":{"ssrPage":'), n.cast("string"), F.lit(',"ssrTotalCount":'),
@@ -198,7 +198,7 @@ def board_pages(spark: SparkSession, sf_dir: str, marker: str = "reliable") -> D
         F.lit('<li data-job-id="'), "job_id", F.lit('"><a href="/jobs/view/'), "job_id", F.lit('/">'), "title",
         F.lit("</a><span>"), "company", F.lit(" located in "), "location", F.lit("</span></li>"))
     grouped = p.withColumn("page_id", F.floor(k / 10).cast("bigint")).groupBy("page_id").agg(
-        F.array_sort(F.collect_list(F.struct(k.alias("k"), card.alias("card")))).alias("cards"),
+        F.sort_array(F.collect_list(F.struct(k.alias("k"), card.alias("card")))).alias("cards"),
         F.min_by(F.struct("title", "company", "location", "posted_days_ago", "applicants", "workplace_type",
                           "apply_type", "job_id", "pay_min_annual"), k).alias("s"))
     s = lambda c: F.col(f"s.{c}")

@@ -303,3 +303,40 @@ def test_plain_markup_reads_as_the_standard_parser_reads_it(monkeypatch):
     mine = [read_page(h) for h in pages]
     monkeypatch.setattr(EL, "_walk_plain", lambda html: None)
     assert mine == [read_page(h) for h in pages]
+
+
+def test_reader_names_jobs_and_counts_links_as_the_rules_say(spark):
+    """Ids, links and lists come with the elements: nothing is worked out again per element after the reader."""
+    rng = random.Random(11)
+    names = [*H.ID_ATTRS, *H.URN_ATTRS, "href", "class"]
+    values = ["", " 12 ", "12", "12\n", "1\r\n", "12\n\n", "x1", "٣", "urn:jobPosting:77", "urn:jobPosting:٣", "jobPosting", "/jobs/view/5/?currentJobId=6",
+              "/jobs/view/", "?jobId=8", "/jobs/123456", "/jobs/12345", "/x?a=1&currentJobId=9"]
+    tags = ["a", "li", "div", "ul", "section", "p"]
+    pages = []
+    for _ in range(300):
+        bits = [f"<{rng.choice(tags)} " + " ".join(f'{n}="{rng.choice(values)}"' for n in rng.sample(names, 2)) + ">" if rng.random() < 0.6 else rng.choice(["</a>", "</div>", "</ul>", "<div>", "x"])
+                for _ in range(rng.randint(1, 30))]
+        pages.append("<html><body>" + "".join(bits))
+    df = B.list_root(parsed(spark, *pages))
+    rows = df.withColumn("ids", F.transform("els", lambda e: F.when(F.size(e["attrs"]) > 0, H.job_id_from_attrs(e["attrs"])))).collect()
+    lists = 0
+    for r in rows:
+        assert [e.job_id for e in r.els] == r.ids
+        links = [e for e in r.els if e.job_id is not None and (
+            e.tag == "a" and any(p in e.attrs.get("href", "") for p in ("/jobs/view/", "currentJobId=", "jobId="))
+            or any(n in e.attrs for n in H.ID_ATTRS) or any("jobPosting" in e.attrs.get(n, "") for n in H.URN_ATTRS))]
+        assert [k.ord for k in r.links] == [k.ord for k in links]
+        near = [0] * len(r.els)
+        for k in links:
+            at = k.parent
+            for _ in range(10):
+                if at is None:
+                    break
+                near[at], at = near[at] + 1, r.els[at].parent
+        best = None
+        for e in r.els:
+            if near[e.ord] and e.tag != "html" and (best is None or near[e.ord] > near[best.ord] or (near[e.ord] == near[best.ord] and e.ord <= best["last"])):
+                best = e
+        assert (r.root and r.root.ord) == (best.ord if best and len(links) >= 2 else None)
+        lists += r.root is not None
+    assert lists > 50 and any(r.ids[0] is None for r in rows)
