@@ -28,7 +28,7 @@ PERIOD_WORDS = {
 PER_YEAR = {"year": 1, "month": 12, "week": 52, "day": 260, "hour": 2080}
 
 MONEY = rx(
-    r"(?![a-z])(?:(" + CURRENCY_CODES + r"){S}*)?([$€£₹])?{S}?"
+    r"(?![a-z]|[ -#%-/:-@](?!\d))(?:(" + CURRENCY_CODES + r"){S}*)?([$€£₹])?{S}?"
     r"(\d{1,3}(?:,\d{3})+|\d+(?:\.\d{1,2})?){S}*(k|K)?"
 )
 STRICT_K_MONEY = MONEY.replace("(k|K)?", "((?:k|K)(?![A-Za-z0-9_]))?")
@@ -37,13 +37,13 @@ RANGE_GAP = rx(
 )
 NOT_PAY_AFTER = rx(r"^{S}*(?:million|billion|bn{B}|mm{B})", True)
 NOT_PAY_NEAR = rx(
-    r"revenue|funding|raised|valuation|market cap|budget of|assets under|in sales|grant|award of|deductible"
-    r"|premium of|401{S}*\(?k\)?|copay", True
+    r"(?=[abcdfgimprv4][aenorsuw0])(?:revenue|funding|raised|valuation|market cap|budget of|assets under|in sales|grant|award of"
+    r"|deductible|premium of|401{S}*\(?k\)?|copay)", True
 )
 PAY_CUE = rx(
-    r"salary|salaries|compensation|pay range|pay rate|base pay|base salary|hourly rate|rate of pay|remuneration"
-    r"|total rewards|total compensation|annual(?:ized)? (?:pay|rate)|per year|per hour|/{S}*yr|/{S}*hr"
-    r"|expected pay|target pay|pay band|wage", True
+    r"(?=[abcehprstw][aenox]|/)(?:salar(?:y|ies)|compensation|pay (?:range|rate|band)|base (?:pay|salary)|hourly rate|rate of pay"
+    r"|remuneration|total (?:rewards|compensation)|annual(?:ized)? (?:pay|rate)|per (?:year|hour)|/{S}*[yh]r"
+    r"|expected pay|target pay|wage)", True
 )
 YEARS_NUMERIC = rx(
     r"(\d{1,2}){S}*(\+|plus)?{S}*(?:(?:-|–|—|to){S}*(\d{1,2}){S}*(?:\+|plus)?{S}*)?(?:years?|yrs?\.?){B}", True
@@ -88,8 +88,9 @@ ONSITE = [
 ]
 # ---- end of fixed values ----
 
-_MONEY_HINT = rx(r"[$€£₹]|\d,\d{3}|\d{S}*[kK]|" + CURRENCY_CODES)
+_MONEY_HINT = rx(r"(?![a-z -#%-/:-@])(?:[$€£₹]|\d,\d{3}|\d{S}*[kK]|" + CURRENCY_CODES + ")")
 _YEARS_HINT = "(?i)year|yr"
+_PERIOD_AT_END = r"[A-Za-z]+\z"
 _PERIOD_IN_TAIL = rx(r"(?s)^.*?{B}(" + "|".join(sorted(PERIOD_WORDS, key=len, reverse=True)) + "){B}", True)
 
 
@@ -172,12 +173,15 @@ def cue_pay(text: Column | Sliced, start: Column, tail: Column) -> Column:
 
 def pay_period(after: Column, probe: Column) -> Column:
     """``struct<period, explicit, upto>``: stated right after the figure, else inferred from size, else null."""
-    stated = _lookup(PERIOD_WORDS, F.lower(F.regexp_extract(after, _PERIOD_IN_TAIL, 1)))
-    return F.struct(
-        F.coalesce(stated, F.when(probe >= 1000, "year").when(probe <= 200, "hour")).alias("period"),
-        stated.isNotNull().alias("explicit"),
-        F.length(F.regexp_extract(after, _PERIOD_IN_TAIL, 0)).alias("upto"),
-    )
+
+    def read(upto):
+        # The match ends with the word: the first that fits, longest first, so it is the longest that ends the match.
+        stated = F.when(upto != "", _lookup(PERIOD_WORDS, F.lower(F.regexp_extract(upto, _PERIOD_AT_END, 0))))
+        return let(stated, lambda s: F.struct(
+            F.coalesce(s, F.when(probe >= 1000, "year").when(probe <= 200, "hour")).alias("period"),
+            s.isNotNull().alias("explicit"), F.length(upto).alias("upto")))
+
+    return let(F.regexp_extract(after, _PERIOD_IN_TAIL, 0), read)
 
 
 def pay_candidates(text: Column | str, strict_k: bool = False) -> Column:
