@@ -73,6 +73,11 @@ def _below(inner: Column, outer: Column) -> Column:
     return (inner["ord"] > outer["ord"]) & (inner["ord"] <= outer["last"])
 
 
+def _inner(els: Column, outer: Column) -> Column:
+    """The elements below ``outer``: in page order they follow it directly. Null for a null ``outer``."""
+    return F.slice(els, outer["ord"] + 2, outer["last"] - outer["ord"])
+
+
 def _overlap(a: Column, b: Column) -> Column:
     return F.coalesce(_inside(a, b) | _inside(b, a), F.lit(False))
 
@@ -458,7 +463,8 @@ def _scopes(els: Column, near: Column, pane: Column) -> Column:
 
 
 def _title(els: Column, near: Column, pane: Column, root: Column) -> Column:
-    heads = F.filter(els, lambda e: e["tag"].isin("h1", "h2", "h3") | (or_empty(_attr(e, "role")) == "heading"))
+    # Every scope is the pane or lies in it.
+    heads = F.filter(_inner(els, pane), lambda e: e["tag"].isin("h1", "h2", "h3") | (or_empty(_attr(e, "role")) == "heading"))
 
     def usable(e):
         return F.coalesce(~e["in_chrome"] & ~_in_list(e, root) & H.looks_like_title(e["text"]), F.lit(False))
@@ -475,7 +481,7 @@ def _title(els: Column, near: Column, pane: Column, root: Column) -> Column:
 
 
 def _company(els: Column, near: Column, pane: Column, root: Column) -> Column:
-    named = F.filter(els, lambda e: (e["tag"] == "a") & F.contains(or_empty(_attr(e, "href")), F.lit("/company/"))
+    named = F.filter(_inner(els, pane), lambda e: (e["tag"] == "a") & F.contains(or_empty(_attr(e, "href")), F.lit("/company/"))
                      & ~_in_list(e, root) & ~e["in_chrome"] & (H.company_text(e["text"]) != ""))
     return F.when(near.isNotNull(), let(named, lambda cs: _first_result(
         _scopes(els, near, pane), lambda s: _first_match(cs, lambda c: _below(c, s)))))
@@ -487,7 +493,7 @@ def _top_card(els: Column, title: Column) -> Column:
 
 
 def _pills(els: Column, scope: Column, desc: Column, root: Column) -> Column:
-    own = F.filter(els, lambda e: e["tag"].isin(*PILL_TAGS) & _below(e, scope) & ~_in_list(e, desc)
+    own = F.filter(_inner(els, scope), lambda e: e["tag"].isin(*PILL_TAGS) & ~_in_list(e, desc)
                    & ~_in_list(e, root) & ~e["in_chrome"] & (e["own_text"] != "") & (F.length(e["own_text"]) <= 40))
     none = F.array().cast("array<string>")
     return F.when(scope.isNotNull(), F.array_distinct(F.transform(own, lambda e: e["own_text"]))).otherwise(none)
@@ -495,7 +501,7 @@ def _pills(els: Column, scope: Column, desc: Column, root: Column) -> Column:
 
 def _meta_line(els: Column, scope: Column, desc: Column) -> Column:
     """Most middot parts, shortest on a tie, first in the page after that; an age line counts as one part."""
-    near = F.filter(els, lambda e: e["tag"].isin(*META_TAGS) & _below(e, scope) & ~_overlap(e, desc)
+    near = F.filter(_inner(els, scope), lambda e: e["tag"].isin(*META_TAGS) & ~_overlap(e, desc)
                     & ~e["in_chrome"] & e["norm_len"].between(1, 200))
 
     def rate(e):
@@ -517,9 +523,10 @@ def _apply_control(els: Column, scope: Column, root: Column) -> Column:
         test = lambda p: own.rlike(p) | aria.rlike(p)
         return F.when(test(rx("^easy apply{B}", True)), 2).when(test(rx("^apply{B}", True)), 1)
 
-    able = F.filter(els, lambda e: ((e["tag"] == "button") | ((e["tag"] == "a") & _attr(e, "href").isNotNull())
+    within = F.when(scope.isNull(), els).otherwise(_inner(els, scope))
+    able = F.filter(within, lambda e: ((e["tag"] == "button") | ((e["tag"] == "a") & _attr(e, "href").isNotNull())
                                     | (or_empty(_attr(e, "role")) == "button"))
-                    & (scope.isNull() | _below(e, scope)) & ~_in_list(e, root) & says(e).isNotNull())
+                    & ~_in_list(e, root) & says(e).isNotNull())
     return let(able, lambda cs: F.coalesce(_first_match(cs, lambda c: says(c) == 2), _first(cs)))
 
 
