@@ -7,9 +7,10 @@ R-tree over the points so rules out whole branches; the sets of surviving pairs
 In so many dimensions one tree over all documents prunes too little: unrelated long texts of one size lie as near to each
 other in any few coordinates as copies do. So trees are built per bucket. Sets of similarity 0.8 share one of the rarest
 fifth (and one) of their shingles, in any fixed order of all shingles; the order here is by a counter table over all
-documents. A bucket is what shares such a shingle. First every member of a bucket is held against its smallest one, which
-settles most of a group of copies without its pairs. Then come rounds over the buckets that are still in several
-components: from their trees every component takes its nearest candidates in other components, those are verified, and
+documents. A bucket is what shares such a shingle. A set that many shingles of that order precede there, or whose size is
+unlike all others', has no partner in the bucket and leaves it. First every member of a bucket is held against its smallest
+one, which settles most of a group of copies without its pairs. Then come rounds over the buckets that are still in several
+components, but those of two sets: from their trees every component takes its nearest candidates in other components, those are verified, and
 components grow together. The number it takes grows from round to round until no tree had to leave one out, so that no
 link is lost, and a component that has found its group makes no further pairs with it.
 """
@@ -84,6 +85,19 @@ def shingle_counters(texts: DataFrame) -> np.ndarray:
     return out.ravel()
 
 
+def pack_counts(counts: np.ndarray) -> bytes:
+    """Counts per group in the fewest bytes each that hold them all; the length tells how many."""
+    return counts.astype(f"<u{1 if (most := counts.max()) < 256 else 2 if most < 65536 else 4}").tobytes()
+
+
+def unpack_counts(packed: list[bytes]) -> np.ndarray:
+    """A row of counts per group for each of ``packed``."""
+    out = np.zeros((len(packed), GROUPS), np.uint32)
+    for k, one in enumerate(packed):
+        out[k] = np.frombuffer(one, f"<u{len(one) // GROUPS}")
+    return out
+
+
 def _sketcher(counters: np.ndarray, bits: int):
     def sketch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, seen = Kept(xxhash.xxh64_intdigest), Kept(lambda _: True)
@@ -98,7 +112,7 @@ def _sketcher(counters: np.ndarray, bits: int):
                     keys = s[order[: n - (4 * n + 4) // 5 + 1]].view(np.int64)
                     seen[one, two]
                 counts = np.bincount((s & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS)
-                rows.append((n, one, two, keys, counts.astype("<u4").tobytes()))
+                rows.append((n, one, two, keys, pack_counts(counts)))
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
             columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "n", "raw", "proof", "keys", "counts"])
@@ -106,31 +120,86 @@ def _sketcher(counters: np.ndarray, bits: int):
     return sketch
 
 
-def _runs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows in order of (key, id): every id that is not its key's first, with that first one as its leader. A run at
-    either end of the partition may go on elsewhere: its leader is told, as an edge."""
-    names = ["key", "id", "leader", "edge"]
+def _fits(n: np.ndarray, room: np.ndarray, m: np.ndarray, space: np.ndarray) -> np.ndarray:
+    """Whether sets of ``n`` and ``m`` shingles can be similar, if no common shingle comes before the one that both are
+    here for. ``room`` is ``5 * n - 9 * pos``: of a set at most ``n - pos`` shingles are shared."""
+    return (4 * m <= room) & (4 * n <= space)
+
+
+def _live(n: np.ndarray, room: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Which rows fit another one of their run. In a long run a row may count as its own partner, which only keeps more."""
+    live = np.zeros(len(n), bool)
+    for length in np.unique(lengths).tolist():
+        own = starts[lengths == length]
+        if length <= LEAF:
+            step = max(1, (1 << 20) // length**2)
+            for k in range(0, len(own), step):
+                at = own[k: k + step, None] + np.arange(length)
+                fits = _fits(n[at][:, :, None], room[at][:, :, None], n[at][:, None], room[at][:, None])
+                fits[:, np.arange(length), np.arange(length)] = False
+                live[at] = fits.any(2)
+        else:
+            for start in own.tolist():
+                part = slice(start, start + length)
+                order = np.argsort(n[part])
+                most = np.maximum.accumulate(room[part][order])  # of all sets up to a size
+                upto = np.searchsorted(4 * n[part][order], room[part], "right")
+                live[part] = (upto > 0) & (most[np.maximum(upto, 1) - 1] >= 4 * n[part])
+    return live
+
+
+def _run_starts(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First rows and lengths of the runs of equal keys."""
+    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    return starts, np.diff(np.append(starts, len(key)))
 
-    def rows(key, ident, leader, edge) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(ident, pa.int64()), pa.array(leader, pa.int64()),
-                                           pa.array(np.full(len(key), edge))], names=names)
 
-    last = None  # key, leader and id of the row before
+def _runs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From ``(key, id, n * 2**32 + pos)`` in order of key and id: every id that fits another one of its key (see ``_fits``), but the
+    first of them, with that first one as its leader, and whether the two fit. Similar sets fit where their first common
+    shingle is the key. A run at either end of the partition may go on elsewhere: all its ids stay, and its leader is told
+    as an edge."""
+
+    def rows(key, ident, leader, fits, edge) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(ident, pa.int64()), pa.array(leader, pa.int64()), pa.array(fits),
+                                           pa.array(np.full(len(key), edge))], names=["key", "id", "leader", "fits", "edge"])
+
+    def inner(key, ident, n_pos) -> pa.RecordBatch:
+        once = np.ones(len(key), bool)
+        once[1:] = (key[1:] != key[:-1]) | (ident[1:] != ident[:-1])
+        key, ident, n, pos = key[once], ident[once], n_pos[once] >> 32, n_pos[once] & 0xFFFFFFFF
+        room = 5 * n - 9 * pos
+        starts, lengths = _run_starts(key)
+        live = _live(n, room, starts[lengths > 1], lengths[lengths > 1])
+        key, ident, n, room = key[live], ident[live], n[live], room[live]
+        starts, lengths = _run_starts(key)
+        first = np.repeat(starts, lengths)
+        found = first != np.arange(len(key))
+        fits = _fits(n, room, n[first], room[first])
+        return rows(key[found], ident[found], ident[first][found], fits[found], False)
+
+    def outer(key, ident) -> Iterator[pa.RecordBatch]:
+        found = ident[1:][ident[1:] != ident[:-1]]
+        yield rows(key[:1], ident[:1], ident[:1], np.ones(1, bool), True)
+        yield rows(key[: len(found)], found, np.full(len(found), ident[0]), np.ones(len(found), bool), False)
+
+    held: list[list[np.ndarray]] = []
+    begun = False
     for batch in batches:
-        key, ident = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        if not len(key):
+        if not batch.num_rows:
+            continue
+        held.append([c.to_numpy() for c in batch.columns])
+        if held[0][0][0] == held[-1][0][-1]:  # one run so far
             continue
-        if last is None:
-            yield rows(key[:1], ident[:1], ident[:1], True)
-        goes_on = np.concatenate([[last is not None and key[0] == last[0]], key[1:] == key[:-1]])
-        again = goes_on & np.concatenate([[last is not None and ident[0] == last[2]], ident[1:] == ident[:-1]])
-        start = np.maximum.accumulate(np.where(goes_on, -1, np.arange(len(key))))
-        leader = np.where(start >= 0, ident[np.maximum(start, 0)], last[1] if last else 0)
-        found = goes_on & ~again
-        yield rows(key[found], ident[found], leader[found], False)
-        last = int(key[-1]), int(leader[-1]), int(ident[-1])
-    if last is not None:
-        yield rows(*(np.array([x]) for x in (last[0], last[1], last[1])), True)
+        table = [np.concatenate(c) for c in zip(*held, strict=True)]
+        low = 0 if begun else int(np.searchsorted(table[0], table[0][0], "right"))
+        high = int(np.searchsorted(table[0], table[0][-1]))
+        if not begun:
+            yield from outer(*(c[:low] for c in table[:2]))
+        yield inner(*(c[low:high] for c in table))
+        held, begun = [[c[high:] for c in table]], True
+    if held:
+        yield from outer(*(np.concatenate(c) for c in list(zip(*held, strict=True))[:2]))
 
 
 # --- the tree ------------------------------------------------------------------------------------------------------
@@ -255,12 +324,13 @@ def _key_sets(table: pa.Table):
 
 def _pairs_of(table: pa.Table, starts: np.ndarray, top: int) -> pa.RecordBatch:
     sizes, comps, ids, block, i, j = (table[c].to_numpy() for c in ("n", "comp", "id", "block", "i", "j"))
-    points = np.frombuffer(b"".join(table["counts"].to_pylist()), "<u4").reshape(-1, GROUPS)
+    points = unpack_counts(table["counts"].to_pylist())
     boxes = points.reshape(-1, TREE_GROUPS, GROUPS // TREE_GROUPS).sum(2)
-    ends = np.append(starts[1:], table.num_rows)
+    ends = np.append(starts, table.num_rows)[1:]
     two = starts[(ends - starts == 2) & (i[starts] == j[starts])] if len(starts) else starts
     two = two[comps[two] != comps[two + 1]]
-    found, left_out = list(_close(points, sizes, two, two + 1)), False
+    key, cuts = table["key"].to_numpy(), []
+    found = list(_close(points, sizes, two, two + 1))
     none = np.zeros(0, np.int64)
     for start, end in zip(starts.tolist(), ends.tolist(), strict=True):
         if end - start == 2 and i[start] == j[start]:
@@ -272,7 +342,7 @@ def _pairs_of(table: pa.Table, starts: np.ndarray, top: int) -> pa.RecordBatch:
             names, sizes_of = np.unique(comps[start:end], return_counts=True)
             most = comps[start:end] == names[sizes_of.argmax()]
             sides = [(rows[~most], None), (rows[~most], rows[most])]
-        own, held = [(none, none, none.astype(float))], 0
+        own, held, left_out = [(none, none, none.astype(float))], 0, False
         for left, right in sides:
             if not len(left) or (right is not None and not len(right)):
                 continue
@@ -285,30 +355,30 @@ def _pairs_of(table: pa.Table, starts: np.ndarray, top: int) -> pa.RecordBatch:
                     own, held, left_out = [best], 0, left_out or cut
         best, cut = _nearest(own, comps, ids, top)
         found.append(best)
-        left_out = left_out or cut
+        if left_out or cut:
+            cuts.append(int(key[start]))
     a, b, bound = (np.concatenate([f[k] for f in found]) for k in range(3)) if found else (none, none, none.astype(float))
     # Two sets often share many buckets: the pair leaves the one with their smallest common key only.
-    key, own_keys = table["key"].to_numpy(), _key_sets(table)
+    own_keys = _key_sets(table)
     first = np.fromiter((min(own_keys(x) & own_keys(y)) == k for x, y, k in zip(a.tolist(), b.tolist(), key[a].tolist(), strict=True)), bool, len(a))
     a, b, bound = a[first], b[first], bound[first]
     swap = ids[a] < ids[b]
     a, b = np.where(swap, b, a), np.where(swap, a, b)
     columns = [pa.array(x) for x in (ids[a], ids[b], comps[a], comps[b], bound)]
-    out = pa.RecordBatch.from_arrays([*columns, pa.array(np.zeros(len(a), bool))], names=["a", "b", "ca", "cb", "bound", "cut"])
-    if not left_out:
-        return out
-    mark = pa.RecordBatch.from_arrays([pa.nulls(1, c.type) for c in columns] + [pa.array([True])], names=out.schema.names)
-    return pa.Table.from_batches([out, mark]).combine_chunks().to_batches()[0]
+    marks = [pa.nulls(len(cuts), c.type) for c in columns]
+    keys, cut = pa.array([*key[a].tolist(), *cuts], pa.int64()), pa.array(np.repeat([False, True], [len(a), len(cuts)]))
+    return pa.RecordBatch.from_arrays([keys, *(pa.concat_arrays(c) for c in zip(columns, marks, strict=True)), cut],
+                                      names=["key", "a", "b", "ca", "cb", "bound", "cut"])
 
 
 def _bounded(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs whose coordinate minima add up to enough."""
     for batch in batches:
         if batch.num_rows:
-            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), "<u4").reshape(-1, GROUPS) for k in (4, 5))
-            total = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+            x, y = (unpack_counts(batch.column(k).to_pylist()) for k in ("nac", "nbc"))
+            total = batch.column("na").to_numpy() + batch.column("nb").to_numpy()
             keep = 9 * np.minimum(x, y).sum(1, dtype=np.int64) >= 4 * total
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in batch.columns[:4]], names=["a", "b", "na", "nb"])
+            yield batch.filter(pa.array(keep)).drop_columns(["nac", "nbc"])
 
 
 def _set_reader(wanted_bits: np.ndarray, bits: int):
@@ -367,46 +437,48 @@ class ShingleJoin:
             sets = stored(sets.join(shared, "id", "left").withColumn("id", F.when(moves, F.xxhash64(F.lit(salt), "raw", "proof")).otherwise(F.col("id"))).drop("stays"), "shingle-sets")
 
     def buckets(self) -> DataFrame:
-        """``(key, id, leader, edge)``, see ``_runs``. Ranges are cut by key and id, so that a key with very many sets is split."""
-        keys = self.rows.select(F.explode("keys").alias("key"), "id")
-        return stored(keys.repartitionByRange("key", "id").sortWithinPartitions("key", "id").mapInArrow(_runs, "key long, id long, leader long, edge boolean"), "buckets")
+        """``(key, id, leader, fits, edge)``, see ``_runs``. Ranges are cut by key and id, so that a key with very many sets is split."""
+        keys = self.rows.select(F.posexplode("keys").alias("pos", "key"), "id", "n").select("key", "id", (F.shiftleft("n", 32) + F.col("pos")).alias("n_pos"))
+        return stored(keys.repartitionByRange("key", "id").sortWithinPartitions("key", "id")
+                      .mapInArrow(_runs, "key long, id long, leader long, fits boolean, edge boolean"), "buckets")
 
     def verify(self, pairs: DataFrame) -> DataFrame:
         """Of distinct ``(a, b)``, those of similarity 0.8 or more. Sets are read again from the texts of the ids in question only."""
-        of = lambda c, n: self.sets.select(F.col("id").alias(c), F.col("n").alias(n), F.col("counts").alias(f"{n}c"))
-        sized = pairs.join(of("a", "na"), "a").join(of("b", "nb"), "b").where("5 * na >= 4 * nb and 5 * nb >= 4 * na")
-        close = stored(sized.select("a", "b", "na", "nb", "nac", "nbc").mapInArrow(_bounded, "a long, b long, na long, nb long"), "close-pairs")
+        of = lambda c: self.met.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("counts").alias(f"n{c}c"), F.col("raw").alias(f"raw{c}"), F.col("proof").alias(f"proof{c}"))
+        sized = pairs.select("a", "b").join(of("a"), "a").join(of("b"), "b").where("5 * na >= 4 * nb and 5 * nb >= 4 * na")
+        names = ["a", "b", "na", "nb", "rawa", "proofa", "rawb", "proofb"]
+        close = stored(sized.select(*names, "nac", "nbc").mapInArrow(_bounded, ", ".join(f"{c} long" for c in names)), "close-pairs")
         ids = stored(close.select(F.col("a").alias("id")).union(close.select("b")).distinct()
-                     .join(self.sets.select("id", "raw", "proof", "first_id"), "id").select("id", "raw", "proof", _id_hash("first_id").alias("h")), "wanted-sets")
-        bits = hash_filter(ids, "h")
-        read = stored(self.docs.select(_id_hash("doc_id").alias("h"), "text").mapInArrow(_set_reader(bits, self.id_bits), "raw long, proof long, shingles array<bigint>")
-                      .join(ids.select("raw", "proof", "id"), ["raw", "proof"]).select("id", "shingles"), "read-sets")
-        both = (close.join(read.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
-                .join(read.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b"))
+                     .join(self.met.select("id", "first_id"), "id").select(_id_hash("first_id").alias("h")), "wanted-sets")
+        bits = hash_filter(ids, "h", 64)
+        read = stored(self.docs.select(_id_hash("doc_id").alias("h"), "text").mapInArrow(_set_reader(bits, self.id_bits), "raw long, proof long, shingles array<bigint>"), "read-sets")
+        side = lambda c, x: read.select(F.col("raw").alias(f"raw{c}"), F.col("proof").alias(f"proof{c}"), F.col("shingles").alias(x))
+        both = close.join(side("a", "x"), ["rawa", "proofa"]).join(side("b", "y"), ["rawb", "proofb"])
         return stored(both.where(9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.col("na") + F.col("nb"))).select("a", "b").distinct(), "links")
 
     def leader_pairs(self, buckets: DataFrame) -> DataFrame:
         """Every member with its leader, and the leaders of a bucket that lies in several partitions with the smallest of them."""
         edges = buckets.where("edge").select("key", "leader").distinct()
         tops = edges.groupBy("key").agg(F.min("leader").alias("top"), F.count(F.lit(1)).alias("n")).where("n > 1")
-        across = edges.join(tops, "key").where("leader <> top").select("key", F.col("leader").alias("id"), F.col("top").alias("leader"))
-        return buckets.where("not edge").select("key", "id", "leader").union(across)
+        across = edges.join(tops, "key").where("leader <> top").select("key", F.col("leader").alias("id"), F.col("top").alias("leader"), F.lit(True).alias("fits"))
+        return buckets.where("not edge").select("key", "id", "leader", "fits").union(across)
 
-    def open_members(self, led: DataFrame, stars: DataFrame, labels: DataFrame) -> DataFrame:
-        """``(key, id)`` of the buckets in several components. Buckets of the same sets are one."""
+    def open_members(self, led: DataFrame, labels: DataFrame) -> DataFrame:
+        """``(key, id)`` of the buckets in several components. Buckets of the same sets are one; of two sets, their pair is tried."""
         comp = lambda c, n: labels.select(F.col("id").alias(c), F.col("comp").alias(n))
-        apart = (stars.join(comp("a", "ca"), "a", "left").join(comp("b", "cb"), "b", "left")
+        met = led.select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct()
+        apart = (met.join(comp("a", "ca"), "a", "left").join(comp("b", "cb"), "b", "left")
                  .where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select(F.col("a").alias("id"), F.col("b").alias("leader")))
         open_keys = stored(led.join(stored(apart, "apart"), ["id", "leader"], "left_semi").select("key").distinct(), "open-keys")
         rows = led.join(open_keys, "key", "left_semi")
         members = stored(rows.select("key", "id").union(rows.select("key", F.col("leader"))).distinct(), "members")
         marks = members.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("lo"), F.max("id").alias("hi"),
                                            F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("sum"))
-        return stored(members.join(marks.groupBy("c", "lo", "hi", "sum").agg(F.min("key").alias("key")).select("key"), "key", "left_semi"), "open-members")
+        return stored(members.join(marks.where("c > 2").groupBy("c", "lo", "hi", "sum").agg(F.min("key").alias("key")).select("key"), "key", "left_semi"), "open-members")
 
     def tree_candidates(self, rows: DataFrame, labels: DataFrame, top: int) -> tuple[DataFrame, DataFrame]:
         """``rows`` of the buckets that still are in several components, and the ``top`` nearest pairs of every component
-        there. A row whose ``cut`` is true says that a tree left others out."""
+        there. A row whose ``cut`` is true says that a tree of its bucket left others out."""
         named = stored(rows.join(labels, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp")), "named-members")
         parts = named.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(
             F.sum("c").alias("c"), F.max(F.struct("c", "comp")).alias("most"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
@@ -416,7 +488,7 @@ class ShingleJoin:
                              F.when(whole, 1).otherwise(F.ceil((F.col("c") - F.col("most.c")) / BLOCK)).cast("int").alias("theirs"))
         left = stored(named.join(parts, "key"), "open-members")
         own = left.groupBy("id", "comp").agg(F.collect_list("key").alias("keys"))  # no more than a set's rarest fifth
-        sets = own.join(self.sets.select("id", "n", "counts"), "id").drop("comp")
+        sets = own.join(self.met.select("id", "n", "counts"), "id").drop("comp")
         ours = (F.col("ours") > 0) & (F.col("comp") == F.col("most"))
         h, last = F.xxhash64("id"), F.col("ours") + F.col("theirs") - 1
         points = left.join(sets, "id").select(
@@ -424,28 +496,32 @@ class ShingleJoin:
             F.explode(F.sequence(F.when(ours, F.col("ours")).otherwise(F.lit(0)), last)).alias("other"))
         pairs = (points.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("other")
                  .repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-                 .mapInArrow(_trees(top), "a long, b long, ca long, cb long, bound double, cut boolean"))
+                 .mapInArrow(_trees(top), "key long, a long, b long, ca long, cb long, bound double, cut boolean"))
         return left.select("key", "id"), stored(pairs, "tree-pairs")
 
     def labels(self) -> DataFrame:
         """``(id, comp)`` of all sets with a link to another one: enough links are verified to know every component whole."""
         led = self.leader_pairs(self.buckets())
-        stars = stored(led.select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct(), "leader-pairs")
+        ids = led.select("id").union(led.select("leader")).distinct()
+        self.met = stored(self.sets.join(ids, "id", "left_semi"), "met-sets")
+        stars = stored(led.where("fits").select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct(), "leader-pairs")
         labels, tried, top = components(self.verify(stars)), stars, 1
-        rows = self.open_members(led, stars, labels)
+        rows = self.open_members(led, labels)
         while True:
             rows, pairs = self.tree_candidates(rows, labels, top)
             fresh = stored(pairs.where("not cut").join(tried, ["a", "b"], "left_anti"), "fresh-pairs")
             sides = fresh.select("a", "b", "bound", F.explode(F.array("ca", "cb")).alias("comp"))
             place = F.row_number().over(Window.partitionBy("comp").orderBy(F.desc("bound"), "a", "b"))
             best = stored(sides.withColumn("place", place).where(F.col("place") <= top).select("a", "b").distinct(), "best-pairs")
-            n = best.count()
-            if n:
+            if best.limit(1).count():
                 links = self.verify(best)
                 if links.limit(1).count():
                     labels = components(labels.select(F.col("id").alias("a"), F.col("comp").alias("b")).union(links))
                 tried = tried.union(best)
-            if n == fresh.count() and not pairs.where("cut").limit(1).count():
+            # A bucket goes on if its trees or the ranking left out a pair; all pairs of others are tried.
+            waiting = fresh.join(best, ["a", "b"], "left_anti").select("key").union(pairs.where("cut").select("key")).distinct()
+            rows = stored(rows.join(waiting, "key", "left_semi"), "open-members")
+            if not rows.limit(1).count():
                 return labels
             top *= GROWTH
 

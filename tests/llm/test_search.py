@@ -176,6 +176,51 @@ def test_pairs_grow_with_a_group_of_near_copies(docs_of, monkeypatch):
     assert totals[800] < 2.5 * totals[400] and totals[800] < 4 * 800
 
 
+def test_texts_that_only_share_a_rare_passage_meet_no_more(docs_of, monkeypatch):
+    """Pairs and threes of unlike texts with a passage in common: none is verified, none goes through the trees."""
+    rng = random.Random(6)
+    word = lambda: rng.choice("abcdefghij") + str(rng.randint(0, 100000))
+    rows = []
+    for k in range(60):
+        passage = [word() for _ in range(7)]
+        for n in (30, 60, 120)[: 2 + k % 2]:
+            rows.append((len(rows), " ".join([word() for _ in range(n)] + passage + [word() for _ in range(n)]), "s"))
+    verified, opened = [], []
+    verify, members = count_rtree.ShingleJoin.verify, count_rtree.ShingleJoin.open_members
+
+    def noted(self, *args):
+        found = members(self, *args)
+        opened.append(found.count())
+        return found
+
+    monkeypatch.setattr(count_rtree.ShingleJoin, "verify", lambda self, pairs: verified.append(pairs.count()) or verify(self, pairs))
+    monkeypatch.setattr(count_rtree.ShingleJoin, "open_members", noted)
+    docs = docs_of(rows).repartition(4).sortWithinPartitions("doc_id")
+    assert near(docs) == brute_components([r[:2] for r in rows])
+    assert sum(verified) <= 2 and opened == [0]  # the first and the last bucket of a partition may go on in another one
+
+
+def test_sets_leave_a_bucket_only_if_they_fit_no_other():
+    rng = np.random.default_rng(5)
+    lengths = np.array([2, 2, 3, 7, 32, 33, 200, 2, 64])
+    starts = np.cumsum(lengths) - lengths
+    n = rng.integers(5, 60, lengths.sum())
+    pos = rng.integers(0, n // 5 + 1)
+    live = count_rtree._live(n, 5 * n - 9 * pos, starts, lengths)
+    for start, length in zip(starts.tolist(), lengths.tolist(), strict=True):
+        for x in range(start, start + length):
+            fits = [9 * min(n[x] - pos[x], n[y] - pos[y]) >= 4 * (n[x] + n[y]) for y in range(start, start + length) if y != x]
+            assert live[x] == any(fits) if length <= count_rtree.LEAF else live[x] >= any(fits)
+    assert not live.all()
+
+
+def test_counts_come_back_whole():
+    rows = [np.arange(count_rtree.GROUPS) * k for k in (0, 1, 2, 300)]
+    packed = [count_rtree.pack_counts(r) for r in rows]
+    assert [len(p) // count_rtree.GROUPS for p in packed] == [1, 1, 2, 4]
+    assert (count_rtree.unpack_counts(packed) == np.stack(rows)).all()
+
+
 def test_tree_loses_no_pair():
     rng = np.random.default_rng(2)
     base = rng.integers(0, 6, (40, count_rtree.GROUPS))
