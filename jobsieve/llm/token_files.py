@@ -30,7 +30,7 @@ from jobsieve.llm.words import small
 
 END_ID = 2
 BUCKET_KEYS = 65_536
-CACHE_UNITS = 1_000_000
+CACHE_UNITS = 250_000
 _CUT = re.compile(r"(?<=\S)(?= \S)")
 _EVEN = re.compile(r"(?= )|(?=\n)|(?<=\n)")
 _LETTER_MARK = "([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff])([!-&(-/:;=?@])"  # a token never goes on from a letter to these marks
@@ -44,7 +44,8 @@ class Encoder:
 
     The byte-level pre-tokenizer never lets a token cross the place before a single space, or around a single line
     break, that stands between two other characters, nor from a letter to a mark; texts are cut there by Arrow, each different piece of
-    a batch is encoded once while it is kept, and a batch's ids are gathered from the kept ones. A mark such as <|endoftext|> in a text has its own id, as by
+    a batch is encoded once while it is kept, and a batch's ids are gathered from the kept ones. Beyond ``cache`` pieces, those that
+    only one batch had go. A mark such as <|endoftext|> in a text has its own id, as by
     the plain library call; it holds no white space, so it stays whole.
     """
 
@@ -59,9 +60,25 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        """Kept pieces: ``place`` numbers them, piece i is ``pool[start[i]: start[i + 1]]``."""
+        """Kept pieces: ``place`` numbers them, piece i is ``pool[start[i]: start[i + 1]]``, and ``uses[i]`` batches had it."""
         self.place: dict[str, int] = {}
-        self.pool, self.start = np.zeros(0, self.dtype), np.zeros(1, np.int64)
+        self.pool, self.start, self.uses = np.zeros(0, self.dtype), np.zeros(1, np.int64), np.zeros(0, np.int32)
+
+    def _gather(self, at: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the pieces at ``at``, one after the other, and where each piece ends."""
+        sizes = np.diff(start)[at]
+        ends = np.cumsum(sizes)
+        return self.pool[np.repeat(start[at] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)], ends
+
+    def _thin(self) -> None:
+        """Only pieces that several batches had since the last time stay; none do if these are many."""
+        stays = np.flatnonzero(self.uses > 1)
+        if 2 * len(stays) > self.limit:
+            return self._forget()
+        names = list(self.place)  # in the order of their places
+        self.pool, ends = self._gather(stays, self.start)
+        self.start, self.uses = np.append(0, ends), np.zeros(len(stays), np.int32)
+        self.place = {names[i]: k for k, i in enumerate(stays.tolist())}
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
@@ -87,6 +104,7 @@ class Encoder:
         self.place.update(zip(plain + other, range(len(self.place), len(self.place) + len(new)), strict=True))
         self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))])
         self.pool = np.concatenate([self.pool, *ids])
+        self.uses = np.append(self.uses, np.zeros(len(new), np.int32))
 
     @staticmethod
     def _cut(texts: pa.Array) -> pa.ListArray:
@@ -100,7 +118,7 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.place) > self.limit:
-            self._forget()
+            self._thin()
         lists = self._cut(pa.array(texts, pa.string()))
         codes = lists.flatten().dictionary_encode()
         pieces = codes.dictionary.to_pylist()
@@ -108,11 +126,9 @@ class Encoder:
         if new:
             self._learn(new)
         empty = len(self.place)  # stands for the one piece of an empty text
-        at = np.fromiter((self.place[p] if p else empty for p in pieces), np.int64, len(pieces))[codes.indices.to_numpy()]
-        start = np.append(self.start, self.start[-1])
-        sizes = np.diff(start)[at]
-        ends = np.cumsum(sizes)
-        ids = self.pool[np.repeat(start[at] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
+        at = np.fromiter((self.place[p] if p else empty for p in pieces), np.int64, len(pieces))
+        self.uses[at[at < empty]] += 1
+        ids, ends = self._gather(at[codes.indices.to_numpy()], np.append(self.start, self.start[-1]))
         bounds = np.append(0, ends)[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
         return [ids[a:b] for a, b in zip(bounds.tolist(), bounds.tolist()[1:], strict=False)]
 

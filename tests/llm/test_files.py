@@ -71,6 +71,27 @@ def encoded(texts):
     return [e.ids for e in Tokenizer.from_file(PATH).encode_batch(texts, add_special_tokens=False)]
 
 
+def test_rare_pieces_do_not_pile_up():
+    """What a worker keeps between tasks is bounded; pieces of several batches outlive those of one, and ids stay right."""
+    enc, plain = token_files.Encoder(PATH), Tokenizer.from_file(PATH)
+    common = [f"often{i}" for i in range(200)]
+    batches = [[" ".join([*common, *(f"b{b}x{i}" for i in range(k, k + 3000))]) for k in range(0, 30_000, 3000)] for b in range(12)]
+    for b, texts in enumerate(batches):
+        got = enc.encode(texts)
+        assert len(enc.place) < 300_000 and len(enc.place) == len(enc.start) - 1
+        if b in (0, 8, 9, 11):
+            assert [g.tolist() for g in got[:2]] == [plain.encode(t, add_special_tokens=False).ids for t in texts[:2]]
+    few = token_files.Encoder(PATH, cache=2000)
+    for b in range(6):
+        few.encode([" ".join([*common, *(f"c{b}x{i}" for i in range(900))])])
+        assert b == 0 or all(f" {w}" in few.place for w in common[1:])
+    assert len(few.place) < 3000
+    few.encode(["plain words"])
+    few.uses[:] = 2  # all of several batches, and more than may stay
+    few.limit = 10
+    assert few.encode(["plain words"])[0].tolist() == plain.encode("plain words", add_special_tokens=False).ids and len(few.place) == 2
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text(alphabet=" \n\tabcDE\0\u00a0$&12.,'!?1é日  \r<|", max_size=40), max_size=8))
 def test_kept_pieces_change_nothing(texts):

@@ -1,12 +1,14 @@
 """Quality classifier and language model: held-out accuracy, normalisation, odd rows."""
 
 import math
+import tracemalloc
 import zlib
 from collections import Counter
 
 import __spark_entry__ as entry
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from jobsieve.llm import lbl, quality
 from pyspark.sql import functions as F
@@ -57,6 +59,28 @@ def test_context_vectors_count_neighbours(docs_of):
     assert cat @ dog > 0.9 > cat @ law
 
 
+def test_context_sums_in_little_memory():
+    """Sums over every word of long texts are exact, and the surroundings of 250,000 words never stand in memory at once."""
+    texts = [" ".join(f"w{(i * i + t) % 3001}" for i in range(n)) for t, n in enumerate([250_000, 1, 70_000, 2])]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    tracemalloc.start()
+    got = pa.Table.from_batches(list(quality._contexts([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 90e6
+    want = np.zeros((quality.SLOTS, quality.DIM), np.int64)
+    index = quality.index_vectors().astype(np.int64)
+    for piece in quality.small([batch], 0):
+        w, s, _ = quality._terms(piece.column(0).to_pylist(), quality.Kept(quality._term))
+        own = np.pad(index[w] + index[s], ((2, 2), (0, 0)))
+        around = own[:-4] + own[1:-3] + own[3:-1] + own[4:]
+        np.add.at(want, w, around)
+        np.add.at(want, s, around)
+    rows = np.zeros_like(want)
+    rows[got["slot"].to_numpy()] = np.stack([got[f"v{d}"].to_numpy() for d in range(quality.DIM)], 1)
+    assert (rows == want).all()
+
+
 def brute_base(rows, held):
     tokens = lambda t: [*(t or "").encode().lower().split(), b""]
     c = Counter(w for i, t in rows if not held(i) for w in tokens(t))
